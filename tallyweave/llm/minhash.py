@@ -18,10 +18,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyweave.llm.common import cut, pick, read
+from tallyweave.llm.words import Recent
 
 WORDS, SIZE, BAND = 5, 128, 4
 _U = np.uint64
-_seen: dict[bytes, int] = {}
+_seen = Recent(xxhash.xxh64_intdigest)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -35,10 +36,6 @@ def shingles(text: str | None) -> np.ndarray:
     words = (text or "").encode(errors="surrogatepass").lower().split()  # bytes: only A-Z and the six ASCII blanks
     if not words:
         return np.empty(0, np.uint64)
-    if len(_seen) > 300_000:
-        _seen.clear()
-    for w in set(words) - _seen.keys():
-        _seen[w] = xxhash.xxh64_intdigest(w)
     h = np.fromiter(map(_seen.__getitem__, words), np.uint64, len(words))
     n = min(WORDS, len(h))
     s = np.full(len(h) - n + 1, n, np.uint64)
