@@ -26,9 +26,16 @@ _seen = Recent(xxhash.xxh64_intdigest)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
+    """Mixes x in place."""
+    x ^= x >> _U(30)
+    x *= _U(0xBF58476D1CE4E5B9)
+    x ^= x >> _U(27)
+    x *= _U(0x94D049BB133111EB)
+    x ^= x >> _U(31)
+    return x
+
+
+_SEEDS = _mix(np.arange(1, 2 * SIZE + 1, dtype=np.uint64) * _U(0xD1342543DE82EF95))
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -39,20 +46,28 @@ def shingles(text: str | None) -> np.ndarray:
     h = np.fromiter(map(_seen.__getitem__, words), np.uint64, len(words))
     n = min(WORDS, len(h))
     s = np.full(len(h) - n + 1, n, np.uint64)
-    for i in range(n):
-        s = _mix(s * _U(0x9E3779B97F4A7C15) + h[i : len(h) - n + 1 + i])
-    return np.unique(s)
+    for i in range(n):  # an odd multiplier and a shift, so that the order of words counts
+        s *= _U(0x9E3779B97F4A7C15)
+        s ^= s >> _U(32)
+        s += h[i : len(h) - n + 1 + i]
+    return np.unique(_mix(s))
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
-    """SIZE coordinates: round number and 50 bits of the smallest value that was placed in each bin."""
-    out = np.full(SIZE, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(2 * SIZE):
-        h = _mix(s ^ _mix(np.array([i + 1], np.uint64) * _U(0xD1342543DE82EF95)))
-        value = (_U(i) << _U(50)) | (h & _U((1 << 50) - 1))
-        np.minimum.at(out, (h >> _U(57)).astype(np.int64) if i < SIZE else np.full(len(s), i - SIZE), value)
-        if (out != np.iinfo(np.uint64).max).all():
-            break
+    """SIZE coordinates: round number and 50 bits of the smallest value that was placed in each bin.
+
+    Rounds run several at once for small sets: a later round can't undercut a coordinate that an earlier one filled.
+    """
+    none = np.iinfo(np.uint64).max
+    out, i = np.full(SIZE, none, np.uint64), 0
+    while i < SIZE and (i == 0 or out.max() == none):
+        n = min(SIZE - i, max(1, 8 * SIZE // len(s)) if i == 0 else max(1, 4 * SIZE // len(s)))
+        h = _mix(s[None, :] ^ _SEEDS[i : i + n, None])
+        value = (h & _U((1 << 50) - 1)) | (np.arange(i, i + n, dtype=np.uint64) << _U(50))[:, None]
+        np.minimum.at(out, (h >> _U(57)).astype(np.int64).ravel(), value.ravel())
+        i += n
+    for i in np.flatnonzero(out == none):  # one round each sends all shingles to that bin
+        out[i] = (_U(SIZE + i) << _U(50)) | (_mix(s ^ _SEEDS[SIZE + i]) & _U((1 << 50) - 1)).min()
     return out
 
 
