@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import cut, pick, read
+from tallyweave.llm.common import cut, drop, pick, read
 from tallyweave.llm.words import Recent
 
 WORDS, SIZE, BAND = 5, 128, 4
@@ -98,62 +98,65 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep))
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, comp) for each id of nodes: the smallest id reachable over links (a, b), by label passing and pointer jumps."""
+def components(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, comp): the smallest label reachable over links (a, b), by passing labels on and jumping to the label's label.
+
+    labels: (id, comp) to start from, comp being an id of the same component.
+    """
     both = cut(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    lab = cut(nodes.select("id", F.col("id").alias("comp")), "labels")
+    lab = labels
     while True:
         near = both.join(lab, both.b == lab.id).groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("m"))
         step = lab.join(near, "id", "left").select("id", "comp", F.least("comp", "m").alias("m"))
         up = lab.select(F.col("id").alias("m"), F.col("comp").alias("up"))
-        new = cut(step.join(up, "m", "left").select("id", F.least("m", "up").alias("comp"), (F.col("m") < F.col("comp")).alias("moved")), "labels")
-        if not new.where("moved").limit(1).count():
-            return new.select("id", "comp")
+        new = cut(step.join(up, "m", "left").select("id", F.least("m", "up").alias("comp"), (F.least("m", "up") < F.col("comp")).alias("moved")), "labels")
         lab = new.select("id", "comp")
+        if not new.where("moved").limit(1).count():
+            return lab
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row of df.
 
-    Null or blank texts have no shingles and are linked with nothing. Rows that repeat an id are one node (rows of one id
-    whose texts differ are linked by it); a null id is its own class with a null component and is kept. An empty table
-    gives an empty one; other columns are not looked at. Sets are compared as 64-bit hashes of whole shingles.
+    Null or blank texts have no shingles and are linked with nothing. Rows that repeat an id each follow their own text; a
+    null id has a null component and is kept. An empty table gives an empty one; other columns are not looked at. Sets
+    are compared as 64-bit hashes of whole shingles.
     """
     docs = pick(df, id_col, text_col).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     base = cut(docs.mapInArrow(_sketches, "id long, n long, digest binary, bands array<long>"), "sketches")
-    classes = cut(base.where("n > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep")), "classes")
-    member = cut(base.join(classes, "digest", "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep")), "members")
-    reps = base.where("n > 0").join(classes, ["digest"]).where("id = rep").select("id", "n", "bands").dropDuplicates(["id", "n"])
+    classes = base.where("n > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"))
+    reps = base.where("n > 0").join(classes, "digest").where("id = rep").groupBy("id").agg(F.max("n").alias("n"), F.max("bands").alias("bands"))
     flat = cut(reps.select("id", "n", F.explode("bands").alias("k")), "bands")
     many = flat.groupBy("k").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("k")
-    flat = cut(flat.join(many, "k"), "buckets")
-    same = member.where("rep IS NOT NULL AND id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    same, nodes = cut(same.distinct(), "same"), cut(member.where("id IS NOT NULL").select("id").distinct(), "nodes")
-    links, comp, met, width = same, flat.select("id").distinct().withColumn("comp", F.col("id")), None, 1
+    flat = cut(flat.join(many, "k").select("k", "id", "n"), "buckets")
+    comp = cut(flat.select("id").distinct().withColumn("comp", F.col("id")), "labels")
+    links = met = None
+    width = 1
     while True:
+        # Buckets that still hold several components, and the members that haven't met all others yet.
         own = flat.join(comp, "id")
-        # Buckets that still hold several components.
-        open_ = own.groupBy("k").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1")
-        own = cut(own.join(open_, "k"), "open")
+        open_ = own.groupBy("k").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("k")
+        own = cut(own.join(open_, "k").select("k", "id", "n", "comp"), "open")
         pool = own if met is None else own.join(met, ["k", "id"], "left_anti")
         rank = F.row_number().over(Window.partitionBy("k").orderBy("id"))
         pivots = cut(pool.withColumn("r", rank).where(F.col("r") <= width).select("k", F.col("id").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pc")), "pivots")
         if not pivots.limit(1).count():
             break
-        pairs = own.join(pivots, "k").where("comp <> pc AND 4 * least(n, pn) >= 3 * greatest(n, pn)").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
-        pairs = cut(pairs, "pairs")
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+        pairs = own.join(pivots, "k").where("comp <> pc AND 4 * least(n, pn) >= 3 * greatest(n, pn)").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))
+        pairs = cut(pairs.distinct(), "pairs")
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         sets = cut(docs.join(ids, "id", "left_semi").mapInArrow(_sets, "id long, s binary"), "sets")
         x, y = sets.select(F.col("id").alias("a"), F.col("s").alias("x")), sets.select(F.col("id").alias("b"), F.col("s").alias("y"))
         new = cut(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_confirm, "a long, b long"), "new")
-        links = links.union(new)
+        drop(sets)
+        if new.limit(1).count():
+            links = new if links is None else links.union(new)
+            comp = components(comp, links)
         used = pivots.select("k", F.col("p").alias("id"))
-        met, width = used if met is None else met.union(used), 4 * width
-        comp = components(nodes, links)
-        flat = own.select("id", "n", "k")
-    comp = components(nodes, links)
-    out = member.join(comp, "id", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"), F.coalesce(F.col("id") == F.col("comp"), F.lit(True)).alias("kept"))
+        met, width, flat = used if met is None else met.union(used), 8 * width, own.select("k", "id", "n")
+    member = base.select("id", "n", "digest").join(classes, "digest", "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep"))
+    out = member.join(comp.select(F.col("id").alias("rep"), "comp"), "rep", "left").withColumn("c", F.coalesce("comp", "rep"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("c").alias("component_id"), F.coalesce(F.col("id") == F.col("c"), F.lit(True)).alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
