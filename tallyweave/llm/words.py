@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 
 class Recent(dict):
-    def __init__(self, make: Callable, most: int = 250_000) -> None:
+    def __init__(self, make: Callable, most: int = 150_000) -> None:
         self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key):
