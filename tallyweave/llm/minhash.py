@@ -3,8 +3,9 @@
 A document's set of 5-word shingles is sketched by rounds of hashed bin placement: in round i every shingle goes to a
 random bin with a value in [i, i + 1); the second half of the rounds sends all to one bin each, so every coordinate
 fills. Bands of the sketch give buckets. Equal sets are one class first. In each bucket all members meet the smallest
-(a star, never all pairs); what stays in other components meets further pivots, round by round, until each bucket is one
-component or every pair across its components was met. Every link is confirmed on the full sets.
+(a star, never all pairs), twice. What still shares a bucket with another component then meets only members that it could
+reach the threshold with: those that share one of its rarest shingles (a prefix filter, which loses no link). Every link
+is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -88,6 +89,14 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], ["id", "s"])
 
 
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, n, comp, set) to a row for each shingle."""
+    for b in batches:
+        for *own, s in zip(*(x.to_pylist() for x in b.columns), strict=True):
+            h = np.frombuffer(s, np.int64)
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(h), v)) for v in own), pa.array(h)], ["id", "n", "comp", "h"])
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         keep = []
@@ -115,6 +124,24 @@ def components(labels: DataFrame, links: DataFrame) -> DataFrame:
             return lab
 
 
+def possible(own: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components of own (id, n, comp) that could be linked.
+
+    Shingles are ordered by how many documents hold them, those of a single component first. At the threshold, the first
+    n / 4 + 1 shingles of the larger set and the first n / 7 + 1 of the smaller share one. Shingles with the same holders
+    count once. For each, only members outside its most frequent component meet the others.
+    """
+    rows = cut(sets.join(own, "id").select("id", "n", "comp", "s").mapInArrow(_spread, "id long, n long, comp long, h long"), "spread")
+    held = rows.groupBy("h").agg(F.count("*").alias("m"), (F.min("comp") < F.max("comp")).alias("several"), F.bit_xor(F.xxhash64("id")).alias("sig"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("several", "m", "sig", "h"))
+    first = rows.join(held, "h").withColumn("r", rank).where("several AND r <= n div 4 + 1")
+    first = cut(first.groupBy("sig", "id", "n", "comp").agg(F.min("r").alias("r")), "prefixes")
+    most = first.groupBy("sig", "comp").agg(F.count("*").alias("m")).groupBy("sig").agg(F.max(F.struct("m", "comp")).alias("o")).select("sig", F.col("o.comp").alias("most"))
+    minor = first.join(most, "sig").where("comp <> most").select("sig", F.col("id").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pc"), F.col("r").alias("pr"))
+    near = "comp <> pc AND 4 * least(n, pn) >= 3 * greatest(n, pn) AND CASE WHEN n < pn OR (n = pn AND id < p) THEN r <= n div 7 + 1 ELSE pr <= pn div 7 + 1 END"
+    return first.join(minor, "sig").where(near).select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row of df.
 
@@ -131,29 +158,37 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     flat = cut(flat.join(many, "k").select("k", "id", "n"), "buckets")
     comp = cut(flat.select("id").distinct().withColumn("comp", F.col("id")), "labels")
     links = met = None
-    width = 1
-    while True:
-        # Buckets that still hold several components, and the members that haven't met all others yet.
+    for stars in (True, True, False):
+        # Buckets that still hold several components.
         own = flat.join(comp, "id")
         open_ = own.groupBy("k").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("k")
         own = cut(own.join(open_, "k").select("k", "id", "n", "comp"), "open")
-        pool = own if met is None else own.join(met, ["k", "id"], "left_anti")
-        rank = F.row_number().over(Window.partitionBy("k").orderBy("id"))
-        pivots = cut(pool.withColumn("r", rank).where(F.col("r") <= width).select("k", F.col("id").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pc")), "pivots")
-        if not pivots.limit(1).count():
-            break
-        pairs = own.join(pivots, "k").where("comp <> pc AND 4 * least(n, pn) >= 3 * greatest(n, pn)").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))
-        pairs = cut(pairs.distinct(), "pairs")
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        sets = cut(docs.join(ids, "id", "left_semi").mapInArrow(_sets, "id long, s binary"), "sets")
+        flat = own.select("k", "id", "n")
+        sets = None
+        if stars:
+            pool = own if met is None else own.join(met, ["k", "id"], "left_anti")
+            rank = F.row_number().over(Window.partitionBy("k").orderBy("id"))
+            pivots = cut(pool.withColumn("r", rank).where("r = 1").select("k", F.col("id").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pc")), "pivots")
+            met = pivots.select("k", F.col("p").alias("id"))
+            pairs = own.join(pivots, "k").where("comp <> pc AND 4 * least(n, pn) >= 3 * greatest(n, pn)").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
+        else:
+            left = own.select("id", "n", "comp").distinct()
+            sets = cut(docs.join(left.select("id"), "id", "left_semi").mapInArrow(_sets, "id long, s binary"), "sets")
+            # Rows that repeat an id with another text than their class's are not in the buckets.
+            sets = sets.join(left, "id").where(F.length("s") == 8 * F.col("n")).groupBy("id").agg(F.max("s").alias("s"))
+            pairs = possible(left, sets)
+        pairs = cut(pairs, "pairs")
+        if not pairs.limit(1).count():
+            continue
+        if sets is None:
+            ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+            sets = cut(docs.join(ids, "id", "left_semi").mapInArrow(_sets, "id long, s binary"), "sets")
         x, y = sets.select(F.col("id").alias("a"), F.col("s").alias("x")), sets.select(F.col("id").alias("b"), F.col("s").alias("y"))
         new = cut(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_confirm, "a long, b long"), "new")
         drop(sets)
         if new.limit(1).count():
             links = new if links is None else links.union(new)
             comp = components(comp, links)
-        used = pivots.select("k", F.col("p").alias("id"))
-        met, width, flat = used if met is None else met.union(used), 8 * width, own.select("k", "id", "n")
     member = base.select("id", "n", "digest").join(classes, "digest", "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep"))
     out = member.join(comp.select(F.col("id").alias("rep"), "comp"), "rep", "left").withColumn("c", F.coalesce("comp", "rep"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("c").alias("component_id"), F.coalesce(F.col("id") == F.col("c"), F.lit(True)).alias("kept"))

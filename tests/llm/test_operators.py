@@ -171,3 +171,25 @@ def test_language(spark):
     assert all(got[i].lang_pred == y for i, _, y in rows) and any(r.held_out for r in got.values())
     odd = crf_langid.predict(docs(spark, [None, "", "123 !"]), m).collect()
     assert {(r.lang_pred, r.score) for r in odd} == {("und", 0.0)} and crf_langid.learn(df.where("false")) is None
+
+
+def test_prefix_filter_loses_no_link(spark):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(80):
+        words = base[: rng.choice([50, 55, 60])]
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(words))
+            words[at : at + 1] = rng.choice([[], [f"x{rng.randrange(5)}"], [words[at], "y"]])
+        texts.append(" ".join(words))
+    sets = [minhash.shingles(t) for t in texts]
+    own = spark.createDataFrame([(i, len(s), i // 2) for i, s in enumerate(sets)], "id long, n long, comp long")
+    full = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "id long, s binary")
+    found = {(r.a, r.b) for r in minhash.possible(own, full).collect()}
+    assert all(a // 2 != b // 2 for a, b in found)
+    for a in range(80):
+        for b in range(a + 1, 80):
+            both = len(set(sets[a].tolist()) & set(sets[b].tolist()))
+            if a // 2 != b // 2 and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                assert (a, b) in found
