@@ -127,9 +127,11 @@ def components(labels: DataFrame, links: DataFrame) -> DataFrame:
 def possible(own: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components of own (id, n, comp) that could be linked.
 
-    Shingles are ordered by how many documents hold them, those of a single component first. At the threshold, the first
-    n / 4 + 1 shingles of the larger set and the first n / 7 + 1 of the smaller share one. Shingles with the same holders
-    count once. For each, only members outside its most frequent component meet the others.
+    Shingles are ordered by how many documents hold them, those of a single component first. Linked sets share at least
+    3 / 7 of the sum of their sizes, so the first one they share has that many places left in either set, itself
+    included: it is among the first n / 4 + 1 of the larger set, and of both among the first n / 7 + 1 where sizes are
+    equal. Shingles with the same holders count once. For each, only members outside its most frequent component meet the
+    others.
     """
     rows = cut(sets.join(own, "id").select("id", "n", "comp", "s").mapInArrow(_spread, "id long, n long, comp long, h long"), "spread")
     held = rows.groupBy("h").agg(F.count("*").alias("m"), (F.min("comp") < F.max("comp")).alias("several"), F.bit_xor(F.xxhash64("id")).alias("sig"))
@@ -138,7 +140,7 @@ def possible(own: DataFrame, sets: DataFrame) -> DataFrame:
     first = cut(first.groupBy("sig", "id", "n", "comp").agg(F.min("r").alias("r")), "prefixes")
     most = first.groupBy("sig", "comp").agg(F.count("*").alias("m")).groupBy("sig").agg(F.max(F.struct("m", "comp")).alias("o")).select("sig", F.col("o.comp").alias("most"))
     minor = first.join(most, "sig").where("comp <> most").select("sig", F.col("id").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pc"), F.col("r").alias("pr"))
-    near = "comp <> pc AND 4 * least(n, pn) >= 3 * greatest(n, pn) AND CASE WHEN n < pn OR (n = pn AND id < p) THEN r <= n div 7 + 1 ELSE pr <= pn div 7 + 1 END"
+    near = "comp <> pc AND 4 * least(n, pn) >= 3 * greatest(n, pn) AND 7 * least(n - r + 1, pn - pr + 1) >= 3 * (n + pn)"
     return first.join(minor, "sig").where(near).select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
 
 
