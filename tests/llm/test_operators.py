@@ -97,6 +97,24 @@ def test_substring_finds_fuzzy_passage(spark):
     assert left[2] == texts[2] and left[4] == texts[4] and left[0] is None and left[3].startswith(PROSE[2][:50]) and len(left[3].split()) < len(texts[3].split()) - 55
 
 
+def test_substring_aligns_over_one_edit(spark):
+    rng = random.Random(11)
+    draw = lambda n: ["".join(rng.choices("abcdefghij", k=8)) for _ in range(n)]
+    texts, want = [], []
+    for n in (50, 60, 70, 100):
+        for t in range(1, n):
+            passage = draw(n)
+            edited = passage[:t] + draw(1) + passage[t:] if t % 2 else passage[:t] + passage[t + 1 :]
+            want.append((len(texts) + 1, n - 1 if t % 2 == 0 else n, t, n))
+            texts += [" ".join(draw(60) + passage + draw(60)), " ".join(draw(50) + edited + draw(50))]
+    got = {}
+    for r in substring.passages(docs(spark, texts)).collect():
+        got[r.doc_id] = max(got.get(r.doc_id, 0), r.n_same)
+    for i, same, t, n in want:  # an end of under three words between the edit and other text can't be told from chance
+        near = min(t, n - t)
+        assert got.get(i, 0) >= same - (near if near <= 3 else 0), (n, t, got.get(i))
+
+
 def test_url_filter(spark):
     rows = [(1, "http://A.Example.COM/en/71?x"), (2, None), (3, "nope"), (4, "https://x.net/de/1#y"), (5, "https://sub.example.net/de/89"), (6, "http://org/es/"), (7, "http://notexample.com/en/7")]
     got = {r.page_id: (r.host, r.rule, r.verdict) for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), url_filter.CONTRACT_RULES).collect()}
