@@ -115,6 +115,42 @@ def test_substring_aligns_over_one_edit(spark):
         assert got.get(i, 0) >= same - (near if near <= 3 else 0), (n, t, got.get(i))
 
 
+def test_substring_later_holders_meet(spark):
+    rng = random.Random(12)
+    draw = lambda n: " ".join("".join(rng.choices("abcdefghij", k=8)) for _ in range(n))
+    texts, want = [], []
+    for n in (14, 20, 26):
+        for _ in range(40):  # each line was seen before in a document of its own
+            lines = [draw(n) for _ in range(3)]
+            at = len(texts)
+            texts += [f"{draw(30)} {x} {draw(30)}" for x in lines] + [f"{draw(40)} {' '.join(lines)} {draw(40)}", f"{draw(60)} {' '.join(lines)} {draw(60)}"]
+            want.append((at + 4, at + 3, 3 * n))
+    got = {(r.doc_id, r.partner): r.n_same for r in substring.passages(docs(spark, texts)).collect() if r.partner % 5 == 3}
+    assert all(got.get((b, a)) == n for b, a, n in want)
+
+
+def test_substring_matches_are_whole(spark):
+    rng = random.Random(13)
+    rows = sorted({(h, rng.randrange(60), rng.randrange(500)) for h in [7] * 300 + list(range(40)) * 4})
+    found = spark.createDataFrame(rows, "h long, id long, at int")
+    by_seed, want = {}, set()
+    for h, i, at in rows:
+        by_seed.setdefault(h, []).append((i, at))
+    for h, held in by_seed.items():
+        for i, at in held:
+            before = [x for x in held if x[0] < i]
+            want |= {(i, *x[:1], at, x[1]) for x in before[:1] + before[-1:]}
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for n in ("1", "4", "37"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            assert {tuple(r) for r in substring.matches(found)[0].collect()} == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+
+
 def test_url_filter(spark):
     rows = [(1, "http://A.Example.COM/en/71?x"), (2, None), (3, "nope"), (4, "https://x.net/de/1#y"), (5, "https://sub.example.net/de/89"), (6, "http://org/es/"), (7, "http://notexample.com/en/7")]
     got = {r.page_id: (r.host, r.rule, r.verdict) for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), url_filter.CONTRACT_RULES).collect()}
