@@ -151,6 +151,25 @@ def test_substring_matches_are_whole(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
 
 
+def edited_passages(every, trials, n=60, seed=14):
+    """Texts in pairs that share a passage of n words, one word replaced every so many."""
+    rng = random.Random(seed)
+    draw = lambda n: ["".join(rng.choices("abcdefghij", k=8)) for _ in range(n)]
+    texts = []
+    for _ in range(trials):
+        passage, shift = draw(n), rng.randrange(every)
+        edited = [w if (i + shift) % every else draw(1)[0] for i, w in enumerate(passage)]
+        texts += [" ".join(draw(60) + passage + draw(60)), " ".join(draw(50) + edited + draw(50))]
+    return texts
+
+
+def test_substring_recall_between_edits(spark):
+    for every, least in ((9, 100), (7, 98), (6, 93)):
+        texts = edited_passages(every, 100)
+        found = {r.doc_id // 2 for r in substring.passages(docs(spark, texts)).collect() if r.partner == r.doc_id - 1 and r.n_same >= 30}
+        assert len(found) >= least, (every, len(found))
+
+
 def test_url_filter(spark):
     rows = [(1, "http://A.Example.COM/en/71?x"), (2, None), (3, "nope"), (4, "https://x.net/de/1#y"), (5, "https://sub.example.net/de/89"), (6, "http://org/es/"), (7, "http://notexample.com/en/7")]
     got = {r.page_id: (r.host, r.rule, r.verdict) for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), url_filter.CONTRACT_RULES).collect()}
