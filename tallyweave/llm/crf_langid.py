@@ -21,6 +21,7 @@ import regex
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from tallyweave.llm.common import pick, read
 from tallyweave.llm.words import Recent
@@ -157,8 +158,8 @@ def learn(df: DataFrame, per_label: int = 300, windows: int = 3, id_col: str = "
     return train(rows) if rows else None
 
 
-def predict(df: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, held_out, lang_pred, score) for each row of df, from the text alone.
+def predict(df: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text", keep: str | None = None) -> DataFrame:
+    """(id, held_out, lang_pred, score) for each row of df, from the text alone, and the row's column `keep` if one is named.
 
     A text that is null or has no letter is `und` with score 0, as is all without a model. Ids may be null (not held out)
     or repeat; an empty table gives an empty one; other columns are not looked at.
@@ -187,11 +188,13 @@ def predict(df: DataFrame, model: dict | None, id_col: str = "doc_id", text_col:
                     for (at, _), p in zip(held, mean, strict=True):
                         lang[at], score[at] = m["labels"][int(p.argmax())], min(1.0, float(p.max()))
                     held, held_words = [], 0
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(score)], [id_col, "held_out", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(score), *b.columns[3:]], [id_col, "held_out", "lang_pred", "score", *kept])
 
-    d = pick(df, id_col, text_col)
-    d = d.select(id_col, held_out(F.col(id_col)).alias("held_out"), text_col)
-    return d.mapInArrow(run, f"`{id_col}` {d.schema[0].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
+    kept = [keep] if keep else []
+    d = pick(df, id_col, text_col, *kept)
+    d = d.select(id_col, held_out(F.col(id_col)).alias("held_out"), text_col, *kept)
+    out = StructType([d.schema[0], d.schema[1], StructField("lang_pred", StringType()), StructField("score", DoubleType()), *d.schema.fields[3:]])
+    return d.mapInArrow(run, out)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,3 +41,29 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert {r.doc_id: r.length for r in seen["packing"]} == {i: len(t.encode(x, add_special_tokens=False).ids) + 1 for i, x in final.items()}
     fill = np.bincount([r.sequence_id for r in seen["packing"]], weights=[r.length for r in seen["packing"]])
     assert fill.max() <= 2048 and len(fill) <= -(-fill.sum() // 2048) + 1
+
+
+def test_null_and_repeated_ids(spark, tmp_path):
+    rng = random.Random(21)
+    draw = lambda words, n: " ".join(rng.choice(words) if i % 3 else "".join(rng.choices("abdeilmnorstu", k=6)) for i in range(n))
+    rows = [(i, draw(EN if i % 2 else FR, 80), "en" if i % 2 else "fr", "s", 1) for i in range(40)]
+    passage = draw(EN, 70)
+    null, twin, first, second = draw(EN, 80), draw(FR, 80), draw(EN, 40) + " " + passage, draw(FR, 90)
+    cutdown = passage + " " + draw(EN, 60)
+    rows += [(None, null, "en", "s", 1), (None, null, "en", "s", 1), (None, "12 34", "en", "s", 1), (None, None, "en", "s", 1)]
+    rows += [(50, "12 34", "en", "s", 1), (50, first, "en", "s", 1), (50, second, "fr", "s", 1), (51, twin, "fr", "s", 1), (51, twin, "fr", "s", 1), (52, cutdown, "en", "s", 1), (52, draw(FR, 80), "fr", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/in")
+    docs, seen = spark.read.parquet(f"{tmp_path}/in"), []
+    for k, (_, stage) in enumerate(c.STAGES):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        seen.append(docs.collect())
+    of = lambda k: sorted(((r.doc_id or -1, r.text) for r in seen[k]))
+    clean = sorted((r[0] or -1, r[1]) for r in rows if r[1] not in ("12 34", None))
+    assert of(0) == clean
+    clean.remove((51, twin))
+    assert of(1) == clean
+    left = of(2)
+    assert len(left) == len(clean) and [x for x in left if x not in clean] == [x for x in left if x[0] == 52 and x[1] in cutdown] and len(set(clean) - set(left)) == 1
+    assert of(3) == left and len({(r.doc_id, r.sequence_id, r.offset) for r in seen[4]}) == len(seen[4]) >= len(left)
