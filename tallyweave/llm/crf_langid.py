@@ -27,7 +27,8 @@ from tallyweave.llm.common import pick, read
 from tallyweave.llm.words import Recent
 
 UNKNOWN, BUCKETS, BLOCK, WINDOW = "und", 1 << 16, 32, 24
-_WORD = regex.compile(r"[\p{L}\p{M}]+")
+#: Runs of letters; a longer one is cut into tokens of this many, so that each letter is labelled.
+_WORD = regex.compile(r"[\p{L}\p{M}]{1,64}")
 _open: dict[str, tuple] = {}
 _buckets = Recent(lambda f: xxhash.xxh32_intdigest(f) % BUCKETS)
 
@@ -37,7 +38,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def features(word: str, lexicon: frozenset) -> list[int]:
-    w = word.lower()[:64]  # of one word; all words of a text count
+    w = word.lower()
     out = [f"^{w}$"] if w in lexicon else []
     out += [f"^{w[:n]}" for n in (1, 2, 3)] + [f"{w[-n:]}$" for n in (1, 2, 3)]
     out += w

@@ -246,6 +246,16 @@ def test_language(spark):
     assert {(r.lang_pred, r.score) for r in odd} == {("und", 0.0)} and crf_langid.learn(df.where("false")) is None
 
 
+def test_language_of_unbroken_text(spark):
+    rng = random.Random(15)
+    en, fr = ["the", "and", "house", "with", "this", "that"], ["le", "les", "maison", "avec", "cette", "dans"]
+    m = crf_langid.train([(y, rng.choices(ws, k=24)) for _ in range(80) for y, ws in (("en", en), ("fr", fr))])
+    run = lambda ws: "".join(rng.choices(ws, k=4000))
+    got = crf_langid.predict(docs(spark, [run(en)[:64] + run(fr)[:9936], run(fr)[:64] + run(en)[:9936], run(en)[:10000]]), m).collect()
+    assert [r.lang_pred for r in sorted(got, key=lambda r: r.doc_id)] == ["fr", "en", "en"]
+    assert all(crf_langid._WORD.findall("x" * n) == ["x" * min(64, n - i) for i in range(0, n, 64)] for n in (1, 64, 65, 1000))
+
+
 def test_prefix_filter_loses_no_link(spark):
     rng = random.Random(5)
     base = [f"w{i}" for i in range(60)]
