@@ -212,6 +212,18 @@ def test_licences_inherit(spark):
     assert got == {1: ("MIT", None), 2: ("Apache-2.0", "a/b/"), 3: (None, None), 4: ("Apache-2.0", None), 5: (None, None), 6: ("Apache-2.0", "a/b/")}
 
 
+def test_licence_texts_headers_and_wrapped_lines(spark):
+    text = {f.name.removesuffix(".txt"): f.read_text() for f in licences.TEXTS.glob("*.txt")}
+    code = "import os\n" * 3 + "{}\n" + "\n".join(f"def {w}(x): return {w}" for w in WORDS[:150])
+    cases = [(k.removesuffix(".header"), v) for k, v in text.items()]
+    cases += [("MIT", text["MIT"].replace("<year> <copyright holders>", "2019 Jo Doe").split("\n", 2)[2]), ("BSD-3-Clause", text["BSD-3-Clause"].replace("The Regents of the University of California", "2020, Jo Doe")), ("MIT", "MIT License")]
+    cases += [(k, code.format("\n".join(f"# {x}" for x in text[f].splitlines()))) for k, f in (("Apache-2.0", "Apache-2.0.header"), ("GPL-3.0", "GPL-3.0.header"), ("MIT", "MIT"), ("MPL-2.0", "MPL-2.0.header"))]
+    cases += [("Apache-2.0", code.format("Licensed under the Apache\nLicense, Version 2.0")), ("MIT", " ".join(WORDS[:60]) + " released under the MIT License " + " ".join(WORDS[60:120])), (None, "license plates are on cars")]
+    rows = [(i, f"d{i}/x", t) for i, (_, t) in enumerate(cases)] + [(100 + i, f"e{i}/y", t) for i, t in enumerate(PROSE)]
+    got = {r.id: r.licence for r in licences.scan(spark.createDataFrame(rows, "id long, path string, text string"), "id", spark_col("path"), "text").collect()}
+    assert [(i, got[i], k) for i, (k, _) in enumerate(cases) if got[i] != k] == [] and not any(got[100 + i] for i in range(len(PROSE)))
+
+
 def spark_col(name):
     from pyspark.sql import functions as F
 
