@@ -47,6 +47,7 @@ class BpeModel:
         self.ranks = {tuple(m): i for i, m in reversed(list(enumerate(d["model"]["merges"])))}
         self.special = {t["content"]: t["id"] for t in d["added_tokens"]}
         self.names = {i: w for w, i in [*self.vocab.items(), *self.special.items()]}
+        self.by_decimal = {str(i): w for i, w in self.names.items()}
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")")
         self.word = regex.compile(next(x["pattern"]["Regex"] for x in d["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split"))
         self.letters = byte_letters()
@@ -131,6 +132,18 @@ class BpeModel:
             text = text.replace("Σ", "σ")  # letter by letter: no final form
         return text.lower()
 
+    def encode_parts(self, text: str, most: int = 4096) -> Iterator[str]:
+        """encode()'s ids in parts of about `most` words; never empty ones."""
+        for part in self.cut.split(text) if any(s in text for s in self.special) else [text]:
+            if part in self.special:
+                yield str(self.special[part])
+            elif part:
+                words = self.normal(part)
+                words = regex.split(r"\s+", words) if any(c in words for c in "\x1c\x1d\x1e\x1f") else words.split()
+                for i in range(0, len(words), most):
+                    if ids := " ".join([f[0] for f in map(self.chunks.__getitem__, words[i : i + most]) if f[0]]):
+                        yield ids
+
     def encode(self, text: str) -> tuple[str, str]:
         """(ids in decimal, their names), each joined by one space."""
         ids, names = [], []
@@ -167,6 +180,14 @@ class Decoder:
         raw = bytes(self.bytes[c] for c in name.removesuffix(self.model.end))
         return self.state.decode(raw) + (self.finish() + " " if ended else "")
 
+    def push_all(self, ids: list[str]) -> str:
+        """push() of one id after another, given in decimal."""
+        if not self.names or not ids:
+            return "".join(map(self.push, map(int, ids)))
+        out = " ".join(map(self.model.by_decimal.__getitem__, ids))
+        out, self.first = out if self.first else f" {out}", False
+        return out
+
     def finish(self) -> str:
         out = self.state.decode(b"", True)
         self.state.reset()
@@ -191,10 +212,15 @@ def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
         for b in batches:
             n, x, y = [], [], []
             for t in b.column(1):
-                ids, names = m.encode(t.as_py() or "")
-                n.append(ids.count(" ") + 1 if ids else 0)
-                x.append(hashlib.sha256(ids.encode()).hexdigest())
-                y.append(hashlib.sha256(names.encode()).hexdigest())
+                count, of_ids, of_text, d = 0, hashlib.sha256(), hashlib.sha256(), Decoder(m)
+                for ids in m.encode_parts(t.as_py() or ""):
+                    of_ids.update((f" {ids}" if count else ids).encode())
+                    each = ids.split(" ")
+                    count += len(each)
+                    of_text.update(d.push_all(each).encode())
+                n.append(count)
+                x.append(of_ids.hexdigest())
+                y.append(of_text.hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(x, pa.string()), pa.array(y, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     d = pick(df, id_col, text_col)

@@ -47,6 +47,42 @@ def test_bpe_matches_library():
     assert list(m.stream(word[i : i + 333] for i in range(0, len(word), 333))) == m.merge([*word[:-1], word[-1] + "</w>"])
 
 
+def test_bpe_query_decodes_ids(spark, monkeypatch):
+    path = P.path("word_bpe_49k.json")
+    t, m = Tokenizer.from_file(path), bpe_stream.BpeModel(path)
+    texts = ["", *PROSE[:4], "a <|endoftext|> Hi<|startoftext|>", "é 😀 ab\x1cc", " ".join(PROSE) * 2]
+    for x in texts:
+        assert " ".join(m.encode_parts(x, 7)) == m.encode(x)[0]
+
+    def digests():
+        return [next(bpe_stream.encode_documents(docs(spark, [x]), path).toLocalIterator()) for x in texts]
+
+    for x, r in zip(texts, digests(), strict=True):
+        ids = t.encode(x, add_special_tokens=False).ids
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    plain = bpe_stream.Decoder(m, names=False)
+    assert plain.push_all(m.encode("héllo wörld")[0].split(" ")) + plain.finish() == "héllo wörld "
+    # A fault of decoding shows in the query's digest.
+    from functools import partial
+
+    class Told(Exception):
+        pass
+
+    def fail(self, ids):
+        raise Told
+
+    monkeypatch.setattr(bpe_stream.Decoder, "push_all", fail)
+    taken = {}
+    monkeypatch.setattr(type(docs(spark, [])), "mapInArrow", lambda self, run, schema: taken.setdefault("run", partial(run)))
+    bpe_stream.encode_documents(docs(spark, ["a"]), path)
+    import pyarrow as pa
+    import pytest
+
+    with pytest.raises(Told):
+        list(taken["run"](iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["a b"])], ["doc_id", "text"])])))
+
+
 def test_packing_round_trip(spark):
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     texts = [None, "", *PROSE, PROSE[0], " ".join(PROSE) * 3, "a  b \n c", "<|endoftext|>x"]
