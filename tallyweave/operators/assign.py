@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyweave.llm.common import cut
+
 OUT = "ingest_seq bigint, slip_key string"
 
 
@@ -47,18 +49,19 @@ def fold(rows: Iterable[tuple]) -> list[str]:
     return [desk.place(*r) for r in rows]
 
 
-def with_components(records: DataFrame, rounds: int = 50) -> DataFrame:
+def with_components(records: DataFrame) -> DataFrame:
     """Adds base and comp: the smallest base reachable over shared (district, type)."""
     base = F.regexp_replace(F.coalesce("slip_reference", F.lit("")), r"^(.*) \([0-9]+\)$", "$1")
     d = records.withColumn("base", base)
     known = F.coalesce(F.upper("voting_district"), F.lit("UNKNOWN")) != "UNKNOWN"
     edges = d.select("base", F.when(known, F.to_json(F.struct("voting_district", "ballot_type"))).alias("site")).distinct().persist()
     comp = edges.select("base", F.col("base").alias("comp")).distinct()
-    for _ in range(rounds):
+    while True:  # until nothing moves, however long a chain of families and districts is
         site = edges.where("site IS NOT NULL").join(comp, "base").groupBy("site").agg(F.min("comp").alias("low"))
         new = edges.join(site, "site", "left").groupBy("base").agg(F.min("low").alias("low")).join(comp, "base").select("base", F.least("low", "comp").alias("comp"), (F.col("low") < F.col("comp")).alias("moved")).persist()
         moved = new.where("moved").limit(1).count()
-        comp = new.select("base", "comp")
+        comp = cut(new.select("base", "comp"), "components")
+        new.unpersist()
         if not moved:
             break
     return d.join(comp, "base")

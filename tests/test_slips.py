@@ -74,3 +74,11 @@ def test_stream_carries_forward(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.k, r.stage, r.file) for r in spark.table("latest_t").collect()} == {("u", "a", "x"), ("v", "b", None)}
+
+
+def test_components_of_a_long_chain(spark):
+    from tallyweave.operators import assign
+
+    rows = [(f"b{i:02d}", f"d{j}", "X") for i in range(54) for j in (i, i + 1)]  # each family shares a district with the next
+    d = spark.createDataFrame(rows, "slip_reference string, voting_district string, ballot_type string").coalesce(1)
+    assert {r.comp for r in assign.with_components(d).select("comp").distinct().collect()} == {"b00"}
