@@ -94,5 +94,9 @@ FUNCTIONS: list[tuple[str, str, str]] = [
 
 
 def register(spark: SparkSession) -> None:
+    """Makes the functions known to the session, once."""
+    if getattr(spark, "_tallyweave_functions", False):
+        return
+    spark._tallyweave_functions = True
     for signature, kind, body in FUNCTIONS:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURNS {kind} RETURN {body}")

@@ -13,34 +13,39 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import cut
+from tallyweave.operators.components import components
+from tallyweave.tables import Scratch
 
 OUT = "ingest_seq bigint, slip_key string"
 
 
 class Desk:
-    """The state of one component: slips, oldest first, and what is open in each family and district."""
+    """The state of one component: which slips are open to a page, by family and by district."""
 
     def __init__(self) -> None:
-        self.slips: list[dict] = []
         self.taken: set[str] = set()
+        #: Slips about votes of a family or a (district, type), oldest first, with their pages.
+        self.open: dict[tuple, list[tuple[str, set[int]]]] = {}
+        self.next: dict[str, int] = {}
 
     def place(self, base: str, district: str | None, kind: str | None, page: int, votes: bool = True, seq: int = 0) -> str:
         if votes:
-            known = district and district.upper() != "UNKNOWN"
-            for same in (lambda s: s["base"] == base, lambda s: known and (s["district"], s["kind"]) == (district, kind)):
-                for slip in reversed(self.slips):
-                    if slip["votes"] and same(slip) and page not in slip["pages"]:
-                        slip["pages"].add(page)
-                        return slip["key"]
-            n = 2
-            key = base
+            groups = [(base,)] + ([(district, kind)] if district and district.upper() != "UNKNOWN" else [])
+            for group in groups:
+                for key, pages in reversed(self.open.get(group, ())):
+                    if page not in pages:
+                        pages.add(page)
+                        return key
+            key, n = base, self.next.get(base, 2)
             while key in self.taken:
                 key, n = f"{base} ({n})", n + 1
+            self.next[base] = n
+            slip = (key, {page})
+            for group in groups:
+                self.open.setdefault(group, []).append(slip)
         else:  # a page that isn't about votes never joins another
             key = base if base not in self.taken else f"{base} #{seq}"
         self.taken.add(key)
-        self.slips.append({"key": key, "base": base, "district": district, "kind": kind, "pages": {page}, "votes": votes})
         return key
 
 
@@ -54,16 +59,13 @@ def with_components(records: DataFrame) -> DataFrame:
     base = F.regexp_replace(F.coalesce("slip_reference", F.lit("")), r"^(.*) \([0-9]+\)$", "$1")
     d = records.withColumn("base", base)
     known = F.coalesce(F.upper("voting_district"), F.lit("UNKNOWN")) != "UNKNOWN"
-    edges = d.select("base", F.when(known, F.to_json(F.struct("voting_district", "ballot_type"))).alias("site")).distinct().persist()
-    comp = edges.select("base", F.col("base").alias("comp")).distinct()
-    while True:  # until nothing moves, however long a chain of families and districts is
-        site = edges.where("site IS NOT NULL").join(comp, "base").groupBy("site").agg(F.min("comp").alias("low"))
-        new = edges.join(site, "site", "left").groupBy("base").agg(F.min("low").alias("low")).join(comp, "base").select("base", F.least("low", "comp").alias("comp"), (F.col("low") < F.col("comp")).alias("moved")).persist()
-        moved = new.where("moved").limit(1).count()
-        comp = cut(new.select("base", "comp"), "components")
-        new.unpersist()
-        if not moved:
-            break
+    scratch = Scratch(records.sparkSession)
+    sites = d.select("base", F.when(known, F.to_json(F.struct("voting_district", "ballot_type"))).alias("site")).distinct()
+    # A site is a node as well: its name can't be a base's.
+    links = sites.where("site IS NOT NULL").select(F.concat(F.lit("b"), "base").alias("a"), F.concat(F.lit("s"), "site").alias("b"))
+    ids = d.select(F.concat(F.lit("b"), "base").alias("id")).union(links.select("b")).distinct()
+    found = components(ids.select("id", F.col("id").alias("comp")), links, scratch).where("startswith(id, 'b')")
+    comp = scratch.end(found.select(F.substring("id", 2, 1 << 30).alias("base"), F.substring("comp", 2, 1 << 30).alias("comp")), "components")
     return d.join(comp, "base")
 
 
