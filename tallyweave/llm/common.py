@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,8 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
-
+from tallyweave.tables import Scratch, cut, shared_dir  # noqa: F401
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -36,36 +31,6 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*[F.col(f"c{i}").alias(name) for i, name in zip(at, names, strict=True)])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one where that is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = tempfile.mkdtemp(prefix="tallyweave-")
-        atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
-    return _OWN[app]
-
-
-def cut(df: DataFrame, what: str) -> DataFrame:
-    """The rows, written to the shared folder and reread: nothing before is computed again, whatever executor is lost."""
-    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._written = path
-    return out
-
-
-def drop(df: DataFrame) -> None:
-    """Removes what cut() wrote for this frame, once nothing lazy reads it any more."""
-    path = getattr(df, "_written", None)
-    if path:
-        jvm, spark = df.sparkSession._jvm, df.sparkSession
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
-
-
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
