@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.tables import Scratch, cut, shared_dir  # noqa: F401
+from tallyweave.tables import Scratch, cut  # noqa: F401
+
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -31,6 +33,50 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*[F.col(f"c{i}").alias(name) for i, name in zip(at, names, strict=True)])
 
 
+def keyed(df: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """(id long, text) with ids that tell rows apart, and what puts the table's own ids back into named columns of ids.
+
+    Where ids repeat, rows are numbered in the order of their ids and written with their numbers, so that the smallest
+    number of a set of rows is one of its smallest id. Null ids stay null.
+    """
+    docs = pick(df, id_col, text_col).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    if docs.where("id IS NOT NULL").groupBy("id").count().where("count > 1").isEmpty():
+        return docs, lambda found, *_: found
+    row = F.when(F.col("id").isNotNull(), F.monotonically_increasing_id())
+    rows = scratch.cut(docs.orderBy("id", F.xxhash64("text")).select(row.alias("row"), "id", "text"), "rows")
+
+    def names(found: DataFrame, *columns: str) -> DataFrame:
+        out = found
+        for c in ("id", *columns):
+            own = rows.where("row IS NOT NULL").select(F.col("row").alias(f"__{c}"), F.col("id").alias("__name"))
+            out = out.join(own, F.col(c) == F.col(f"__{c}"), "left").withColumn(c, F.col("__name")).drop(f"__{c}", "__name")
+        return out.select(found.columns)
+
+    return rows.select(F.col("row").alias("id"), "text"), names
+
+
+def rows_with_key(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """(key, text, row) for each row of df, and what unpacks rows to columns c0, c1, ... before others that are named.
+
+    The key is the id, or where ids repeat a number that rises with it, written with the rows; null ids have a null key.
+    Names of columns can't clash, as columns go by place.
+    """
+    names = [f"c{i}" for i in range(len(df.columns))]
+    key, text = names[df.columns.index(id_col)], names[df.columns.index(text_col)]
+    rows = df.toDF(*names).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.struct(*names).alias("row"))
+    if not rows.where("key IS NOT NULL").groupBy("key").count().where("count > 1").isEmpty():
+        number = F.when(F.col("key").isNotNull(), F.monotonically_increasing_id())
+        rows = cut(rows.orderBy("key", F.xxhash64("text")).withColumn("key", number), "rows")
+    return rows, lambda d, *more: d.select("row.*", *more)
+
+
+def only(docs: DataFrame, ids: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """The rows of docs whose id is in ids, a written table: up to `most` ids (8 MB) go to every task, more meet the texts
+    by a shuffle."""
+    few = ids.count() <= most
+    return docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -18,40 +18,28 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import cut, drop, pick, read
-from tallyweave.llm.words import Recent
+from tallyweave.llm.common import keyed, only, read
+from tallyweave.llm.words import mix, word_hashes
+from tallyweave.llm.words import shingles as runs_of
+from tallyweave.operators.components import components
+from tallyweave.tables import Scratch
 
 WORDS, SIZE, BAND = 5, 128, 4
 _U = np.uint64
-_seen = Recent(xxhash.xxh64_intdigest)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """Mixes x in place."""
-    x ^= x >> _U(30)
-    x *= _U(0xBF58476D1CE4E5B9)
-    x ^= x >> _U(27)
-    x *= _U(0x94D049BB133111EB)
-    x ^= x >> _U(31)
-    return x
+_SEEDS = mix(np.arange(1, 2 * SIZE + 1, dtype=np.uint64) * _U(0xD1342543DE82EF95))
 
 
-_SEEDS = _mix(np.arange(1, 2 * SIZE + 1, dtype=np.uint64) * _U(0xD1342543DE82EF95))
+def shingle_sets(column: pa.Array) -> list[np.ndarray]:
+    """The sorted set of 64-bit shingle hashes of each whole text."""
+    found, n = runs_of(*word_hashes(column), WORDS, True)
+    ends = np.cumsum(n)
+    return [np.unique(found[b - m : b]) for b, m in zip(ends.tolist(), n.tolist(), strict=True)]
 
 
 def shingles(text: str | None) -> np.ndarray:
-    """The sorted set of 64-bit shingle hashes of a whole text."""
-    words = (text or "").encode(errors="surrogatepass").lower().split()  # bytes: only A-Z and the six ASCII blanks
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_seen.__getitem__, words), np.uint64, len(words))
-    n = min(WORDS, len(h))
-    s = np.full(len(h) - n + 1, n, np.uint64)
-    for i in range(n):  # an odd multiplier and a shift, so that the order of words counts
-        s *= _U(0x9E3779B97F4A7C15)
-        s ^= s >> _U(32)
-        s += h[i : len(h) - n + 1 + i]
-    return np.unique(_mix(s))
+    return shingle_sets(pa.array([text], pa.string()))[0]
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
@@ -63,38 +51,49 @@ def sketch(s: np.ndarray) -> np.ndarray:
     out, i = np.full(SIZE, none, np.uint64), 0
     while i < SIZE and (i == 0 or out.max() == none):
         n = min(SIZE - i, max(1, 8 * SIZE // len(s)) if i == 0 else max(1, 4 * SIZE // len(s)))
-        h = _mix(s[None, :] ^ _SEEDS[i : i + n, None])
+        h = mix(s[None, :] ^ _SEEDS[i : i + n, None])
         value = (h & _U((1 << 50) - 1)) | (np.arange(i, i + n, dtype=np.uint64) << _U(50))[:, None]
         np.minimum.at(out, (h >> _U(57)).astype(np.int64).ravel(), value.ravel())
         i += n
     for i in np.flatnonzero(out == none):  # one round each sends all shingles to that bin
-        out[i] = (_U(SIZE + i) << _U(50)) | (_mix(s ^ _SEEDS[SIZE + i]) & _U((1 << 50) - 1)).min()
+        out[i] = (_U(SIZE + i) << _U(50)) | (mix(s ^ _SEEDS[SIZE + i]) & _U((1 << 50) - 1)).min()
     return out
 
 
+def bands(c: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each band of each sketch (rows)."""
+    c = c.reshape(len(c), -1, BAND)
+    out = np.broadcast_to(_SEEDS[: c.shape[1]], c.shape[:2]).copy()
+    for i in range(BAND):
+        out = mix(out + c[:, :, i])
+    return out.view(np.int64)
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        n, digest, bands = [], [], []
-        for t in b.column(1):
-            s = shingles(t.as_py())
-            n.append(len(s))
-            digest.append(xxhash.xxh128_digest(s.tobytes()) if len(s) else None)
-            c = sketch(s).reshape(-1, BAND) if len(s) else None
-            bands.append([xxhash.xxh64_intdigest(x.tobytes(), i) - 2**63 for i, x in enumerate(c)] if len(s) else None)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["id", "n", "digest", "bands"])
+        sets = shingle_sets(b.column(1))
+        some = [i for i, s in enumerate(sets) if len(s)]
+        digest = [xxhash.xxh128_digest(s.tobytes()) if len(s) else None for s in sets]
+        keys = bands(np.stack([sketch(sets[i]) for i in some])) if some else np.empty((0, SIZE // BAND), np.int64)
+        n = pa.array([len(s) for s in sets], pa.int64())
+        ends = np.zeros(len(sets) + 1, np.int32)
+        ends[1:] = np.cumsum([keys.shape[1] if len(s) else 0 for s in sets])
+        yield pa.RecordBatch.from_arrays([b.column(0), n, pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))], ["id", "n", "digest", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], ["id", "s"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in shingle_sets(b.column(1))], pa.binary())], ["id", "s"])
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, n, comp, set) to a row for each shingle."""
     for b in batches:
-        for *own, s in zip(*(x.to_pylist() for x in b.columns), strict=True):
-            h = np.frombuffer(s, np.int64)
-            yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(h), v)) for v in own), pa.array(h)], ["id", "n", "comp", "h"])
+        for i in range(0, len(b), 256):
+            part = b.slice(i, 256)
+            sets = [np.frombuffer(s.as_py(), np.int64) for s in part.column(3)]
+            own = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c.to_numpy()[own]) for c in part.columns[:3]), pa.array(np.concatenate(sets))], ["id", "n", "comp", "h"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,37 +106,25 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep))
 
 
-def components(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, comp): the smallest label reachable over links (a, b), by passing labels on and jumping to the label's label.
-
-    labels: (id, comp) to start from, comp being an id of the same component.
-    """
-    both = cut(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    lab = labels
-    while True:
-        near = both.join(lab, both.b == lab.id).groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("m"))
-        step = lab.join(near, "id", "left").select("id", "comp", F.least("comp", "m").alias("m"))
-        up = lab.select(F.col("id").alias("m"), F.col("comp").alias("up"))
-        new = cut(step.join(up, "m", "left").select("id", F.least("m", "up").alias("comp"), (F.least("m", "up") < F.col("comp")).alias("moved")), "labels")
-        lab = new.select("id", "comp")
-        if not new.where("moved").limit(1).count():
-            return lab
-
-
-def possible(own: DataFrame, sets: DataFrame) -> DataFrame:
+def possible(own: DataFrame, sets: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """Pairs (a, b) of different components of own (id, n, comp) that could be linked.
 
     Shingles are ordered by how many documents hold them, those of a single component first. Linked sets share at least
     3 / 7 of the sum of their sizes, so the first one they share has that many places left in either set, itself
     included: it is among the first n / 4 + 1 of the larger set, and of both among the first n / 7 + 1 where sizes are
-    equal. Shingles with the same holders count once. For each, only members outside its most frequent component meet the
-    others.
+    equal. Shingles of a single component take places but are not shuffled for it: their number is the set's size less the
+    others'. Shingles with the same holders count once. For each, only members outside its most frequent component meet
+    the others.
     """
-    rows = cut(sets.join(own, "id").select("id", "n", "comp", "s").mapInArrow(_spread, "id long, n long, comp long, h long"), "spread")
-    held = rows.groupBy("h").agg(F.count("*").alias("m"), (F.min("comp") < F.max("comp")).alias("several"), F.bit_xor(F.xxhash64("id")).alias("sig"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("several", "m", "sig", "h"))
-    first = rows.join(held, "h").withColumn("r", rank).where("several AND r <= n div 4 + 1")
-    first = cut(first.groupBy("sig", "id", "n", "comp").agg(F.min("r").alias("r")), "prefixes")
+    scratch = scratch or Scratch(own.sparkSession)
+    rows = scratch.cut(sets.join(own, "id").select("id", "n", "comp", "s").mapInArrow(_spread, "id long, n long, comp long, h long"), "spread")
+    held = rows.groupBy("h").agg(F.count("*").alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.bit_xor(F.xxhash64("id")).alias("sig"))
+    held = held.where("c0 < c1").select("h", "m", "sig")
+    own_rows = Window.partitionBy("id")
+    several = rows.join(held, "h").select("id", "n", "comp", "m", "sig", "h", F.count("*").over(own_rows).alias("k"), F.row_number().over(own_rows.orderBy("m", "sig", "h")).alias("r"))
+    first = several.withColumn("r", F.col("n") - F.col("k") + F.col("r")).where("r <= n div 4 + 1")
+    first = scratch.cut(first.groupBy("sig", "id", "n", "comp").agg(F.min("r").alias("r")), "prefixes")
+    scratch.drop(rows)
     most = first.groupBy("sig", "comp").agg(F.count("*").alias("m")).groupBy("sig").agg(F.max(F.struct("m", "comp")).alias("o")).select("sig", F.col("o.comp").alias("most"))
     minor = first.join(most, "sig").where("comp <> most").select("sig", F.col("id").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pc"), F.col("r").alias("pr"))
     near = "comp <> pc AND 4 * least(n, pn) >= 3 * greatest(n, pn) AND 7 * least(n - r + 1, pn - pr + 1) >= 3 * (n + pn)"
@@ -147,53 +134,75 @@ def possible(own: DataFrame, sets: DataFrame) -> DataFrame:
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row of df.
 
-    Null or blank texts have no shingles and are linked with nothing. Rows that repeat an id each follow their own text; a
-    null id has a null component and is kept. An empty table gives an empty one; other columns are not looked at. Sets
-    are compared as 64-bit hashes of whole shingles.
+    Null or blank texts have no shingles and are linked with nothing. Rows that repeat an id are documents of their own,
+    linked by their own texts: one row of a component is kept. A null id has a null component and is kept. An empty table
+    gives an empty one; other columns are not looked at. Sets are compared as 64-bit hashes of whole shingles. The result
+    is a written table, the only one left of those that the run writes.
     """
-    docs = pick(df, id_col, text_col).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    base = cut(docs.mapInArrow(_sketches, "id long, n long, digest binary, bands array<long>"), "sketches")
-    classes = base.where("n > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"))
-    reps = base.where("n > 0").join(classes, "digest").where("id = rep").groupBy("id").agg(F.max("n").alias("n"), F.max("bands").alias("bands"))
-    flat = cut(reps.select("id", "n", F.explode("bands").alias("k")), "bands")
+    scratch = Scratch(df.sparkSession)
+    docs, names = keyed(df, id_col, text_col, scratch)
+    base = scratch.cut(docs.select("id", "text").mapInArrow(_sketches, "id long, n long, digest binary, bands array<long>"), "sketches")
+    # Equal sets are one class, which its smallest id stands for.
+    reps = base.where("n > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min(F.struct("id", "n", "bands")).alias("x"))
+    flat = reps.select("x.id", "x.n", F.explode("x.bands").alias("k"))
     many = flat.groupBy("k").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("k")
-    flat = cut(flat.join(many, "k").select("k", "id", "n"), "buckets")
-    comp = cut(flat.select("id").distinct().withColumn("comp", F.col("id")), "labels")
-    links = met = None
+    flat = scratch.cut(flat.join(many, "k").select("k", "id", "n"), "buckets")
+    comp = scratch.cut(flat.select("id").distinct().withColumn("comp", F.col("id")), "labels")
+    links = met = sets = held = None
     for stars in (True, True, False):
         # Buckets that still hold several components.
-        own = flat.join(comp, "id")
+        own = flat.select("k", "id", "n").join(comp.select("id", "comp"), "id")
         open_ = own.groupBy("k").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("k")
-        own = cut(own.join(open_, "k").select("k", "id", "n", "comp"), "open")
-        flat = own.select("k", "id", "n")
-        sets = None
+        own = scratch.cut(own.join(open_, "k").select("k", "id", "n", "comp"), "open")
+        scratch.drop(flat, held)
+        flat = held = own
         if stars:
             pool = own if met is None else own.join(met, ["k", "id"], "left_anti")
             rank = F.row_number().over(Window.partitionBy("k").orderBy("id"))
-            pivots = cut(pool.withColumn("r", rank).where("r = 1").select("k", F.col("id").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pc")), "pivots")
+            pivots = scratch.cut(pool.withColumn("r", rank).where("r = 1").select("k", F.col("id").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pc")), "pivots")
             met = pivots.select("k", F.col("p").alias("id"))
             pairs = own.join(pivots, "k").where("comp <> pc AND 4 * least(n, pn) >= 3 * greatest(n, pn)").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
+            ids = None
         else:
-            left = own.select("id", "n", "comp").distinct()
-            sets = cut(docs.join(left.select("id"), "id", "left_semi").mapInArrow(_sets, "id long, s binary"), "sets")
-            # Rows that repeat an id with another text than their class's are not in the buckets.
-            sets = sets.join(left, "id").where(F.length("s") == 8 * F.col("n")).groupBy("id").agg(F.max("s").alias("s"))
-            pairs = possible(left, sets)
-        pairs = cut(pairs, "pairs")
-        if not pairs.limit(1).count():
+            left = scratch.cut(own.select("id", "n", "comp").distinct(), "left")
+            sets = add_sets(sets, docs, left.select("id"), scratch)
+            pairs = possible(left, union(sets), scratch)
+        pairs = scratch.cut(pairs, "pairs")
+        if pairs.isEmpty():
             continue
-        if sets is None:
-            ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-            sets = cut(docs.join(ids, "id", "left_semi").mapInArrow(_sets, "id long, s binary"), "sets")
-        x, y = sets.select(F.col("id").alias("a"), F.col("s").alias("x")), sets.select(F.col("id").alias("b"), F.col("s").alias("y"))
-        new = cut(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_confirm, "a long, b long"), "new")
-        drop(sets)
-        if new.limit(1).count():
+        if stars:
+            ids = scratch.cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+            sets = add_sets(sets, docs, ids, scratch)
+        whole = union(sets)
+        x, y = whole.select(F.col("id").alias("a"), F.col("s").alias("x")), whole.select(F.col("id").alias("b"), F.col("s").alias("y"))
+        new = scratch.cut(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_confirm, "a long, b long"), "new")
+        scratch.drop(pairs)
+        if not new.isEmpty():
             links = new if links is None else links.union(new)
-            comp = components(comp, links)
-    member = base.select("id", "n", "digest").join(classes, "digest", "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep"))
-    out = member.join(comp.select(F.col("id").alias("rep"), "comp"), "rep", "left").withColumn("c", F.coalesce("comp", "rep"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("c").alias("component_id"), F.coalesce(F.col("id") == F.col("c"), F.lit(True)).alias("kept"))
+            old, comp = comp, components(comp.select("id", "comp"), links, scratch)
+            scratch.drop(old)
+    classes = base.where("n > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"))
+    member = base.select("id", "n", "digest").join(classes, "digest", "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
+    out = member.join(comp.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("id", "n", F.coalesce("comp", "rep").alias("c"))
+    kept = F.coalesce(F.col("id") == F.col("c"), F.lit(True))
+    out = names(out.select("id", F.col("n").alias("n_shingles"), F.col("c").alias("component_id"), kept.alias("kept")), "component_id")
+    return scratch.end(out, "components").withColumnRenamed("id", id_col)
+
+
+def add_sets(sets: list[DataFrame] | None, docs: DataFrame, ids: DataFrame, scratch: Scratch) -> list[DataFrame]:
+    """Tables (id, s) of the whole sets of all ids, those of earlier ones included."""
+    sets = sets or []
+    for old in sets:
+        ids = ids.join(old.select("id"), "id", "left_anti")
+    ids = scratch.cut(ids, "asked")
+    return [*sets, scratch.cut(only(docs, ids).mapInArrow(_sets, "id long, s binary"), "sets")]
+
+
+def union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.union(t)
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
