@@ -1,6 +1,6 @@
 """Language identification of words by a linear-chain conditional random field (operator 10).
 
-Each word's label scores come from hashed affix, n-gram and lexicon features, the transitions are learned with them, and
+Each word's label scores come from hashed affix, n-gram and lexicon features (of a slice's distinct words, at once), the transitions are learned with them, and
 forward-backward gives each word's label probabilities; a document's language has the largest share. Training sequences
 are windows of labelled documents, some spliced from two languages, so that switches within a text are learned. Long
 documents are cut into blocks whose transfer matrices are chained: forward-backward over the whole text, exactly, in a
@@ -9,72 +9,144 @@ number of vectorised steps that hardly grows with its length.
 
 from __future__ import annotations
 
-import uuid
+import sys
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from operator import add
 
 import numpy as np
 import pyarrow as pa
 import regex
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from tallyweave.llm.common import pick, read
-from tallyweave.llm.words import Recent
+from tallyweave.llm.words import mix
 
-UNKNOWN, BUCKETS, BLOCK, WINDOW = "und", 1 << 16, 32, 24
+UNKNOWN, BITS, BLOCK, WINDOW, TOKEN = "und", 16, 32, 24, 64
+BUCKETS = 1 << BITS
 #: Runs of letters; a longer one is cut into tokens of this many, so that each letter is labelled.
 _WORD = regex.compile(r"[\p{L}\p{M}]{1,64}")
-_open: dict[str, tuple] = {}
-_buckets = Recent(lambda f: xxhash.xxh32_intdigest(f) % BUCKETS)
+#: Characters that are looked at at once; a multiple of TOKEN.
+PIECE = 1 << 19
+_U = np.uint64
+_ODD = (_U(0x9E3779B97F4A7C15), _U(0xD1342543DE82EF95))
+_tables: list[np.ndarray] = []
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def features(word: str, lexicon: frozenset) -> list[int]:
-    w = word.lower()
-    out = [f"^{w}$"] if w in lexicon else []
-    out += [f"^{w[:n]}" for n in (1, 2, 3)] + [f"{w[-n:]}$" for n in (1, 2, 3)]
-    out += w
-    out += map(add, w, w[1:])
-    out += map("".join, zip(w, w[1:], w[2:]))
-    return list(map(_buckets.__getitem__, dict.fromkeys(out)))
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point: 2 for letters, 1 for marks, else 0; and its lower case where that is one character."""
+    if not _tables:
+        kind, low = np.zeros(sys.maxunicode + 1, np.uint8), np.arange(sys.maxunicode + 1, dtype=np.uint32)
+        for i in range(sys.maxunicode + 1):
+            c = unicodedata.category(chr(i))[0]
+            if c == "L":
+                kind[i], x = 2, chr(i).lower()
+                low[i] = ord(x) if len(x) == 1 else i
+            elif c == "M":
+                kind[i] = 1
+        _tables.extend((kind, low))
+    return _tables[0], _tables[1]
+
+
+def points_of(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", errors="surrogatepass"), np.uint32)
+
+
+def tokens(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, length) of each token: runs of letters and marks, cut into tokens of TOKEN."""
+    inside = np.zeros(len(points) + 2, bool)
+    inside[1:-1] = _letters()[0][points] > 0
+    start, end = np.flatnonzero(inside[1:-1] & ~inside[:-2]), np.flatnonzero(inside[1:-1] & ~inside[2:]) + 1
+    n = -(-(end - start) // TOKEN)
+    i = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    start = np.repeat(start, n) + TOKEN * i
+    return start, np.minimum(start + TOKEN, np.repeat(end, n)) - start
+
+
+def _lower(points: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lower-case characters, token, place) of the tokens, one after another."""
+    token = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n)
+    return _letters()[1][points[start[token] + place]], token, place
+
+
+def token_hashes(points: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each token, without case."""
+    if not len(n):
+        return np.empty(0, np.uint64)
+    c, _, place = _lower(points, start, n)
+    power = np.cumprod(np.full(TOKEN, _ODD[0], np.uint64))
+    return mix(np.add.reduceat(mix(c.astype(np.uint64) + _U(1)) * power[place], np.cumsum(n) - n) + n.astype(np.uint64))
+
+
+def features(points: np.ndarray, start: np.ndarray, n: np.ndarray, hashes: np.ndarray, lexicon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(token, bucket) of each feature: a token's letters, pairs and triples of letters, its first and last one to three
+    letters, and itself if the lexicon (sorted hashes) has it."""
+    c, token, place = _lower(points, start, n)
+    left = n[token] - place  # letters from here on
+    one = mix(c.astype(np.uint64) + _U(7))
+    two = np.append(mix(one[:-1] * _ODD[0] + one[1:]), _U(0))
+    three = np.append(mix(two[:-2] * _ODD[1] + one[2:]), np.zeros(min(2, len(one)), np.uint64))
+    owner, found = [], []
+    for i, gram in enumerate((one, two, three)):
+        for salt, at in enumerate((np.flatnonzero(left > i), np.flatnonzero((place == 0) & (left > i)), np.flatnonzero(left == i + 1))):
+            owner.append(token[at])
+            found.append(mix(gram[at] ^ _U(3 * salt)))
+    if len(lexicon):
+        at = np.flatnonzero(lexicon[np.minimum(np.searchsorted(lexicon, hashes), len(lexicon) - 1)] == hashes)
+        owner.append(at)
+        found.append(mix(hashes[at] + _U(11)))
+    return np.concatenate(owner), (np.concatenate(found) >> _U(64 - BITS)).astype(np.int64)
 
 
 def train(rows: list[tuple[str, list[str]]], epochs: int = 6, rate: float = 0.05, seed: int = 5) -> dict:
     """rows: (label, words of a window). The model: labels, lexicon, feature weights and transitions."""
     labels = sorted({r[0] for r in rows})
     k, rng = len(labels), np.random.default_rng(seed)
-    lexicon = frozenset(w for y in labels for w, _ in Counter(w.lower() for r in rows if r[0] == y for w in r[1]).most_common(200))
+    known = {w for y in labels for w, _ in Counter(w.lower() for r in rows if r[0] == y for w in r[1]).most_common(200)}
+
+    def cut(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        points = points_of(" ".join(words))
+        start, n = tokens(points)
+        return points, start, n, token_hashes(points, start, n)
+
+    lexicon = np.unique(cut(sorted(known))[3])
     at = {y: i for i, y in enumerate(labels)}
-    seqs = [([features(w, lexicon) for w in ws], [at[y]] * len(ws)) for y, ws in rows if ws]
+    rows = [(y, ws) for y, ws in rows if ws]
+    points, start, n, hashes = cut([w for _, ws in rows for w in ws])
+    owner, bucket = features(points, start, n, hashes, lexicon)
+    order = np.argsort(owner, kind="stable")
+    bucket, upto = bucket[order], np.r_[0, np.cumsum(np.bincount(owner, minlength=len(n)))]
+    ends = np.cumsum([len(ws) for _, ws in rows])
+    seqs = [(np.arange(e - len(ws), e), np.full(len(ws), at[y])) for e, (y, ws) in zip(ends, rows, strict=True)]
     for _ in range(len(seqs) // 2):
         (a, x), (b, y) = (seqs[i] for i in rng.integers(len(seqs), size=2))
-        seqs.append((a[: len(a) // 2] + b[len(b) // 2 :], x[: len(x) // 2] + y[len(y) // 2 :]))
+        seqs.append((np.r_[a[: len(a) // 2], b[len(b) // 2 :]], np.r_[x[: len(x) // 2], y[len(y) // 2 :]]))
+    seqs = [s for s in seqs if len(s[0])]
     w, t = np.zeros((BUCKETS, k)), np.zeros((k, k))
     gw, gt = np.full((BUCKETS, k), 1e-8), np.full((k, k), 1e-8)
     for _ in range(epochs):
         order = rng.permutation(len(seqs))
         for i in range(0, len(order), 64):
             batch = [seqs[j] for j in order[i : i + 64]]
-            flat = [f for s, _ in batch for f in s]
-            n = np.array([len(f) for f in flat])
-            ids, owner = np.array([f for x in flat for f in x], np.int64), np.repeat(np.arange(len(flat)), n)
-            score = np.zeros((len(flat), k))
-            np.add.at(score, owner, w[ids])
+            word = np.concatenate([s for s, _ in batch])
+            m = upto[word + 1] - upto[word]
+            own = np.repeat(np.arange(len(word)), m)
+            ids = bucket[np.repeat(upto[word] - (np.cumsum(m) - m), m) + np.arange(m.sum())]
+            score = np.stack([np.bincount(own, w[ids, j], len(word)) for j in range(k)], axis=1)
             size = np.array([len(s) for s, _ in batch])
-            gold = np.eye(k)[np.array([y for _, ys in batch for y in ys])]
+            gold = np.eye(k)[np.concatenate([ys for _, ys in batch])]
             post, pairs = forward_backward(score, size, t, want_pairs=True)
-            ends = np.cumsum(size)
-            inner = np.setdiff1d(np.arange(len(flat) - 1), ends - 1)
-            dw, dt = np.zeros_like(w), pairs - np.einsum("ij,il->jl", gold[inner], gold[inner + 1])
-            np.add.at(dw, ids, (post - gold)[owner])
+            inner = np.setdiff1d(np.arange(len(word) - 1), np.cumsum(size) - 1)
+            dt = pairs - np.einsum("ij,il->jl", gold[inner], gold[inner + 1])
+            dw = np.stack([np.bincount(ids, (post - gold)[own, j], BUCKETS) for j in range(k)], axis=1)
             for x, d, g in ((w, dw, gw), (t, dt, gt)):
                 d = d / len(batch) + 1e-6 * x
                 g += d * d
@@ -83,7 +155,11 @@ def train(rows: list[tuple[str, list[str]]], epochs: int = 6, rate: float = 0.05
 
 
 def forward_backward(score: np.ndarray, size: np.ndarray, t: np.ndarray, want_pairs: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
-    """Each row's label probabilities; score holds sequences of the given sizes (over 0) one after another."""
+    """Each row's label probabilities; score holds sequences of the given sizes (over 0) one after another.
+
+    Sequences are cut into blocks, whose vectors stand side by side, so that a step is one product of small by wide. Of
+    a sequence of several blocks the products of transfer matrices carry what lies before and after a block.
+    """
     k, total = t.shape[0], len(score)
     e, tr = np.exp(score - score.max(axis=1, keepdims=True)), np.exp(t - t.max())
     blocks = -(-size // BLOCK)
@@ -93,36 +169,45 @@ def forward_backward(score: np.ndarray, size: np.ndarray, t: np.ndarray, want_pa
     inside = np.arange(nb) - first_block[seq_of]
     start = (np.cumsum(size) - size)[seq_of] + inside * BLOCK
     n = np.minimum(BLOCK, size[seq_of] - inside * BLOCK)
-    at = np.minimum(start[:, None] + np.arange(BLOCK), total - 1)
-    real = np.arange(BLOCK) < n[:, None]
-    x = e[at]
-    m = np.broadcast_to(np.eye(k), (nb, k, k)).copy()
+    x = np.ascontiguousarray(e[np.minimum(start[:, None] + np.arange(BLOCK), total - 1)].transpose(1, 2, 0))
+    over = [np.flatnonzero(n <= s) for s in range(BLOCK)]  # blocks that have ended before a step
+    fore, back = np.ones((k, nb)), np.ones((k, nb))
+    long = np.flatnonzero(blocks[seq_of] > 1)
+    if len(long):
+        place = np.zeros(nb, np.int64)
+        place[long] = np.arange(len(long))
+        m = np.zeros((k, k, len(long)))  # to, from, block
+        m[np.arange(k), np.arange(k)] = 1.0
+        for s in range(BLOCK):
+            new = (tr.T @ m.reshape(k, -1)).reshape(m.shape) * x[s][:, None, long]
+            stay = np.flatnonzero(n[long] <= s)
+            new[:, :, stay] = m[:, :, stay]
+            m = new / new.max(axis=(0, 1)) if s % 8 == 7 else new
+        m /= m.max(axis=(0, 1))
+        by_step = [np.flatnonzero(blocks > i) for i in range(int(blocks.max()))]
+        for i in range(1, len(by_step)):
+            b = first_block[by_step[i]] + i
+            v = np.einsum("tfb,fb->tb", m[:, :, place[b - 1]], fore[:, b - 1])
+            fore[:, b] = v / v.max(axis=0)
+        for i in range(len(by_step) - 2, -1, -1):
+            b = first_block[by_step[i + 1]] + i
+            v = np.einsum("tfb,tb->fb", m[:, :, place[b + 1]], back[:, b + 1])
+            back[:, b] = v / v.max(axis=0)
+    alpha, beta = np.empty((BLOCK, k, nb)), np.empty((BLOCK, k, nb))
+    v, opening = fore, inside == 0  # the first word of a text has no transition before it
     for s in range(BLOCK):
-        new = (m @ tr) * x[:, s, None, :]
-        m = np.where(real[:, s, None, None], new / new.max(axis=(1, 2), keepdims=True), m)
-    fore, back = np.ones((nb, k)), np.ones((nb, k))
-    by_step = [np.flatnonzero(blocks > i) for i in range(int(blocks.max()))]
-    for i in range(1, len(by_step)):
-        b = first_block[by_step[i]] + i
-        v = np.einsum("bi,bij->bj", fore[b - 1], m[b - 1])
-        fore[b] = v / v.max(axis=1, keepdims=True)
-    for i in range(len(by_step) - 2, -1, -1):
-        b = first_block[by_step[i + 1]] + i
-        v = np.einsum("bij,bj->bi", m[b + 1], back[b + 1])
-        back[b] = v / v.max(axis=1, keepdims=True)
-    alpha, beta = np.empty((nb, BLOCK, k)), np.empty((nb, BLOCK, k))
-    v = fore
-    opening = inside == 0  # the first word of a text has no transition before it
-    for s in range(BLOCK):
-        v = (np.where((opening & (s == 0))[:, None], 1.0, v @ tr)) * x[:, s]
-        v = v / v.max(axis=1, keepdims=True)
-        alpha[:, s] = v
+        v = (np.where(opening, 1.0, tr.T @ v) if s == 0 else tr.T @ v) * x[s]
+        if s % 8 == 7:
+            v = v / v.max(axis=0)
+        alpha[s] = v
     v = back
     for s in range(BLOCK - 1, -1, -1):
-        beta[:, s] = v
-        new = (v * x[:, s]) @ tr.T
-        v = np.where(real[:, s, None], new / new.max(axis=1, keepdims=True), v)
-    a, b = alpha[real], beta[real]
+        beta[s] = v
+        new = tr @ (v * x[s])
+        new[:, over[s]] = v[:, over[s]]
+        v = new / new.max(axis=0) if s % 8 == 0 else new
+    real = np.arange(BLOCK)[None, :] < n[:, None]
+    a, b = alpha.transpose(2, 0, 1)[real], beta.transpose(2, 0, 1)[real]
     post = a * b
     post /= post.sum(axis=1, keepdims=True)
     if not want_pairs:
@@ -132,16 +217,49 @@ def forward_backward(score: np.ndarray, size: np.ndarray, t: np.ndarray, want_pa
     return post, (p / p.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
 
 
-def learn(df: DataFrame, per_label: int = 300, windows: int = 3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict | None:
+def pieces(texts: list[str]) -> Iterator[tuple[int, str]]:
+    """(text, piece) of all texts, in order: a piece ends at its text's end, or beyond PIECE characters where no token is
+    cut that tokens() would not cut."""
+    for i, t in enumerate(texts):
+        at = 0
+        while len(t) - at > PIECE:
+            inside = _letters()[0][points_of(t[at : at + PIECE])] > 0
+            gap = np.flatnonzero(~inside)
+            to = at + (int(gap[-1]) + 1 if len(gap) else PIECE)
+            yield i, t[at:to]
+            at = to
+        if at < len(t):
+            yield i, t[at:]
+
+
+def emissions(parts: list[str], model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(label scores of all tokens, tokens of each part, which parts have a letter)."""
+    points = points_of("\0".join(parts))
+    start, n = tokens(points)
+    ends = np.cumsum([len(p) + 1 for p in parts])
+    counts = np.bincount(np.searchsorted(ends, start, "right"), minlength=len(parts))
+    has = np.bincount(np.searchsorted(ends, np.flatnonzero(_letters()[0][points] == 2), "right"), minlength=len(parts)) > 0
+    hashes = token_hashes(points, start, n)
+    own, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+    k = len(model["labels"])
+    if not len(own):
+        return np.empty((0, k)), counts, has
+    token, bucket = features(points, start[first], n[first], own, model["lexicon"])
+    w = model["w"]
+    return np.stack([np.bincount(token, w[bucket, j], len(own)) for j in range(k)], axis=1)[which], counts, has
+
+
+def learn(df: DataFrame, per_label: int = 300, windows: int = 3, labels: int = 256, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict | None:
     """A model of a bounded sample: about per_label documents of each label, chosen by a hash of the id among those that
-    aren't held out, and of each up to `windows` windows of WINDOW words at hashed places. None if there is none."""
+    aren't held out, and of each up to `windows` windows of WINDOW words at hashed places. None if there is none; an error
+    if there are more than `labels` languages, as a model and its sample grow with them."""
     d = pick(df, id_col, text_col, lang_col).toDF("id", "text", "lang").where(~held_out(F.col("id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r.lang: r.n for r in d.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r.lang: r.n for r in d.groupBy("lang").agg(F.count("*").alias("n")).limit(labels + 1).collect()}
     if not counts:
         return None
-    share = F.lit(0.0)
-    for y, n in counts.items():
-        share = F.when(F.col("lang") == y, F.lit(min(1.0, per_label / n))).otherwise(share)
+    if len(counts) > labels:
+        raise ValueError(f"there are more than {labels} languages")
+    share = F.element_at(F.create_map(*[F.lit(v) for y, n in counts.items() for v in (y, min(1.0, per_label / n))]), F.col("lang"))
 
     def cut_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -166,30 +284,47 @@ def predict(df: DataFrame, model: dict | None, id_col: str = "doc_id", text_col:
     or repeat; an empty table gives an empty one; other columns are not looked at.
     """
     sent = df.sparkSession.sparkContext.broadcast(model)  # fixed size: buckets x labels and the lexicon
-    key = uuid.uuid4().hex
+
+    def judged(texts: list[str], m: dict) -> tuple[np.ndarray, np.ndarray]:
+        lang, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+        of, parts, scores, counts, has, size = [], [], [], [], [], 0
+
+        def settle() -> None:
+            if parts:
+                e, n, h = emissions(parts, m)
+                scores.append(e)
+                counts.append(n)
+                has.append(h)
+                parts.clear()
+
+        for i, part in pieces(texts):
+            if size + len(part) > PIECE:
+                settle()
+                size = 0
+            of.append(i)
+            parts.append(part)
+            size += len(part)
+        settle()
+        if not of:
+            return lang, score
+        each = np.bincount(of, np.concatenate(counts), len(texts)).astype(np.int64)
+        some = np.flatnonzero((np.bincount(of, np.concatenate(has), len(texts)) > 0) & (each > 0))
+        e = np.concatenate(scores)
+        mine = np.repeat(np.isin(np.arange(len(texts)), some), each)
+        if len(some):
+            post, _ = forward_backward(e[mine], each[some], m["t"])
+            mean = np.add.reduceat(post, np.cumsum(each[some]) - each[some]) / each[some][:, None]
+            lang[some] = np.array(m["labels"], object)[mean.argmax(axis=1)]
+            score[some] = np.minimum(1.0, mean.max(axis=1))
+        return lang, score
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        if m and key not in _open:
-            _open.clear()
-            _open[key] = Recent(lambda w: np.add.reduce(m["w"].take(features(w, m["lexicon"]), 0), 0))
-        emit = _open[key] if m else None
         for b in batches:
-            lang, score = np.full(len(b), UNKNOWN, object), np.zeros(len(b))
-            texts, held, held_words = b.column(2).to_pylist() if m else [], [], 0
-            for i, t in enumerate(texts):
-                words = _WORD.findall(t) if t else []
-                if words:
-                    held.append((i, np.array(list(map(emit.__getitem__, words)), np.float64)))
-                    held_words += len(words)
-                if held and (held_words > 100_000 or i == len(texts) - 1):
-                    size = np.array([len(h[1]) for h in held])
-                    post, _ = forward_backward(np.concatenate([h[1] for h in held]), size, m["t"])
-                    mean = np.add.reduceat(post, np.cumsum(size) - size) / size[:, None]
-                    for (at, _), p in zip(held, mean, strict=True):
-                        lang[at], score[at] = m["labels"][int(p.argmax())], min(1.0, float(p.max()))
-                    held, held_words = [], 0
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(score), *b.columns[3:]], [id_col, "held_out", "lang_pred", "score", *kept])
+            texts = [t or "" for t in b.column(2).to_pylist()] if m else [""] * len(b)
+            found = [judged(texts[i : i + 128], m) for i in range(0, len(texts), 128)] if m else [(np.full(len(b), UNKNOWN, object), np.zeros(len(b)))]
+            lang, score = (np.concatenate([f[i] for f in found]) if found else np.empty(0) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64()), *b.columns[3:]], [id_col, "held_out", "lang_pred", "score", *kept])
 
     kept = [keep] if keep else []
     d = pick(df, id_col, text_col, *kept)
@@ -199,5 +334,6 @@ def predict(df: DataFrame, model: dict | None, id_col: str = "doc_id", text_col:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, by a model of those that aren't held out."""
     docs = read(spark, sf_dir, "documents")
     return predict(docs, learn(docs))
