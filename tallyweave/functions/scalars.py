@@ -7,23 +7,72 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+# A registered function can't be called within a lambda: the forms below give the text of a call, for either place.
+
+
+def let(name: str, value: str, body: str) -> str:
+    """body with the value bound to a name once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def norm_key(t: str) -> str:
+    return f"regexp_replace(upper(coalesce({t}, '')), '[^A-Z0-9#]', '')"
+
+
+def vote_digits(t: str) -> str:
+    """Look-alike letters to digits, the last four digits; nothing left: NULL."""
+    return f"try_cast(nullif(right(regexp_replace(translate(upper(coalesce({t}, '')), 'ØÓODΦφIL', '00000011'), '[^0-9]', ''), 4), '') AS INT)"
+
+
+def page_marker(t: str) -> str:
+    n = lambda g: rf"try_cast(nullif(regexp_extract(regexp_replace(coalesce({t}, ''), '\\s+', ''), '(?i)page([0-9]+)of([0-9]+)', {g}), '') AS INT)"
+    return f"named_struct('n', {n(1)}, 'total', {n(2)})"
+
+
+def barcode_repair(t: str, vd: str) -> str:
+    """Misread beginnings of 18 digits."""
+    fixed = f"concat(IF(left(__d, 5) IN ('80133', '08133', '88133', '90133'), '00', left(__d, 2)), substring(__d, 3, 4), IF(length({vd}) = 8, {vd}, substring(__d, 7, 8)), right(__d, 4))"
+    return let("__d", f"regexp_replace(coalesce({t}, ''), '[^0-9]', '')", f"IF(length(__d) = 18, {fixed}, __d)")
+
+
+def barcode_hit(d: str, family: str) -> str:
+    return f"regexp_extract({d}, CASE WHEN {family} = 'lg2026' THEN '[0-9]{{14}}[346][0-9]{{3}}' ELSE '[0-9]{{14}}[123][0-9]{{3}}' END, 0)"
+
+
+def title_type(t: str) -> str:
+    """Printed titles of ballot types."""
+    return rf"""CASE WHEN upper({t}) RLIKE 'DISTRICT COUNCIL PR|YELLOW BALLOT|DC40 BALLOT' THEN 'District Council PR' WHEN upper({t}) RLIKE 'WARD CANDIDATE|WHITE BALLOT|\\bWARD BALLOT\\b' THEN 'Ward'
+        WHEN upper({t}) RLIKE 'LOCAL COUNCIL PR|GREEN BALLOT|\\bPR BALLOT\\b' THEN 'Local Council PR' END"""
+
+
+def tail_votes(d: str) -> str:
+    """The last matching rule of an over-long reading: four digits, else three, else four as they are."""
+    whole = "CASE WHEN length(__t) <= 4 THEN try_cast(nullif(__t, '') AS INT) WHEN try_cast(right(__t, 4) AS INT) >= 100 THEN try_cast(right(__t, 4) AS INT) WHEN try_cast(right(__t, 3) AS INT) >= 10 THEN try_cast(right(__t, 3) AS INT) ELSE try_cast(right(__t, 4) AS INT) END"
+    return let("__t", d, whole)
+
+
+def open_digits(m: str) -> str:
+    """Letters that are all of one look-alike digit."""
+    plain = "regexp_replace(__m, '[^A-Za-z0-9]', '')"
+    return let("__m", m, f"CASE WHEN {plain} RLIKE '^[bB]+$' THEN translate(__m, 'bB', '99') WHEN {plain} RLIKE '^[0-9][bB]$' THEN concat('9', left({plain}, 1)) WHEN {plain} RLIKE '^[CcZz2]+$' THEN translate({plain}, 'CcZz', '2222') ELSE __m END")
+
+
+def open_votes(t: str) -> str:
+    digits = "regexp_replace(translate(" + open_digits("translate(trim(__o), '于了', '77')") + ", 'ØøOoIl', '000011'), '[^0-9]', '')"
+    return let("__o", f"coalesce({t}, '')", f"CASE WHEN trim(__o) <> '' THEN coalesce({tail_votes(digits)}, {vote_digits('__o')}) END")
+
+
 #: (signature, return type, body), in an order in which each uses earlier ones only.
 FUNCTIONS: list[tuple[str, str, str]] = [
-    ("norm_key(t STRING)", "STRING", r"regexp_replace(upper(coalesce(t, '')), '[^A-Z0-9#]', '')"),
-    # Look-alike letters to digits, the last four digits; nothing left: NULL.
-    ("vote_digits(t STRING)", "INT", r"try_cast(nullif(right(regexp_replace(translate(upper(coalesce(t, '')), 'ØÓODΦφIL', '00000011'), '[^0-9]', ''), 4), '') AS INT)"),
+    ("norm_key(t STRING)", "STRING", norm_key("t")),
+    ("vote_digits(t STRING)", "INT", vote_digits("t")),
     ("family_base(r STRING)", "STRING", r"regexp_replace(coalesce(r, ''), '^(.*) \\([0-9]+\\)$', '$1')"),
     ("copy_number(r STRING)", "INT", r"coalesce(try_cast(nullif(regexp_extract(coalesce(r, ''), ' \\(([0-9]+)\\)$', 1), '') AS INT), 1)"),
     ("next_copy(used ARRAY<INT>)", "INT", "array_min(array_except(sequence(2, size(used) + 2), used))"),
     ("flag_list(j STRING)", "ARRAY<STRING>", "coalesce(from_json(j, 'array<string>'), array())"),
-    ("page_marker(t STRING)", "STRUCT<n: INT, total: INT>", r"named_struct('n', try_cast(nullif(regexp_extract(regexp_replace(coalesce(t, ''), '\\s+', ''), '(?i)page([0-9]+)of([0-9]+)', 1), '') AS INT), 'total', try_cast(nullif(regexp_extract(regexp_replace(coalesce(t, ''), '\\s+', ''), '(?i)page([0-9]+)of([0-9]+)', 2), '') AS INT))"),
-    (
-        "barcode_repair(t STRING, vd STRING)",
-        "STRING",
-        r"""(SELECT CASE WHEN length(d2) = 18 AND length(vd) = 8 THEN concat(left(d2, 6), vd, right(d2, 4)) ELSE d2 END FROM
-        (SELECT CASE WHEN length(d) = 18 AND left(d, 5) IN ('80133', '08133', '88133', '90133') THEN concat('00', substring(d, 3)) ELSE d END AS d2 FROM (SELECT regexp_replace(coalesce(t, ''), '[^0-9]', '') AS d)))""",
-    ),
-    ("barcode_hit(d STRING, family STRING)", "STRING", r"regexp_extract(d, CASE WHEN family = 'lg2026' THEN '[0-9]{14}[346][0-9]{3}' ELSE '[0-9]{14}[123][0-9]{3}' END, 0)"),
+    ("page_marker(t STRING)", "STRUCT<n: INT, total: INT>", page_marker("t")),
+    ("barcode_repair(t STRING, vd STRING)", "STRING", barcode_repair("t", "vd")),
+    ("barcode_hit(d STRING, family STRING)", "STRING", barcode_hit("d", "family")),
     (
         "barcode_parts(hit STRING)",
         "STRUCT<raw_barcode: STRING, slip_reference: STRING, voting_district: STRING, ballot_type: STRING, page_number: INT, page_total: INT>",
@@ -31,22 +80,10 @@ FUNCTIONS: list[tuple[str, str, str]] = [
         element_at(map('1', 'National', '2', 'Provincial', '3', 'Regional'), substring(hit, 15, 1)), 'page_number', CAST(substring(hit, 16, 2) AS INT), 'page_total', IF(substring(hit, 15, 1) = '1', 3, 2)) END""",
     ),
     ("local_type(code STRING)", "STRING", "CASE code WHEN '3' THEN 'Local Council PR' WHEN '4' THEN 'Ward' WHEN '6' THEN 'District Council PR' END"),
-    (
-        "title_type(t STRING)",
-        "STRING",
-        r"""CASE WHEN upper(t) RLIKE 'DISTRICT COUNCIL PR|YELLOW BALLOT|DC40 BALLOT' THEN 'District Council PR' WHEN upper(t) RLIKE 'WARD CANDIDATE|WHITE BALLOT|\\bWARD BALLOT\\b' THEN 'Ward'
-        WHEN upper(t) RLIKE 'LOCAL COUNCIL PR|GREEN BALLOT|\\bPR BALLOT\\b' THEN 'Local Council PR' END""",
-    ),
-    # The last matching rule of an over-long reading: four digits, else three, else four as they are.
-    ("tail_votes(d STRING)", "INT", "CASE WHEN length(d) <= 4 THEN try_cast(nullif(d, '') AS INT) WHEN try_cast(right(d, 4) AS INT) >= 100 THEN try_cast(right(d, 4) AS INT) WHEN try_cast(right(d, 3) AS INT) >= 10 THEN try_cast(right(d, 3) AS INT) ELSE try_cast(right(d, 4) AS INT) END"),
-    (
-        "open_digits(m STRING)",
-        "STRING",
-        r"""CASE WHEN regexp_replace(m, '[^A-Za-z0-9]', '') RLIKE '^[bB]+$' THEN translate(m, 'bB', '99')
-        WHEN regexp_replace(m, '[^A-Za-z0-9]', '') RLIKE '^[0-9][bB]$' THEN concat('9', left(regexp_replace(m, '[^A-Za-z0-9]', ''), 1))
-        WHEN regexp_replace(m, '[^A-Za-z0-9]', '') RLIKE '^[CcZz2]+$' THEN translate(regexp_replace(m, '[^A-Za-z0-9]', ''), 'CcZz', '2222') ELSE m END""",
-    ),
-    ("open_votes(t STRING)", "INT", r"CASE WHEN trim(coalesce(t, '')) <> '' THEN coalesce(tail_votes(regexp_replace(translate(open_digits(translate(trim(t), '于了', '77')), 'ØøOoIl', '000011'), '[^0-9]', '')), vote_digits(t)) END"),
+    ("title_type(t STRING)", "STRING", title_type("t")),
+    ("tail_votes(d STRING)", "INT", tail_votes("d")),
+    ("open_digits(m STRING)", "STRING", open_digits("m")),
+    ("open_votes(t STRING)", "INT", open_votes("t")),
     (
         "fit_votes(v INT, n INT)",
         "INT",
@@ -95,8 +132,13 @@ FUNCTIONS: list[tuple[str, str, str]] = [
 
 def register(spark: SparkSession) -> None:
     """Makes the functions known to the session, once."""
-    if getattr(spark, "_tallyweave_functions", False):
+    declare(spark, "scalars", FUNCTIONS)
+
+
+def declare(spark: SparkSession, what: str, functions: list[tuple[str, str, str]]) -> None:
+    known = spark.__dict__.setdefault("_tallyweave_functions", set())
+    if what in known:
         return
-    spark._tallyweave_functions = True
-    for signature, kind, body in FUNCTIONS:
+    known.add(what)
+    for signature, kind, body in functions:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURNS {kind} RETURN {body}")

@@ -7,10 +7,11 @@ so the fold runs over connected components; within one it is sequential by defin
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.operators.components import components
@@ -49,6 +50,28 @@ class Desk:
         return key
 
 
+    def dump(self) -> str:
+        """The desk's state as JSON."""
+        pages = {key: sorted(p) for group in self.open.values() for key, p in group}
+        order = {group: [key for key, _ in held] for group, held in self.open.items()}
+        return json.dumps({"taken": sorted(self.taken), "next": self.next, "pages": pages, "open": [[list(g), keys] for g, keys in order.items()]})
+
+    @classmethod
+    def load(cls, text: str | None) -> Desk:
+        desk = cls()
+        if text:
+            d = json.loads(text)
+            desk.taken, desk.next = set(d["taken"]), d["next"]
+            slips = {key: (key, set(pages)) for key, pages in d["pages"].items()}
+            desk.open = {tuple(g): [slips[k] for k in keys] for g, keys in d["open"]}
+        return desk
+
+
+def base_of(reference: Column) -> Column:
+    """A slip reference without its copy number."""
+    return F.regexp_replace(F.coalesce(reference, F.lit("")), r"^(.*) \([0-9]+\)$", "$1")
+
+
 def fold(rows: Iterable[tuple]) -> list[str]:
     desk = Desk()
     return [desk.place(*r) for r in rows]
@@ -56,8 +79,7 @@ def fold(rows: Iterable[tuple]) -> list[str]:
 
 def with_components(records: DataFrame) -> DataFrame:
     """Adds base and comp: the smallest base reachable over shared (district, type)."""
-    base = F.regexp_replace(F.coalesce("slip_reference", F.lit("")), r"^(.*) \([0-9]+\)$", "$1")
-    d = records.withColumn("base", base)
+    d = records.withColumn("base", base_of(F.col("slip_reference")))
     known = F.coalesce(F.upper("voting_district"), F.lit("UNKNOWN")) != "UNKNOWN"
     scratch = Scratch(records.sparkSession)
     sites = d.select("base", F.when(known, F.to_json(F.struct("voting_district", "ballot_type"))).alias("site")).distinct()

@@ -58,8 +58,38 @@ def evaluate_rules(metrics: DataFrame, rules: DataFrame) -> DataFrame:
       WHEN 'OFFICER_SIGNATURE_PRESENT' THEN IF(final AND NOT presiding_officer_signature_detected, 'warn', 'pass')
       WHEN 'DUPLICATE_VD_BALLOT' THEN IF(twin, 'fail', 'pass')
       WHEN 'PARTY_SIGNATURE_CONSISTENCY' THEN IF(size(unsigned) > 0, 'warn', 'pass') ELSE 'pass' END"""
-    active = rules.where("is_active")
-    return metrics.where("is_vote_related").crossJoin(F.broadcast(active)).select("id", "rule_code", F.expr(result).alias("result"))  # a rule set is a few rows
+    return metrics.where("is_vote_related").crossJoin(rules.where("is_active")).select("id", "rule_code", F.expr(result).alias("result"))
+
+
+def eligibility(slips: DataFrame, results: DataFrame) -> DataFrame:
+    """(id, eligible, has_warning): no rule failed and no page is missing; slips that aren't about votes are never
+    eligible and always warn."""
+    r = results.groupBy("id").agg(F.bool_or(F.col("result") == "fail").alias("fails"), F.bool_or(F.col("result") == "warn").alias("warns"))
+    d = slips.select("id", "status", "is_vote_related").join(r, "id", "left")
+    fine = F.col("is_vote_related") & ~F.coalesce("fails", F.lit(False)) & (F.col("status") != "incomplete")
+    return d.select("id", fine.alias("eligible"), (~F.col("is_vote_related") | F.coalesce("warns", F.lit(False))).alias("has_warning"))
+
+
+def may_approve(slips: DataFrame, flags: DataFrame) -> DataFrame:
+    """(id, enabled): flags are (id, has_errors, unchecked): a reviewer may approve what is about votes, whole, without
+    errors and with every doubtful row checked."""
+    d = slips.join(flags, "id", "left")
+    fine = F.col("is_vote_related") & (F.col("status") != "incomplete") & ~F.coalesce("has_errors", F.lit(False)) & (F.coalesce("unchecked", F.lit(0)) == 0)
+    return d.select("id", fine.alias("enabled"))
+
+
+def dashboard(slips: DataFrame) -> DataFrame:
+    """One row: slips in all and by status."""
+    return slips.agg(F.count("*").alias("total"), *[F.count_if(F.col("status") == s).alias(n) for s, n in (("approved", "approved"), ("pending_review", "pending"), ("incomplete", "incomplete"), ("flagged", "flagged"))])
+
+
+def upload_summary(uploads: DataFrame) -> DataFrame:
+    """(slip_id, ...) of upload answers (slip_id, seq, page_total, pages array<int>, missing array<int>, status,
+    barcode_text): the largest total, all pages, the last answer's missing pages and status, the last barcode that is
+    there, and the page to take next."""
+    last = lambda c: F.max_by(c, "seq")
+    d = uploads.groupBy("slip_id").agg(F.max("page_total").alias("expected"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("pages")))).alias("received"), last("missing").alias("missing"), last("status").alias("status"), F.max_by("barcode_text", F.when(F.coalesce("barcode_text", F.lit("")) != "", F.col("seq"))).alias("barcode_text"))
+    return d.withColumn("next_page", F.get("missing", F.lit(0)))
 
 
 def approval(metrics: DataFrame, results: DataFrame, party: DataFrame) -> DataFrame:
@@ -95,12 +125,14 @@ def list_slips(slips: DataFrame, results: DataFrame, status: str | None = None,
 
 
 def fold_commands(state: DataFrame, log: DataFrame, key: str = "id") -> DataFrame:
-    """Applies an append-only log (key, seq, field, value) to rows: the latest value of each field wins; a `deleted` field
-    removes the row. Updates and deletes of tables without a table format are expressed this way."""
+    """Applies an append-only log (key, seq, field, value) to rows: the latest value of each field wins; a `deleted` row
+    is gone unless a later `created` one brings it back. What can't be cast to the field's type is NULL."""
     fields = [c for c in state.columns if c != key]
-    last = log.groupBy(key).agg(*[F.max_by("value", F.when(F.col("field") == c, F.col("seq"))).alias(f"__{c}") for c in fields], F.bool_or(F.col("field") == "deleted").alias("__gone"))
-    d = state.join(last, key, "left").where(~F.coalesce("__gone", F.lit(False)))
-    return d.select(key, *[F.coalesce(F.col(f"__{c}").cast(state.schema[c].dataType), F.col(c)).alias(c) for c in fields])
+    at = lambda name: F.max(F.when(F.col("field") == name, F.col("seq")))
+    last = log.groupBy(key).agg(*[F.max_by(F.struct("value"), F.when(F.col("field") == c, F.col("seq"))).alias(f"__{c}") for c in fields], at("deleted").alias("__gone"), at("created").alias("__made"))
+    d = state.join(last, key, "left").where(F.col("__gone").isNull() | F.coalesce(F.col("__made") > F.col("__gone"), F.lit(False)))
+    new = lambda c: F.expr(f"try_cast(`__{c}`.value AS {state.schema[c].dataType.simpleString()})")
+    return d.select(key, *[F.when(F.col(f"__{c}").isNotNull(), new(c)).otherwise(F.col(c)).alias(c) for c in fields])
 
 
 def audit_page(log: DataFrame, users: DataFrame, slips: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
@@ -119,15 +151,21 @@ def score(gold: DataFrame, predicted: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def integrity(slips: DataFrame, pages: DataFrame, party: DataFrame) -> DataFrame:
-    """(check, key) of each violation."""
-    say = lambda d, name, key: d.select(F.lit(name).alias("check"), F.col(key).cast("string").alias("key"))
-    ids = slips.select(F.col("id").alias("slip_id"))
-    out = say(pages.join(ids, "slip_id", "left_anti"), "orphan_page", "id")
-    out = out.union(say(party.join(ids, "slip_id", "left_anti"), "orphan_party_row", "id"))
-    out = out.union(say(party.where("votes < 0 OR confidence_score < 0"), "negative", "id")).union(say(pages.where("page_number < 1"), "page_number", "id"))
-    out = out.union(say(slips.where("status NOT IN ('incomplete', 'pending_review', 'approved', 'rejected', 'flagged')"), "status", "id"))
+    """(check, key) of each violation, from one pass over each table and the joins that need another."""
+
+    def say(d: DataFrame, key: str, checks: dict[str, Column]) -> DataFrame:
+        hits = F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in checks.items()]))
+        return d.select(F.explode(hits).alias("check"), F.col(key).cast("string").alias("key"))
+
+    c, ids = F.col, slips.select(F.col("id").alias("slip_id"), F.lit(True).alias("__known"))
+    out = say(pages.join(ids, "slip_id", "left"), "id", {"orphan_page": c("__known").isNull(), "page_number": c("page_number") < 1})
+    out = out.union(say(party.join(ids, "slip_id", "left"), "id", {"orphan_party_row": c("__known").isNull(), "negative": (c("votes") < 0) | (c("confidence_score") < 0)}))
+    of_slip = {"status": ~c("status").isin("incomplete", "pending_review", "approved", "rejected", "flagged"), "approved_incomplete": (c("status") == "approved") & (c("total_received_pages") < c("total_expected_pages"))}
+    out = out.union(say(slips, "id", of_slip))
     twice = pages.groupBy("slip_id", "page_number").count().where("count > 1")
-    return out.union(say(twice, "page_twice", "slip_id")).union(say(slips.where("status = 'approved' AND total_received_pages < total_expected_pages"), "approved_incomplete", "id"))
+    out = out.union(twice.select(F.lit("page_twice"), c("slip_id").cast("string")))
+    twins = slips.where("status = 'approved'").groupBy("voting_district", "ballot_type").agg(F.count("*").alias("n")).where("n > 1")
+    return out.union(twins.select(F.lit("approved_twins"), F.concat_ws("|", "voting_district", "ballot_type")))
 
 
 def nearest_row(df: DataFrame, keys: list[str], at: str, target: str) -> DataFrame:

@@ -1,8 +1,9 @@
-"""The queries over the driver's tables: an order stands for a slip, its lines for pages and party rows, an event for an
-audit row. A query is SQL that both engines run as it is, or a Spark form and its oracle."""
+"""All queries and their oracles: those that call the operators (records.py, pages.py) and those that are one SQL shape,
+text that both engines run as it is or a Spark form with its oracle."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,54 +11,35 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions.scalars import register
 from tallyweave.operators import assign, slips
+from tallyweave.plans import pages, records
 from tallyweave.streaming import progress
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
-_SUMS = "SELECT l_orderkey AS k, max(l_linenumber) AS expected, count(DISTINCT l_linenumber) AS received, sum(l_quantity) AS qty, sum(l_extendedprice) AS cast_total, sum(l_extendedprice * (1 - l_discount)) AS valid_total FROM lineitem GROUP BY l_orderkey"
-_METRICS = f"SELECT o_orderkey, o_custkey, o_orderpriority, o_orderstatus, o_totalprice, expected, received, qty, cast_total, valid_total FROM orders JOIN ({_SUMS}) s ON o_orderkey = k"
-_RULES = """(SELECT 'ALL_PAGES_PRESENT' AS rule_code, 'error' AS severity UNION ALL SELECT 'RECONCILIATION_MATCH', 'error' UNION ALL SELECT 'TURNOUT_CEILING', 'error' UNION ALL SELECT 'PARTY_SIGNATURE_CONSISTENCY', 'warning')"""
-_RESULTS = f"""SELECT o_orderkey, rule_code, CASE rule_code WHEN 'ALL_PAGES_PRESENT' THEN CASE WHEN received < expected THEN 'fail' ELSE 'pass' END
-  WHEN 'RECONCILIATION_MATCH' THEN CASE WHEN abs(cast_total - o_totalprice) > 100000 THEN 'fail' ELSE 'pass' END
-  WHEN 'TURNOUT_CEILING' THEN CASE WHEN qty > 200 THEN 'fail' WHEN qty > 150 THEN 'warn' ELSE 'pass' END
-  ELSE CASE WHEN o_orderstatus = 'P' THEN 'warn' ELSE 'pass' END END AS result FROM ({_METRICS}) m CROSS JOIN {_RULES} r"""
-_LOW = "SELECT l_orderkey AS k, sum(CASE WHEN (l_quantity > 0 AND l_discount > 0.07) OR l_tax > 0.075 THEN 1 ELSE 0 END) AS low FROM lineitem GROUP BY l_orderkey"
 _PRED = "SELECT d.doc_id, CASE WHEN n_chars >= 400 THEN 1 ELSE 0 END AS predicted, CASE WHEN n_chars >= 800 THEN 1 ELSE 0 END AS other, lang, source FROM documents d"
 _WIN = "(PARTITION BY user_id ORDER BY ts, event_id)"
+_HINTS = "SELECT doc_id, lang, " + ", ".join(f"CASE WHEN contains(lower(text), ' {a} ') THEN 2 ELSE 0 END + CASE WHEN contains(lower(text), ' {b} ') THEN 1 ELSE 0 END AS {k}" for k, a, b in (("en", "the", "of"), ("fr", "les", "et"), ("de", "und", "der"), ("es", "los", "que"))) + " FROM documents"
+_BEST = "CASE WHEN en >= greatest(fr, de, es) THEN 'en' WHEN fr >= greatest(de, es) THEN 'fr' WHEN de >= es THEN 'de' WHEN es >= 0 THEN 'es' END"
 
 #: The same text for both engines.
 SHARED: dict[str, str] = {
-    "consolidate_party_sums": "SELECT l_orderkey, l_partkey, sum(l_quantity) AS votes, min(l_linenumber) AS first_page, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_partkey",
     "join_party_pages": "SELECT l_orderkey, l_linenumber, p_name, p_brand, l_quantity FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size < 10",
-    "slip_list_search": "SELECT o_orderkey, o_orderstatus, c_name, c_mktsegment, CAST(o_totalprice AS DOUBLE) AS total FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'O' AND (c_name ILIKE '%11%' OR c_mktsegment ILIKE '%auto%' OR o_orderpriority ILIKE '%urgent%')",
-    "audit_history_page": "SELECT event_id, user_id, event_type, c_name, n_name FROM events LEFT JOIN customer ON c_custkey = user_id LEFT JOIN nation ON n_nationkey = c_nationkey ORDER BY ts DESC, event_id LIMIT 100 OFFSET 200",
     "slip_history": "SELECT event_id, user_id, event_type, c_name FROM events LEFT JOIN customer ON c_custkey = user_id WHERE user_id = 7",
-    "slip_has_errors": f"SELECT o_orderkey, coalesce(e, 0) AS has_errors, coalesce(w, 0) AS has_warnings FROM orders LEFT JOIN (SELECT l_orderkey, max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS e, max(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS w FROM lineitem GROUP BY l_orderkey) x ON l_orderkey = o_orderkey",
-    "rule_results": _RESULTS,
-    "rule_eligibility": f"SELECT o_orderkey, min(CASE WHEN result = 'fail' THEN 0 ELSE 1 END) AS eligible, max(CASE WHEN result = 'warn' THEN 1 ELSE 0 END) AS has_warning FROM ({_RESULTS}) q GROUP BY o_orderkey",
-    "approval_gate_reason": f"""SELECT m.o_orderkey, CASE WHEN m.o_orderstatus = 'P' THEN 'not_vote_related' WHEN received < expected THEN 'incomplete' WHEN f.fails > 0 THEN 'rule_failed' WHEN w.low > 0 THEN 'low_confidence' ELSE 'approved' END AS decision
-      FROM ({_METRICS}) m JOIN (SELECT o_orderkey, sum(CASE WHEN result = 'fail' THEN 1 ELSE 0 END) AS fails FROM ({_RESULTS}) q GROUP BY o_orderkey) f ON f.o_orderkey = m.o_orderkey JOIN ({_LOW}) w ON w.k = m.o_orderkey""",
-    "duplicate_protection": "SELECT o_orderkey FROM orders o WHERE EXISTS (SELECT 1 FROM orders x WHERE x.o_custkey = o.o_custkey AND x.o_orderpriority = o.o_orderpriority AND x.o_orderstatus = 'F' AND x.o_orderkey <> o.o_orderkey)",
-    "low_confidence_pending": f"SELECT k AS l_orderkey, CAST(low AS BIGINT) AS low FROM ({_LOW}) q WHERE low > 0",
-    "dashboard_counts": "SELECT count(*) AS total, count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS approved, count(CASE WHEN o_orderstatus = 'O' THEN 1 END) AS pending, count(CASE WHEN o_orderstatus = 'P' THEN 1 END) AS flagged FROM orders",
     "turnout_pct": "SELECT o_orderkey, CASE WHEN o_totalprice > 0 THEN round(100 * CAST(q AS DOUBLE) / CAST(o_totalprice AS DOUBLE), 4) END AS pct FROM orders JOIN (SELECT l_orderkey, sum(l_quantity) AS q FROM lineitem GROUP BY l_orderkey) s ON l_orderkey = o_orderkey",
     "confidence_bucket": "SELECT CASE WHEN l_discount < 0.03 THEN 'low' WHEN l_discount < 0.07 THEN 'mid' ELSE 'high' END AS bucket, count(*) AS n FROM lineitem GROUP BY 1",
     "top1_newest_candidate": "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) q WHERE r = 1",
     "newest_lacking_page": "SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber = 3) GROUP BY o_custkey",
     "prev_next_bands": f"SELECT event_id, (value + lag(value) OVER {_WIN}) / 2 AS lo, (value + lead(value) OVER {_WIN}) / 2 AS hi FROM events",
     "moving_avg3": "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) / 3, 6) AS avg3 FROM events",
-    "gold_vs_pred_scores": f"SELECT coalesce(l.doc_id, p.doc_id) AS doc_id, coalesce(l.quality, 0) AS expected, p.predicted AS actual, CASE WHEN coalesce(l.quality, 0) = p.predicted THEN 1 ELSE 0 END AS ok FROM labels l FULL OUTER JOIN ({_PRED}) p ON p.doc_id = l.doc_id",
-    "accuracy_summary": f"SELECT lang, count(*) AS total, count(CASE WHEN predicted = quality THEN 1 END) AS hits, round(100 * CAST(count(CASE WHEN predicted = quality THEN 1 END) AS DOUBLE) / count(*), 1) AS pct FROM labels l JOIN ({_PRED}) p ON p.doc_id = l.doc_id GROUP BY lang",
     "ab_compare_pivot": f"SELECT source, count(CASE WHEN predicted = quality THEN 1 END) AS a, count(CASE WHEN other = quality THEN 1 END) AS b, CASE WHEN count(CASE WHEN predicted = quality THEN 1 END) > count(CASE WHEN other = quality THEN 1 END) THEN 'a' WHEN count(CASE WHEN predicted = quality THEN 1 END) < count(CASE WHEN other = quality THEN 1 END) THEN 'b' ELSE 'tie' END AS winner FROM labels l JOIN ({_PRED}) p ON p.doc_id = l.doc_id GROUP BY source",
-    "extra_predictions": f"SELECT doc_id FROM ({_PRED}) p WHERE predicted = 1 AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = p.doc_id)",
     "files_of_two_runs": "SELECT doc_id FROM labels WHERE quality = 1 UNION SELECT doc_id FROM labels WHERE toxic = 1",
-    "layout_choice": "SELECT doc_id, lang_hit FROM (SELECT doc_id, lang_hit, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, ord) AS r FROM (SELECT doc_id, ord, lang_hit, (CASE WHEN contains(lower(text), w1) THEN 2 ELSE 0 END) + (CASE WHEN contains(lower(text), w2) THEN 1 ELSE 0 END) AS hits FROM documents CROSS JOIN (SELECT 1 AS ord, 'en' AS lang_hit, ' the ' AS w1, ' of ' AS w2 UNION ALL SELECT 2, 'fr', ' les ', ' et ' UNION ALL SELECT 3, 'de', ' und ', ' der ' UNION ALL SELECT 4, 'es', ' los ', ' que ') t) s) q WHERE r = 1",
+    # One row stays one row: the best of a few scores is a CASE, not a ranking.
+    "layout_choice": f"SELECT doc_id, {_BEST} AS lang_hit FROM ({_HINTS}) h",
+    "hint_score": f"SELECT lang, {_BEST} AS best, count(*) AS n, CAST(sum(CASE WHEN {_BEST} = lang THEN 1 ELSE 0 END) AS BIGINT) AS hits FROM ({_HINTS}) h GROUP BY 1, 2",
     "result_slip_evidence": "SELECT doc_id, CASE WHEN (CASE WHEN contains(upper(text), 'LICENSE') THEN 1 ELSE 0 END) + (CASE WHEN contains(upper(text), 'RIGHTS') THEN 1 ELSE 0 END) + (CASE WHEN contains(upper(text), 'UNDER') THEN 1 ELSE 0 END) >= 2 THEN 1 ELSE 0 END AS looks FROM documents",
     "conversation_pages": "SELECT conv_id, max(turn) + 1 AS expected, count(DISTINCT turn) AS received, max(turn) + 1 - count(DISTINCT turn) AS missing FROM conversations GROUP BY conv_id",
     "class_capped_sample": "SELECT quality, doc_id FROM (SELECT quality, doc_id, row_number() OVER (PARTITION BY quality ORDER BY doc_id) AS r FROM labels) q WHERE r <= 20",
     "range_token_cells": "SELECT event_id, band FROM events JOIN (SELECT 1 AS band, 0.0 AS lo, 20.0 AS hi UNION ALL SELECT 2, 20.0, 50.0 UNION ALL SELECT 3, 50.0, 100.0) b ON value >= lo AND value < hi",
-    "summary_export": "SELECT CAST(o_orderkey AS VARCHAR(20)) AS slip_id, coalesce(o_orderstatus, '') AS status, coalesce(c_name, '') AS station, CASE WHEN o_orderstatus = 'F' THEN 'YES' ELSE 'NO' END AS approved FROM orders LEFT JOIN customer ON c_custkey = o_custkey",
-    "integrity_violations": "SELECT 'page_twice' AS kind, l_orderkey AS key FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1 UNION ALL SELECT 'orphan_page', l_orderkey FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey) UNION ALL SELECT 'negative', o_orderkey FROM orders WHERE o_totalprice < 0",
     "evidence_consensus": "SELECT user_id, event_type FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, avg(value) DESC, max(value) DESC, event_type) AS r FROM events GROUP BY user_id, event_type) q WHERE r = 1",
     "edit_distance_snap": "SELECT p_partkey, CASE WHEN levenshtein(p_brand, 'Brand#11') = 1 THEN 'Brand#11' WHEN levenshtein(p_brand, 'Brand#33') = 1 THEN 'Brand#33' END AS snapped FROM part",
     "gap_islands": "SELECT user_id, CAST(island AS BIGINT) AS island, count(*) AS n, max(value) AS peak FROM (SELECT user_id, value, sum(step) OVER (PARTITION BY user_id ORDER BY value, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM (SELECT user_id, event_id, value, CASE WHEN value - lag(value) OVER (PARTITION BY user_id ORDER BY value, event_id) > 10 THEN 1 ELSE 0 END AS step FROM events) a) b GROUP BY user_id, island",
@@ -65,15 +47,17 @@ SHARED: dict[str, str] = {
 }
 
 
-def _views(spark: SparkSession, d: str) -> None:
+def _views(spark: SparkSession, d: str, text: str) -> None:
+    """The tables that a text names as views, and the functions, once a session."""
     for t in TABLES:
-        spark.read.parquet(f"{d}/{t}.parquet").createOrReplaceTempView(t)
+        if re.search(rf"\b{t}\b", text):
+            spark.read.parquet(f"{d}/{t}.parquet").createOrReplaceTempView(t)
     register(spark)
 
 
 def _sql(text: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        _views(spark, d)
+        _views(spark, d, text)
         return spark.sql(text)
 
     return run
@@ -81,10 +65,6 @@ def _sql(text: str) -> Callable[[SparkSession, str], DataFrame]:
 
 #: (Spark SQL, oracle SQL) where the engines spell things differently.
 PAIRS: dict[str, tuple[str, str]] = {
-    "slip_completeness": (
-        "SELECT o_orderkey, expected, size(got) AS received, array_join(array_except(sequence(1, expected), got), ',') AS missing, CASE WHEN size(got) < expected THEN 'incomplete' WHEN flagged THEN 'flagged' WHEN o_orderstatus = 'F' THEN 'approved' ELSE 'pending_review' END AS status FROM orders JOIN (SELECT l_orderkey, max(l_linenumber) AS expected, array_sort(collect_set(l_linenumber)) AS got, bool_or(l_returnflag = 'R') AS flagged FROM lineitem GROUP BY l_orderkey) s ON l_orderkey = o_orderkey",
-        "SELECT o_orderkey, expected, CAST(len(got) AS INTEGER) AS received, array_to_string(list_filter(range(1, expected + 1), lambda x: NOT list_contains(got, x)), ',') AS missing, CASE WHEN len(got) < expected THEN 'incomplete' WHEN flagged THEN 'flagged' WHEN o_orderstatus = 'F' THEN 'approved' ELSE 'pending_review' END AS status FROM orders JOIN (SELECT l_orderkey, max(l_linenumber) AS expected, list_sort(list(DISTINCT l_linenumber)) AS got, bool_or(l_returnflag = 'R') AS flagged FROM lineitem GROUP BY l_orderkey) s ON l_orderkey = o_orderkey",
-    ),
     "first_n_codes": (
         "SELECT l_orderkey, array_join(slice(array_sort(collect_set(l_partkey)), 1, 5), ', ') AS codes FROM lineitem GROUP BY l_orderkey",
         "SELECT l_orderkey, array_to_string(list_sort(list(DISTINCT l_partkey))[1:5], ', ') AS codes FROM lineitem GROUP BY l_orderkey",
@@ -131,6 +111,37 @@ PAIRS: dict[str, tuple[str, str]] = {
         "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY abs(value - 50), event_id) AS r FROM events) q WHERE r = 1",
         "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY abs(value - 50), event_id) = 1",
     ),
+    "event_sessions": (
+        "SELECT user_id, date_format(w.start, 'yyyy-MM-dd HH:mm:ss') AS start, n FROM (SELECT user_id, session_window(CAST(ts AS TIMESTAMP), '2 hours') AS w, count(*) AS n FROM events GROUP BY 1, 2) q",
+        "SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM (SELECT *, sum(step) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 2 HOURS THEN 0 ELSE 1 END AS step FROM events) a) b GROUP BY user_id, island",
+    ),
+    # A row whose key and place are those of the row kept before it goes; sequential, so a fold within a user.
+    "near_duplicate_rows": (
+        "SELECT user_id, size(k) AS kept, k[size(k) - 1] AS last FROM (SELECT user_id, aggregate(array_sort(collect_list(value)), CAST(array() AS ARRAY<DOUBLE>), (k, v) -> IF(v - try_element_at(k, -1) < 12, k, concat(k, array(v)))) AS k FROM events GROUP BY user_id) q",
+        "WITH RECURSIVE r(user_id, v, n) AS (SELECT user_id, min(value), 1 FROM events GROUP BY user_id UNION ALL SELECT r.user_id, (SELECT min(e.value) FROM events e WHERE e.user_id = r.user_id AND e.value - r.v >= 12), n + 1 FROM r WHERE v IS NOT NULL) SELECT user_id, CAST(max(n) AS INTEGER) AS kept, max(v) AS last FROM r WHERE v IS NOT NULL GROUP BY user_id",
+    ),
+    # No source of the training part is in the other; its rows count eightfold.
+    "group_split_sample": (
+        "SELECT doc_id, part, copy FROM (SELECT doc_id, IF(CAST(conv(left(md5(source), 2), 16, 10) AS INT) % 5 = 0, 'check', 'train') AS part FROM documents WHERE source IS NOT NULL) q LATERAL VIEW explode(sequence(1, IF(part = 'train', 8, 1))) x AS copy",
+        "SELECT doc_id, part, CAST(unnest(range(1, CASE WHEN part = 'train' THEN 9 ELSE 2 END)) AS INTEGER) AS copy FROM (SELECT doc_id, CASE WHEN CAST(concat('0x', substring(md5(source), 1, 2)) AS INTEGER) % 5 = 0 THEN 'check' ELSE 'train' END AS part FROM documents WHERE source IS NOT NULL) q",
+    ),
+    "manifest_labels": (
+        "SELECT m.doc_id, m.cell, m.label, l.quality AS gold FROM (SELECT doc_id, posexplode(array(CAST(n_chars % 10 AS INT), CAST(n_chars DIV 10 % 10 AS INT), NULL, 0)) AS (cell, label) FROM documents) m LEFT JOIN labels l ON l.doc_id = m.doc_id",
+        "SELECT m.doc_id, CAST(cell AS INTEGER) AS cell, CAST(CASE cell WHEN 0 THEN n_chars % 10 WHEN 1 THEN n_chars // 10 % 10 WHEN 3 THEN 0 END AS INTEGER) AS label, l.quality AS gold FROM (SELECT doc_id, n_chars, unnest([0, 1, 2, 3]) AS cell FROM documents) m LEFT JOIN labels l ON l.doc_id = m.doc_id",
+    ),
+    "request_outcomes": (
+        "SELECT 1",
+        "SELECT user_id AS request_id, CASE WHEN count(CASE WHEN event_type = 'error' THEN 1 END) > 0 THEN 'error' WHEN count(CASE WHEN event_type = 'purchase' THEN 1 END) > 0 THEN 'complete' ELSE 'aborted' END AS outcome, CAST(min(event_id) FILTER (WHERE event_type = 'error') AS VARCHAR) AS detail FROM events GROUP BY user_id",
+    ),
+    "command_log_state": (
+        "SELECT 1",
+        """WITH e AS (SELECT user_id, arg_max(event_type, event_id) FILTER (WHERE event_type = 'click') AS seg, max(event_id) FILTER (WHERE event_type = 'error') AS gone, max(event_id) FILTER (WHERE event_type = 'signup') AS made FROM events GROUP BY user_id)
+        SELECT c_custkey AS id, coalesce(seg, c_mktsegment) AS segment, c_acctbal AS balance FROM customer LEFT JOIN e ON user_id = c_custkey WHERE gone IS NULL OR made > gone""",
+    ),
+    "stage_progress": (
+        "SELECT 1",
+        "SELECT event_id, 'reading' AS stage, value AS elapsed, event_id % 7 AS done, 8 AS total, 'progress' AS event, 'Reading the counts' AS message, round(greatest(0, value / (event_id % 7 + 0.55::DOUBLE) * (8 - event_id % 7 - 0.55::DOUBLE)), 6) AS remaining_seconds, CAST(round_even(100 * (event_id % 7 + 0.55::DOUBLE) / 8, 0) AS INTEGER) AS percent FROM events",
+    ),
     "event_windows": (
         "SELECT date_format(w.start, 'yyyy-MM-dd HH:mm') AS start, event_type, n FROM (SELECT window(CAST(ts AS TIMESTAMP), '1 hour') AS w, event_type, count(*) AS n FROM events GROUP BY 1, 2) q",
         "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
@@ -139,11 +150,13 @@ PAIRS: dict[str, tuple[str, str]] = {
 
 
 def _page_assignment(spark: SparkSession, d: str) -> DataFrame:
-    """Lines as arriving pages of their order's family, folded in order of part and supplier."""
+    """Lines as arriving pages of their order's family, some of them in a district that families share, folded in order of
+    part and supplier."""
     line = spark.read.parquet(f"{d}/lineitem.parquet")
     seq = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"))
-    pages = line.select((F.col("l_orderkey") * 1000 + seq).alias("ingest_seq"), F.col("l_orderkey").cast("string").alias("slip_reference"), F.lit(None).cast("string").alias("voting_district"), F.lit("National").alias("ballot_type"), F.col("l_linenumber").cast("int").alias("page_number"), F.lit(7).alias("page_total"), F.lit(True).alias("is_vote_related"))
-    return assign.assign_pages(pages)
+    district = F.when(F.col("l_orderkey") % 3 == 0, F.concat(F.lit("D"), (F.col("l_orderkey") / 9).cast("int").cast("string"))).otherwise(F.when(F.col("l_orderkey") % 3 == 1, "unknown"))
+    rows = line.select((F.col("l_orderkey") * 1000 + seq).alias("ingest_seq"), F.col("l_orderkey").cast("string").alias("slip_reference"), district.alias("voting_district"), F.lit("National").alias("ballot_type"), F.col("l_linenumber").cast("int").alias("page_number"), F.lit(7).alias("page_total"), (F.col("l_suppkey") % 11 != 0).alias("is_vote_related"))
+    return assign.assign_pages(rows)
 
 
 def _digit_fusion(spark: SparkSession, d: str) -> DataFrame:
@@ -153,30 +166,31 @@ def _digit_fusion(spark: SparkSession, d: str) -> DataFrame:
     return fuse(line.selectExpr("l_orderkey", "l_linenumber", "CAST(l_partkey % 500 AS INT) AS icr", "0.8D AS icr_conf", "CAST(l_suppkey % 3000 AS INT) AS rapid", "0.5D + l_discount * 4 AS rapid_conf", "l_tax AS ink", "2000 AS registered"))
 
 
-def _nested_json(spark: SparkSession, d: str) -> DataFrame:
-    line = spark.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity"))).alias("lines"))
-    o = spark.read.parquet(f"{d}/orders.parquet").join(line, "o_orderkey", "left")
-    return o.select("o_orderkey", F.to_json(F.struct("o_orderkey", "o_orderstatus", "lines"), {"ignoreNullFields": "false"}).alias("json"))
-
-
 def _command_log(spark: SparkSession, d: str) -> DataFrame:
     """Customers with the events about them folded in as a command log: the latest value of each field wins."""
     state = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("balance"))
     e = spark.read.parquet(f"{d}/events.parquet")
-    log = e.select(F.col("user_id").alias("id"), F.struct("ts", "event_id").alias("seq"), F.when(F.col("event_type") == "click", "segment").when(F.col("event_type") == "error", "deleted").otherwise("other").alias("field"), F.col("event_type").alias("value"))
-    return slips.fold_commands(state, log)
+    field = F.when(F.col("event_type") == "click", "segment").when(F.col("event_type") == "error", "deleted").when(F.col("event_type") == "signup", "created").otherwise("other")
+    return slips.fold_commands(state, e.select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), field.alias("field"), F.col("event_type").alias("value")))
 
 
 def _progress(spark: SparkSession, d: str) -> DataFrame:
     e = spark.read.parquet(f"{d}/events.parquet")
-    return progress.progress(e.select("event_id", F.lit("read").alias("stage"), F.col("value").alias("elapsed"), (F.col("event_id") % 7).alias("done"), F.lit(8).alias("total")))
+    out = progress.progress(e.select("event_id", F.lit("reading").alias("stage"), F.col("value").alias("elapsed"), (F.col("event_id") % 7).alias("done"), F.lit(8).alias("total")))
+    return out.withColumn("remaining_seconds", F.round("remaining_seconds", 6))
+
+
+def _outcomes(spark: SparkSession, d: str) -> DataFrame:
+    e = spark.read.parquet(f"{d}/events.parquet")
+    event = F.when(F.col("event_type") == "purchase", "complete").otherwise(F.col("event_type"))
+    return progress.outcomes(e.select(F.col("user_id").alias("request_id"), F.col("event_id").alias("seq"), event.alias("event"), F.col("event_id").cast("string").alias("detail")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    out = {"slip_completeness": _sql(PAIRS["slip_completeness"][0])}
+    out = dict(records.queries()) | pages.queries()
     out |= {k: _sql(v) for k, v in SHARED.items()} | {k: _sql(v[0]) for k, v in PAIRS.items()}
-    return out | {"page_assignment": _page_assignment, "digit_fusion": _digit_fusion, "nested_detail_json": _nested_json, "command_log_state": _command_log, "stage_progress": _progress}
+    return out | {"page_assignment": _page_assignment, "digit_fusion": _digit_fusion, "command_log_state": _command_log, "stage_progress": _progress, "request_outcomes": _outcomes}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SHARED) | {k: v[1] for k, v in PAIRS.items()}
+    return records.oracle_sql() | pages.oracle_sql() | SHARED | {k: v[1] for k, v in PAIRS.items()}

@@ -20,3 +20,6 @@ RULE_SEED = [
 ]
 STATUSES = ("incomplete", "pending_review", "approved", "rejected", "flagged")
 EXTENSIONS = (".jpg", ".jpeg", ".png", ".pdf")
+#: The first users.
+USERS = "id string, username string, role string"
+USER_SEED = [("usr_operator", "operator", "operator"), ("usr_reviewer", "reviewer", "reviewer"), ("usr_admin", "admin", "admin")]

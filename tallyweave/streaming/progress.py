@@ -5,23 +5,63 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallyweave.functions.scalars import register
 
-#: The share of a page that is done at each stage.
-STAGE_SHARE = {"enhance": 0.12, "read": 0.55, "group": 0.90, "check": 0.97}
+#: The share of a page that is done at each stage, and what is said of it.
+STAGE_SHARE = {"enhancing": 0.12, "reading": 0.55, "grouping": 0.90, "checking": 0.97, "enhance": 0.12, "read": 0.55, "group": 0.90, "check": 0.97}
+STAGE_MESSAGE = {"started": "Starting", "enhancing": "Straightening the photo", "reading": "Reading the counts", "grouping": "Matching the page to a slip", "checking": "Checking totals", "page": "Page ready", "complete": "Finished"}
+
+
+def _of(values: dict, key: str, default) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col(key)), F.lit(default))
 
 
 def progress(events: DataFrame) -> DataFrame:
-    """Adds remaining_seconds and percent to (stage, elapsed, done, total), batch or stream."""
+    """Adds event, message, remaining_seconds and percent to (stage, elapsed, done, total), batch or stream."""
     register(events.sparkSession)
-    share = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in STAGE_SHARE.items() for x in kv]), F.col("stage")), F.lit(0.0))
-    d = events.withColumn("__f", share)
+    d = events.withColumn("__f", _of(STAGE_SHARE, "stage", 0.0))
     args = "CAST(done AS DOUBLE), CAST(total AS DOUBLE), __f"
-    return d.withColumns({"remaining_seconds": F.expr(f"remaining_s(CAST(elapsed AS DOUBLE), {args})"), "percent": F.expr(f"percent_done({args})")}).drop("__f")
+    event = F.when(F.col("stage").isin("started", "complete", "error"), F.col("stage")).otherwise("progress")
+    return d.withColumns({"event": event, "message": _of(STAGE_MESSAGE, "stage", "Processing"), "remaining_seconds": F.expr(f"remaining_s(CAST(elapsed AS DOUBLE), {args})"), "percent": F.expr(f"percent_done({args})")}).drop("__f")
+
+
+def outcomes(events: DataFrame) -> DataFrame:
+    """(request_id, outcome, detail) of event rows (request_id, seq, event, detail): an error ends a request, a request
+    that never completes is aborted."""
+    d = events.groupBy("request_id").agg(F.min(F.when(F.col("event") == "error", F.struct("seq", "detail"))).alias("e"), F.bool_or(F.col("event") == "complete").alias("done"))
+    return d.select("request_id", F.when(F.col("e").isNotNull(), "error").when(F.col("done"), "complete").otherwise("aborted").alias("outcome"), F.col("e.detail").alias("detail"))
+
+
+def to_ndjson(events: DataFrame, path: str, checkpoint: str):
+    """A stream of events as lines of JSON; what a batch is made of is a file."""
+    return events.select(F.to_json(F.struct("*")).alias("value")).writeStream.format("text").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+
+
+def assigned(pages: DataFrame) -> DataFrame:
+    """(ingest_seq, slip_key) of a stream of page records, in order of ingest_seq within each batch.
+
+    State is kept by district and ballot type where the district is known, else by family: families that span districts
+    are put right by assign_pages over all records. State is a row a key: its slips, as JSON.
+    """
+    from tallyweave.operators.assign import Desk, base_of
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        desk = Desk.load(state.get[0] if state.exists else None)
+        for pdf in batches:
+            pdf = pdf.sort_values("ingest_seq")
+            rows = zip(pdf["base"], pdf["voting_district"], pdf["ballot_type"], pdf["page_number"], pdf["is_vote_related"], pdf["ingest_seq"], strict=True)
+            yield pd.DataFrame({"ingest_seq": pdf["ingest_seq"], "slip_key": [desk.place(*r) for r in rows]})
+        state.update((desk.dump(),))
+
+    known = F.coalesce(F.upper("voting_district"), F.lit("UNKNOWN")) != "UNKNOWN"
+    d = pages.withColumn("base", base_of(F.col("slip_reference")))
+    d = d.withColumn("place", F.when(known, F.concat_ws("|", F.lit("d"), "voting_district", "ballot_type")).otherwise(F.concat(F.lit("f|"), "base")))
+    d = d.select("place", "ingest_seq", "base", "voting_district", "ballot_type", "page_number", "is_vote_related")
+    return d.groupBy("place").applyInPandasWithState(step, "ingest_seq bigint, slip_key string", "slips string", "append", GroupStateTimeout.NoTimeout)
 
 
 def windowed(events: DataFrame, ts: str = "ts", size: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
