@@ -19,33 +19,49 @@ from pyspark.sql import functions as F
 from tallyweave.llm.common import best_of, by_dim, cut, own_rows, query_blocks, read, vectors
 
 BINS = 512
-#: Components beyond this take a vector out of the comparison: with them a score could leave 64 bits.
-LARGEST = 2.0**26
+#: Scores are longs; one beyond them counts as the largest or smallest.
+MOST = 2**63 - 1
 _NONE = np.iinfo(np.int64).min
 
 
-def quantise(x: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray]:
-    """floor(scale * x) as whole doubles, and which rows stay in range."""
-    y = np.floor(scale * x)
-    return y, (np.abs(y) <= LARGEST).all(axis=1)
+def quantise(x: np.ndarray, scale: float) -> np.ndarray:
+    """floor(scale * x) as whole doubles."""
+    with np.errstate(over="ignore"):
+        return np.clip(np.floor(scale * x), -1e300, 1e300)
 
 
 def score(c: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Inner products as int64, exact: in doubles where every partial sum is under 2^53, else in integers."""
-    if c.size and q.size and np.abs(c).max() * np.abs(q).max() * c.shape[1] < 2.0**53:
+    """Inner products as int64, exact: in doubles where every partial sum is under 2^53, in int64 under 2^62, and for the
+    rows or queries that go beyond in whole numbers of any size."""
+    if not c.size or not q.size:
+        return np.zeros((len(c), len(q)), np.int64)
+    rows, cols = np.abs(c).max(axis=1), np.abs(q).max(axis=1)
+    n = c.shape[1]
+    if rows.max() * cols.max() * n < 2.0**53:
         return (c @ q.T).astype(np.int64)
-    return c.astype(np.int64) @ q.T.astype(np.int64)
-
-
-def _scores(batches: Iterator[pa.RecordBatch], block: dict, scale: float, rows: int = 2048) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    if rows.max() * cols.max() * n < 2.0**62 and max(rows.max(), cols.max()) < 2.0**62:
+        return c.astype(np.int64) @ q.astype(np.int64).T
+    fine_r, fine_c = rows < 2.0**20, cols < 2.0**20  # products of these stay small
+    out = np.empty((len(c), len(q)), np.int64)
+    if fine_r.any() and fine_c.any():
+        out[np.ix_(fine_r, fine_c)] = score(c[fine_r], q[fine_c])
+    whole = np.frompyfunc(int, 1, 1)
+    big = np.frompyfunc(lambda v: max(-MOST, min(MOST, v)), 1, 1)
+    if not fine_r.all():
+        out[~fine_r] = big(whole(c[~fine_r]) @ whole(q).T).astype(np.int64)
+    if fine_r.any() and not fine_c.all():
+        out[np.ix_(fine_r, ~fine_c)] = big(whole(c[fine_r]) @ whole(q[~fine_c]).T).astype(np.int64)
+    return out
+
+
+def _scores(batches: Iterator[pa.RecordBatch], block: dict, scale: float, rows: int = 1024) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(length, ids, scores) in slices; a query's own row scores _NONE."""
     for b in batches:
         for ids, x in by_dim(b, False):
             n = x.shape[1]
             if n not in block:
                 continue
-            y, fine = quantise(x, scale)
-            ids, y = ids[fine], y[fine]
+            y = quantise(x, scale)
             for i in range(0, len(ids), rows):
                 s = score(y[i : i + rows], block[n][1])
                 r, c = own_rows(block[n][0], ids[i : i + rows])
@@ -60,9 +76,9 @@ def _histograms(vecs: DataFrame, block, spans, scale: float, k: int) -> DataFram
         own, span = block.value, spans.value
         total = {n: np.zeros((len(x[0]), BINS), np.int64) for n, x in own.items()}
         for n, _, s in _scores(batches, own, scale):
-            lo, width = span[n]
-            at = np.floor_divide(s - lo, width)
-            inside = (s >= lo) & (at < BINS)
+            lo, last, width = span[n]
+            inside = (s >= lo) & (s <= last)
+            at = ((s.view(np.uint64) - lo.view(np.uint64)) // width).astype(np.int64)  # distances may need all 64 bits
             q = np.broadcast_to(np.arange(s.shape[1]), s.shape)
             total[n] += np.bincount((q[inside] * BINS + (BINS - 1 - at[inside])).astype(np.int64), minlength=total[n].size).reshape(total[n].shape)
         for n, t in total.items():
@@ -91,14 +107,14 @@ def _finish(vecs: DataFrame, block, least, scale: float, k: int) -> DataFrame:
     return vecs.mapInArrow(run, "query_id long, vec_id long, score long")
 
 
-def top_k(df: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0, block_rows: int = 2048, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def top_k(df: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0, block_rows: int = 4096, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k best inner products of floor(scale * x) for each query, ties to smaller ids.
 
     Queries are the rows whose id is divisible by every; candidates are all rows with another id and as many components.
-    Null ids and vectors, empty vectors and ones that hold null or non-finite components take no part, nor do components
-    beyond 2^26 after scaling (their products could leave 64 bits). Fewer than k candidates give fewer rows. Rows that
-    repeat an id with one vector are listed as often as they occur; a query that repeats asks once. An empty table gives
-    an empty one.
+    Null ids and vectors, empty vectors and ones that hold null or non-finite components take no part. A score beyond 64
+    bits counts as the largest or smallest long. Fewer than k candidates give fewer rows. Rows that repeat an id with one
+    vector are listed as often as they occur; a query that repeats asks once. An empty table gives an empty one; other
+    columns, whatever their names, are not looked at.
     """
     spark = df.sparkSession
     sc, vecs, out = spark.sparkContext, vectors(df, id_col, vec_col), []
@@ -107,40 +123,39 @@ def top_k(df: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0, bloc
         most: dict[int, float] = {}
         for b in batches:
             for _, x in by_dim(b, False):
-                y, fine = quantise(x, scale)
-                if fine.any():
-                    most[x.shape[1]] = max(most.get(x.shape[1], 0), float((y[fine] ** 2).sum(axis=1).max()))
+                with np.errstate(over="ignore"):
+                    most[x.shape[1]] = max(most.get(x.shape[1], 0), float((quantise(x, scale) ** 2).sum(axis=1).max()))
         yield pa.RecordBatch.from_arrays([pa.array(list(most), pa.int64()), pa.array(list(most.values()), pa.float64())], ["dim", "most"])
 
     largest = {r.dim: r.most**0.5 for r in vecs.mapInArrow(extent, "dim long, most double").groupBy("dim").agg(F.max("most").alias("most")).collect()}
     for found in query_blocks(vecs, every, block_rows, False):
-        own = {}
-        for n, (ids, x) in found.items():
-            y, fine = quantise(x, scale)
-            if fine.any():
-                own[n] = (ids[fine], y[fine])
-        if not own:
-            continue
+        own = {n: (ids, quantise(x, scale)) for n, (ids, x) in found.items()}
         block = sc.broadcast(own)  # at most 2 * block_rows vectors
-        # |score| <= |q| |c|, so the first interval holds every score.
-        reach = {n: np.ceil(np.sqrt((y**2).sum(axis=1)) * largest[n] * 1.000001).astype(np.int64) + 1 for n, (_, y) in own.items()}
-        lo = {n: -r for n, r in reach.items()}
-        width = {n: -(-(2 * r + 1) // BINS) for n, r in reach.items()}
-        need = {n: np.full(len(r), k, np.int64) for n, r in reach.items()}
-        todo = True
-        while todo:
-            spans = sc.broadcast({n: (lo[n], width[n]) for n in own})
-            wants = spark.createDataFrame([(int(n), int(q), int(v)) for n, a in need.items() for q, v in enumerate(a)], "dim long, q long, need long")
+        # |score| <= |q| |c|, so the first interval holds every score. Bounds are whole numbers of any size here.
+        with np.errstate(over="ignore", invalid="ignore"):
+            reach = {n: [min(MOST, int(min(v, 2.0**64)) + 1) for v in np.nan_to_num(np.sqrt((y**2).sum(axis=1)) * largest[n] * 1.000001, nan=0.0)] for n, (_, y) in own.items()}
+        lo, last = {n: [-r for r in v] for n, v in reach.items()}, {n: list(v) for n, v in reach.items()}
+        need = {n: [k] * len(v) for n, v in reach.items()}
+        while any(a < z for n in own for a, z in zip(lo[n], last[n], strict=True)):
+            width = {n: [-(-(z - a + 1) // BINS) for a, z in zip(lo[n], last[n], strict=True)] for n in own}
+            spans = sc.broadcast({n: (np.array(lo[n], np.int64), np.array(last[n], np.int64), np.array(width[n], np.uint64)) for n in own})
+            wants = spark.createDataFrame([(n, q, v) for n, a in need.items() for q, v in enumerate(a)], "dim long, q long, need long")
             upto = Window.partitionBy("dim", "q").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
             cum = _histograms(vecs, block, spans, scale, k).withColumn("upto", F.sum("n").over(upto))
             # The first bin that reaches the kth; with fewer than k scores in all, the last one.
             hit = F.max(F.struct((F.col("upto") >= F.col("need")).alias("full"), F.when(F.col("upto") >= F.col("need"), -F.col("bin")).otherwise(F.col("bin")).alias("o"), F.col("bin").alias("bin"), (F.col("upto") - F.col("n")).alias("above"))).alias("x")
-            for r in cum.join(F.broadcast(wants), ["dim", "q"]).groupBy("dim", "q").agg(hit).collect():
-                n, q = r.dim, r.q
-                lo[n][q] += (BINS - 1 - r.x.bin) * width[n][q]
-                need[n][q] -= r.x.above
-            todo = any((w > 1).any() for w in width.values())
-            width = {n: -(-w // BINS) for n, w in width.items()}
+            hits = {(r.dim, r.q): r.x for r in cum.join(F.broadcast(wants), ["dim", "q"]).groupBy("dim", "q").agg(hit).collect()}  # a row a query
+            for n in own:
+                for q in range(len(lo[n])):
+                    x = hits.get((n, q))
+                    if x is None:  # a query without candidates
+                        last[n][q] = lo[n][q]
+                        continue
+                    # The next interval is the bin alone: what lies above it is counted already.
+                    lo[n][q] += (BINS - 1 - x.bin) * width[n][q]
+                    last[n][q] = min(last[n][q], lo[n][q] + width[n][q] - 1)
+                    need[n][q] -= x.above
+        lo = {n: np.array(v, np.int64) for n, v in lo.items()}
         out.append(_finish(vecs, block, sc.broadcast(lo), scale, k))
     if not out:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -151,6 +166,7 @@ def top_k(df: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0, bloc
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best inner products of each fiftieth vector."""
     return top_k(read(spark, sf_dir, "embeddings"))
 
 
