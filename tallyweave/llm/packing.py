@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import bisect
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -20,15 +21,21 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tallyweave.llm.bpe_stream import byte_letters
-from tallyweave.llm.common import cut, pick, read
+from tallyweave.llm.common import pick, read
 from tallyweave.llm.words import Recent
+from tallyweave.tables import Scratch
 
 CAPACITY, SEPARATOR = 2048, 0
 _encoders: dict[str, Encoder] = {}
 
 
+#: White space that the fast encoder's pattern would not get through; the tokenizers library itself takes such texts.
+_LONG_BLANK = re.compile(r"\s{256}")
+
+
 class _Blank(Exception):
     pass
 
@@ -44,6 +51,7 @@ class Encoder:
         ranks = {bytes(back[c] for c in w): i for w, i in d["model"]["vocab"].items() if w not in self.special}
         self.core = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
         self.chunks = Recent(self._chunk)
+        self.path, self.library = path, None
 
     def _raw(self, text: str) -> bytes:
         return np.array(self.core.encode_ordinary(text), "<u4").tobytes()
@@ -55,6 +63,9 @@ class Encoder:
         return self._raw(" " + chunk)
 
     def encode(self, text: str) -> bytes:
+        if _LONG_BLANK.search(text):
+            self.library = self.library or Tokenizer.from_file(self.path)
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if any(s in text for s in self.special):
             return np.array(self.core.encode(text, allowed_special="all"), "<u4").tobytes()
         first, *rest = text.split(" ")
@@ -177,13 +188,14 @@ def solve(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, i
     return plan, bins
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = 256) -> DataFrame:
-    """The pieces with sequence_id and offset. Pieces are read several times: pass a written table."""
+def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = 256, scratch: Scratch | None = None) -> DataFrame:
+    """The pieces with sequence_id and offset. Pieces are read several times: pass a written table. Null ids and rows that
+    repeat are packed as they come; no pieces give none."""
     salt = F.pmod(F.xxhash64(*pieces.columns[:2]), F.lit(salts)).alias("salt")
     own = pieces.select("*", salt)
     counts = own.groupBy("length", "salt").agg(F.count("*").alias("n"))
     base = F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")
-    counts = cut(counts.withColumn("base", base), "counts")
+    counts = (scratch or Scratch(pieces.sparkSession)).cut(counts.withColumn("base", base), "counts")
     total = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # as many as the capacity
     plan, _ = solve(total, capacity)
     plan.sort()
@@ -214,8 +226,11 @@ def pack_documents(df: DataFrame, path: str, capacity: int = CAPACITY, id_col: s
     A null text counts as empty: a piece of the separator alone. Ids may be null; rows that repeat are packed as often as
     they occur; an empty table gives an empty one; other columns are not looked at. Whole texts are encoded.
     """
-    return pack(cut(pieces_of(df, path, capacity, id_col, text_col), "pieces"), capacity)
+    scratch = Scratch(df.sparkSession)
+    pieces = scratch.cut(pieces_of(df, path, capacity, id_col, text_col), "pieces")
+    return scratch.end(pack(pieces, capacity, scratch=scratch), "packed")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens."""
     return pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
