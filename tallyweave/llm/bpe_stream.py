@@ -15,6 +15,7 @@ import heapq
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import public_tokenizers
 import pyarrow as pa
@@ -115,10 +116,11 @@ class BpeModel:
         if held:
             yield from self.merge([*held[:-1], held[-1] + self.end])
 
+    def letters_of(self, piece: str) -> str:
+        return piece if piece.isascii() and piece.isalnum() else "".join(map(self.letters.__getitem__, piece.encode()))
+
     def _piece(self, piece: str) -> tuple[str, str]:
-        word = piece if piece.isascii() and piece.isalnum() else "".join(map(self.letters.__getitem__, piece.encode()))
-        # A word within the lookahead has nothing stable before its end.
-        t = self.merge([*word[:-1], word[-1] + self.end]) if len(word) <= self.lookahead else list(self.stream([word]))
+        t = list(self.stream([self.letters_of(piece)]))  # a word's end makes all of it stable
         return " ".join([str(self.vocab[x]) for x in t]), " ".join(t)
 
     def _chunk(self, chunk: str) -> tuple[str, str]:
@@ -132,18 +134,46 @@ class BpeModel:
             text = text.replace("Σ", "σ")  # letter by letter: no final form
         return text.lower()
 
+    def blocks(self, text: str, size: int = 1 << 16) -> Iterator[str]:
+        """The text in blocks of about `size` characters, each ended by white space that no mark follows, so that blocks
+        are normalised and split as the whole is; a longer run without white space widens its block."""
+        at = 0
+        while at < len(text):
+            to = at + size
+            while to < len(text) and not (text[to - 1].isspace() and not unicodedata.combining(text[to]) and not text[to].isspace()):
+                to += 1
+            yield text[at:to]
+            at = to
+
+    def split(self, block: str) -> list[str]:
+        words = self.normal(block)
+        return regex.split(r"\s+", words) if any(c in words for c in "\x1c\x1d\x1e\x1f") else words.split()
+
     def encode_parts(self, text: str, most: int = 4096) -> Iterator[str]:
-        """encode()'s ids in parts of about `most` words; never empty ones."""
+        """encode()'s ids in parts of about `most` words or tokens; never empty ones. What is held besides the text is a
+        block, a part, and of a long word the transducer's lookahead."""
         for part in self.cut.split(text) if any(s in text for s in self.special) else [text]:
             if part in self.special:
                 yield str(self.special[part])
-            elif part:
-                words = self.normal(part)
-                words = regex.split(r"\s+", words) if any(c in words for c in "\x1c\x1d\x1e\x1f") else words.split()
+                continue
+            for block in self.blocks(part):
+                words = self.split(block)
+                if words and max(map(len, words)) > most:
+                    for w in words:
+                        yield from self.long_word(w, most) if len(w) > most else filter(None, [self.chunks[w][0]])
+                    continue
                 for i in range(0, len(words), most):
                     if ids := " ".join([f[0] for f in map(self.chunks.__getitem__, words[i : i + most]) if f[0]]):
                         yield ids
 
+    def long_word(self, word: str, most: int) -> Iterator[str]:
+        """A long word's ids as its tokens become stable, in parts of `most` tokens."""
+        for m in self.word.finditer(word):
+            parts = (self.letters_of(m[0][i : i + most]) for i in range(0, len(m[0]), most))
+            ids = (str(self.vocab[t]) for t in self.stream(parts))
+            while group := " ".join(islice(ids, most)):
+                yield group
+
     def encode(self, text: str) -> tuple[str, str]:
         """(ids in decimal, their names), each joined by one space."""
         ids, names = [], []
@@ -152,9 +182,7 @@ class BpeModel:
                 ids.append(str(self.special[part]))
                 names.append(part)
             elif part:
-                words = self.normal(part)
-                words = regex.split(r"\s+", words) if any(c in words for c in "\x1c\x1d\x1e\x1f") else words.split()
-                found = [f for f in map(self.chunks.__getitem__, words) if f[0]]
+                found = [f for f in map(self.chunks.__getitem__, self.split(part)) if f[0]]
                 ids += [f[0] for f in found]
                 names += [f[1] for f in found]
         return " ".join(ids), " ".join(names)
@@ -228,4 +256,5 @@ def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and its ids decoded again."""
     return encode_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
