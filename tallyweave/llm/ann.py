@@ -138,4 +138,5 @@ def nearest(
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of each hundredth one."""
     return nearest(read(spark, sf_dir, "embeddings"))

@@ -206,6 +206,7 @@ def union(tables: list[DataFrame]) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its near-duplicates' component."""
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 

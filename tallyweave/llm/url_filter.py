@@ -138,6 +138,7 @@ def judge_urls(df: DataFrame, rules: Iterable[tuple[str, str]], id_col: str = "p
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url judged by the five rules."""
     return judge_urls(read(spark, sf_dir, "pages"), CONTRACT_RULES)
 
 
