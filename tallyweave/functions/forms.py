@@ -306,8 +306,8 @@ FUNCTIONS: list[tuple[str, str, str]] = [
     ("as_json_text(a ARRAY<STRING>)", "STRING", "IF(size(a) > 0, to_json(a), NULL)"),
     ("iso_utc(t TIMESTAMP)", "STRING", r"date_format(t, 'yyyy-MM-dd\'T\'HH:mm:ss\'Z\'')"),
     ("shown(t STRING)", "STRING", "coalesce(nullif(t, ''), '—')"),
-    ("shown_conf(c DOUBLE)", "STRING", "coalesce(format_string('%.2f', c), '—')"),
-    ("turnout_text(cast_votes INT, registered INT)", "STRING", "IF(coalesce(registered, 0) = 0, '0.0', format_string('%.1f', 100D * cast_votes / registered))"),
+    ("shown_conf(c DOUBLE)", "STRING", "IF(c IS NULL, '—', format_string('%.2f', c))"),
+    ("turnout_text(cast_votes INT, registered INT)", "STRING", "IF(coalesce(registered, 0) = 0, '0.0', format_string('%.1f', 100D * coalesce(cast_votes, 0) / registered))"),
     ("duration_text(seconds DOUBLE)", "STRING", "concat(string(CAST(greatest(0D, round(coalesce(seconds, 0D))) AS BIGINT) DIV 60), ':', lpad(string(CAST(greatest(0D, round(coalesce(seconds, 0D))) AS BIGINT) % 60), 2, '0'))"),
     # Seconds from now, rounded step by step: (amount, unit).
     (
