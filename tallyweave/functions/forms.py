@@ -103,6 +103,34 @@ def _total(pattern: str, large: bool) -> str:
     return _let("l", label, f"IF(l IS NULL, NULL, {_let('h', _row_hits('l'), pick)})")
 
 
+def _median(a: str) -> str:
+    return _let("__s", f"array_sort({a})", "(__s[(size(__s) - 1) DIV 2] + __s[size(__s) DIV 2]) / 2D")
+
+
+def _gaps(a: str) -> str:
+    return f"transform(sequence(1, size({a}) - 1), j -> CAST({a}[j] - {a}[j - 1] AS DOUBLE))"
+
+
+def _aligned() -> str:
+    """Rows between ruled lines: the most regular run of n + 1 lines; else all lines with missed ones put in, those too near
+    left out, and what is missing at the end carried on by the median of the last gaps."""
+    mean = "aggregate(g, 0D, (a, x) -> a + x) / size(g)"
+    spread = f"sqrt(aggregate(transform(g, x -> (x - {mean}) * (x - {mean})), 0D, (a, x) -> a + x) / size(g))"
+    score = _let("m", _median("g"), f"IF(array_min(g) >= greatest(6D, m * 0.55D) AND array_max(g) <= m * 1.65D, -{spread} - abs(m - {mean}), NULL)")
+    band = "slice(l, i + 1, n + 1)"
+    best = f"array_max(filter(transform(sequence(0, size(l) - n - 1), i -> named_struct('score', {_let('g', _gaps(band), score)}, 'first', -i)), b -> b.score IS NOT NULL))"
+    whole = f"IF(size(l) > n, transform(slice(l, 1 - {best}.first, n + 1), x -> CAST(x AS DOUBLE)), NULL)"
+    missed = "greatest(1, CAST(bround((y - try_element_at(b, -1)) / m) AS INT))"
+    fill = f"IF({missed} > 1 AND y - try_element_at(b, -1) > m * 1.55D, transform(sequence(1, greatest({missed} - 1, 1)), k -> try_element_at(b, -1) + k * (y - try_element_at(b, -1)) / {missed}), CAST(array() AS ARRAY<DOUBLE>))"
+    grown = f"aggregate(slice(l, 2, size(l)), array(CAST(l[0] AS DOUBLE)), (b, y) -> IF(size(b) > n OR y - try_element_at(b, -1) < m * 0.52D, b, concat(b, {fill}, array(CAST(y AS DOUBLE)))))"
+    step = _let("r", f"filter({_gaps('__t')}, x -> x > m * 0.55D)", f"IF(size(r) > 0, {_median('r')}, m)")
+    step = _let("__t", "slice(b, greatest(size(b) - 6, 1), 7)", f"IF(size(__t) > 1, {step}, m)")
+    carried = _let("b", grown, _let("d", step, "concat(b, IF(size(b) <= n, transform(sequence(1, n + 1 - size(b)), k -> try_element_at(b, -1) + k * d), CAST(array() AS ARRAY<DOUBLE>)))"))
+    other = _let("p", f"filter({_gaps('l')}, x -> x > 3)", _let("m", f"IF(size(p) > 0, {_median('p')}, NULL)", f"IF(m > 0, {carried}, NULL)"))
+    rows = "IF(e IS NULL, CAST(array() AS ARRAY<STRUCT<y1: INT, y2: INT>>), transform(sequence(1, n), k -> named_struct('y1', CAST(bround(e[k - 1]) AS INT), 'y2', CAST(bround(e[k]) AS INT))))"
+    return _let("l", "array_sort(array_distinct(lines))", f"IF(n < 1 OR size(l) < 2, CAST(array() AS ARRAY<STRUCT<y1: INT, y2: INT>>), {_let('e', f'coalesce({whole}, {other})', rows)})")
+
+
 #: (signature, return type, body), in an order in which each uses earlier ones and those of scalars.py only.
 FUNCTIONS: list[tuple[str, str, str]] = [
     # Lines: place, people, totals.
@@ -300,6 +328,14 @@ FUNCTIONS: list[tuple[str, str, str]] = [
         rf"""nullif(btrim(regexp_replace(array_join(transform(array_sort(transform(filter(items, i -> i.cy >= y1 AND i.cy < y2 AND i.x1 >= width * 0.10D AND i.x2 < label_x - 2 AND trim(i.text) <> '' AND NOT i.text RLIKE '{_NO_ROW}' AND NOT trim(i.text) RLIKE '^[0-9OØIlCcZz\\s]{{1,5}}$' AND NOT i.text RLIKE '{_WARD}' AND NOT i.text RLIKE '{_TEST_PARTY}'),
         i -> named_struct('cy', i.cy, 'x1', i.x1, 'text', trim(i.text)))), b -> b.text), ' '), '\\s+', ' '), ' -'), '')""",
     ),
+    ("aligned_rows(lines ARRAY<INT>, n INT)", "ARRAY<STRUCT<y1: INT, y2: INT>>", _aligned()),
+    # Values in order join the cluster before them while they are near its running centre.
+    (
+        "running_clusters(v ARRAY<DOUBLE>, gap DOUBLE)",
+        "ARRAY<STRUCT<centre: DOUBLE, n: INT>>",
+        """aggregate(array_sort(v), CAST(array() AS ARRAY<STRUCT<centre: DOUBLE, n: INT>>), (k, x) -> IF(x - try_element_at(k, -1).centre <= gap, concat(slice(k, 1, size(k) - 1),
+        array(named_struct('centre', (try_element_at(k, -1).centre * try_element_at(k, -1).n + x) / (try_element_at(k, -1).n + 1), 'n', try_element_at(k, -1).n + 1))), concat(k, array(named_struct('centre', x, 'n', 1)))))""",
+    ),
     ("edge_at(at DOUBLE, slope DOUBLE, y_ref DOUBLE, y DOUBLE)", "DOUBLE", "at + slope * (y - y_ref)"),
     ("digit_token(t STRING)", "STRING", "regexp_replace(translate(trim(coalesce(t, '')), 'ØøΦφOoIlSsBb了', '0000001155887'), '[^0-9]', '')"),
     # Presentation.

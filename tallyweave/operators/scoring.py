@@ -103,3 +103,13 @@ def gate(checks: DataFrame, least: float) -> DataFrame:
     c = checks.agg(F.count_if("ok").alias("hits"), F.count("*").alias("total"))
     pct = percent(F.col("hits"), F.col("total"))
     return c.select(pct.alias("pct"), F.coalesce(pct >= least, F.lit(False)).alias("passed"))
+
+
+def consensus(observations: DataFrame, key: str) -> DataFrame:
+    """(key, value, score): of readings (key, value, score, source) the value with the best evidence: its best score, more
+    for each further reading, for a second source and for single cells; ties go to more readings, then the better one,
+    then the smaller value."""
+    d = observations.groupBy(key, "value").agg(F.max("score").alias("best"), F.count("*").alias("n"), F.countDistinct("source").alias("sources"), F.bool_or(F.col("source") == "cells").alias("cells"))
+    more = F.least(F.lit(0.15), 0.05 * (F.col("n") - 1)) + F.when(F.col("sources") > 1, 0.04).otherwise(0.0) + F.when(F.col("cells"), 0.06).otherwise(0.0)
+    d = d.withColumn("score", F.col("best") + more)
+    return d.groupBy(key).agg(F.max(F.struct(F.round("score", 9).alias("r"), "n", "best", (-F.col("value")).alias("v"), "value", "score")).alias("x")).select(key, "x.value", "x.score")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyweave.functions.scalars import register
-from tallyweave.operators import assign, slips
+from tallyweave.operators import assign, slips, stats
 from tallyweave.plans import pages, records
 from tallyweave.streaming import progress
 
@@ -43,7 +43,6 @@ SHARED: dict[str, str] = {
     "evidence_consensus": "SELECT user_id, event_type FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, avg(value) DESC, max(value) DESC, event_type) AS r FROM events GROUP BY user_id, event_type) q WHERE r = 1",
     "edit_distance_snap": "SELECT p_partkey, CASE WHEN levenshtein(p_brand, 'Brand#11') = 1 THEN 'Brand#11' WHEN levenshtein(p_brand, 'Brand#33') = 1 THEN 'Brand#33' END AS snapped FROM part",
     "gap_islands": "SELECT user_id, CAST(island AS BIGINT) AS island, count(*) AS n, max(value) AS peak FROM (SELECT user_id, value, sum(step) OVER (PARTITION BY user_id ORDER BY value, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM (SELECT user_id, event_id, value, CASE WHEN value - lag(value) OVER (PARTITION BY user_id ORDER BY value, event_id) > 10 THEN 1 ELSE 0 END AS step FROM events) a) b GROUP BY user_id, island",
-    "robust_stats": "SELECT event_type, round(median(value), 6) AS med, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd FROM events GROUP BY event_type",
 }
 
 
@@ -63,8 +62,8 @@ def _sql(text: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-#: (Spark SQL, oracle SQL) where the engines spell things differently.
-PAIRS: dict[str, tuple[str, str]] = {
+#: (Spark SQL, oracle SQL) where the engines spell things differently; None where an operator is called.
+PAIRS: dict[str, tuple[str | None, str]] = {
     "first_n_codes": (
         "SELECT l_orderkey, array_join(slice(array_sort(collect_set(l_partkey)), 1, 5), ', ') AS codes FROM lineitem GROUP BY l_orderkey",
         "SELECT l_orderkey, array_to_string(list_sort(list(DISTINCT l_partkey))[1:5], ', ') AS codes FROM lineitem GROUP BY l_orderkey",
@@ -129,17 +128,21 @@ PAIRS: dict[str, tuple[str, str]] = {
         "SELECT m.doc_id, m.cell, m.label, l.quality AS gold FROM (SELECT doc_id, posexplode(array(CAST(n_chars % 10 AS INT), CAST(n_chars DIV 10 % 10 AS INT), NULL, 0)) AS (cell, label) FROM documents) m LEFT JOIN labels l ON l.doc_id = m.doc_id",
         "SELECT m.doc_id, CAST(cell AS INTEGER) AS cell, CAST(CASE cell WHEN 0 THEN n_chars % 10 WHEN 1 THEN n_chars // 10 % 10 WHEN 3 THEN 0 END AS INTEGER) AS label, l.quality AS gold FROM (SELECT doc_id, n_chars, unnest([0, 1, 2, 3]) AS cell FROM documents) m LEFT JOIN labels l ON l.doc_id = m.doc_id",
     ),
+    "robust_stats": (
+        None,
+        "SELECT event_type, count(*) AS n, round(median(value), 6) AS med, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd, round(stddev_pop(value) / avg(value), 6) AS cv, round(sum(value * (event_id % 5)) / sum(event_id % 5), 6) AS weighted FROM events GROUP BY event_type",
+    ),
     "request_outcomes": (
-        "SELECT 1",
+        None,
         "SELECT user_id AS request_id, CASE WHEN count(CASE WHEN event_type = 'error' THEN 1 END) > 0 THEN 'error' WHEN count(CASE WHEN event_type = 'purchase' THEN 1 END) > 0 THEN 'complete' ELSE 'aborted' END AS outcome, CAST(min(event_id) FILTER (WHERE event_type = 'error') AS VARCHAR) AS detail FROM events GROUP BY user_id",
     ),
     "command_log_state": (
-        "SELECT 1",
+        None,
         """WITH e AS (SELECT user_id, arg_max(event_type, event_id) FILTER (WHERE event_type = 'click') AS seg, max(event_id) FILTER (WHERE event_type = 'error') AS gone, max(event_id) FILTER (WHERE event_type = 'signup') AS made FROM events GROUP BY user_id)
         SELECT c_custkey AS id, coalesce(seg, c_mktsegment) AS segment, c_acctbal AS balance FROM customer LEFT JOIN e ON user_id = c_custkey WHERE gone IS NULL OR made > gone""",
     ),
     "stage_progress": (
-        "SELECT 1",
+        None,
         "SELECT event_id, 'reading' AS stage, value AS elapsed, event_id % 7 AS done, 8 AS total, 'progress' AS event, 'Reading the counts' AS message, round(greatest(0, value / (event_id % 7 + 0.55::DOUBLE) * (8 - event_id % 7 - 0.55::DOUBLE)), 6) AS remaining_seconds, CAST(round_even(100 * (event_id % 7 + 0.55::DOUBLE) / 8, 0) AS INTEGER) AS percent FROM events",
     ),
     "event_windows": (
@@ -186,10 +189,16 @@ def _outcomes(spark: SparkSession, d: str) -> DataFrame:
     return progress.outcomes(e.select(F.col("user_id").alias("request_id"), F.col("event_id").alias("seq"), event.alias("event"), F.col("event_id").cast("string").alias("detail")))
 
 
+def _robust(spark: SparkSession, d: str) -> DataFrame:
+    e = spark.read.parquet(f"{d}/events.parquet").withColumn("w", F.col("event_id") % 5)
+    out = stats.summaries(e, "event_type", "value", "w")
+    return out.select("event_type", "n", *[F.round(c, 6).alias(c) for c in ("med", "mean", "sd", "cv", "weighted")])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = dict(records.queries()) | pages.queries()
-    out |= {k: _sql(v) for k, v in SHARED.items()} | {k: _sql(v[0]) for k, v in PAIRS.items()}
-    return out | {"page_assignment": _page_assignment, "digit_fusion": _digit_fusion, "command_log_state": _command_log, "stage_progress": _progress, "request_outcomes": _outcomes}
+    out |= {k: _sql(v) for k, v in SHARED.items()} | {k: _sql(v[0]) for k, v in PAIRS.items() if v[0]}
+    return out | {"page_assignment": _page_assignment, "digit_fusion": _digit_fusion, "command_log_state": _command_log, "stage_progress": _progress, "request_outcomes": _outcomes, "robust_stats": _robust}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -111,6 +111,11 @@ QUERIES: dict[str, tuple[str, str, str]] = {
         "o_orderkey AS k, b[0].y1 AS a, b[0].y2 AS b, b[1].y1 AS c, b[1].y2 AS d FROM (SELECT o_orderkey, row_bands(array(CAST(100 + o_orderkey % 10 AS DOUBLE), CAST(200 + o_custkey % 10 AS DOUBLE)), array(10D, 10D), 230) AS b FROM {t})",
         "SELECT o_orderkey AS k, CAST(trunc(100 + o_orderkey % 10 - (100 + o_custkey % 10 - o_orderkey % 10) / 2.0::DOUBLE) AS INTEGER) AS a, CAST(trunc((300 + o_orderkey % 10 + o_custkey % 10) / 2.0::DOUBLE) AS INTEGER) AS b, CAST(trunc((300 + o_orderkey % 10 + o_custkey % 10) / 2.0::DOUBLE) AS INTEGER) AS c, 230 AS d FROM orders",
     ),
+    "row_alignment": (
+        "orders",
+        "o_orderkey AS k, array_join(transform(x, r -> concat(CAST(r.y1 AS STRING), '-', CAST(r.y2 AS STRING))), ',') AS rows FROM (SELECT o_orderkey, aligned_rows(filter(concat(transform(sequence(0, 5), j -> CAST(100 + 20 * j AS INT)), array(IF(o_orderkey % 2 = 0, 103, 100))), y -> o_orderkey % 2 = 0 OR y <> 100 + 20 * (o_orderkey % 4 + 1)), 5) AS x FROM {t})",
+        "SELECT o_orderkey AS k, concat(CASE WHEN o_orderkey % 2 = 0 THEN '103' ELSE '100' END, '-120,120-140,140-160,160-180,180-200') AS rows FROM orders",
+    ),
     "band_names": (
         "orders",
         f"o_orderkey AS k, band_name(array({_item("'Roe '", '300', '52')}, {_item("concat('Jane', CAST(o_custkey % 5 AS STRING))", '300', '48')}, {_item("'12'", '300', '50')}, {_item("'margin'", '15', '50')}, {_item("'TRAAN'", '300', '50')}), 40D, 60D, 500D, 1000D) AS name FROM {{t}}",

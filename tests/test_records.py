@@ -24,6 +24,7 @@ GOLDEN = [
     ("classify_form(array('yellow ballot'), NULL, NULL).ballot_type", "District Council PR"), ("classify_form(array('x'), true, 'Ward').reason", "result_grid"), ("classify_form(array('x'), false, 'Ward').reason", "colour_bar"), ("classify_form(array('x'), NULL, NULL).reason", "default_iec"),
     ("snap_code('tr-ab', array('TRAAB'), array())", "TRAAB"), ("snap_code('TRAGX', array('TRAGJ', 'TRAAB'), array())", "TRAGJ"), ("snap_code('TRXX', array('TRAAB'), array('TRXX'))", None), ("snap_code('AB', array(), array())", None),
     ("slip_ref(NULL, NULL, 'National', 1)", "UNREAD_NAT_p1"), ("digit_token('S1 l了')", "5117"), ("duration_text(-3D)", "0:00"), ("shown_conf(NULL)", "—"), ("turnout_text(5, 0)", "0.0"), ("relative_time(-150).n", -2), ("relative_time(59).unit", "second"), ("status_label('x_y')", "x y"), ("ballot_class('Local Council PR')", "local-council-pr"),
+    ("to_json(running_clusters(array(1D, 2D, 9D, 3D), 2D))", '[{"centre":2.0,"n":3},{"centre":9.0,"n":1}]'), ("to_json(aligned_rows(array(10, 30, 50), 4))", '[{"y1":10,"y2":30},{"y1":30,"y2":50},{"y1":50,"y2":70},{"y1":70,"y2":90}]'), ("size(aligned_rows(array(5), 3))", 0), ("size(aligned_rows(array(5, 6), 0))", 0),
     (f"row_hits(array({item('12', 300, 50)}, {item('x', 350, 50)}, {item('7', 200, 50)}), {item('label', 50, 50)})[1].votes", 12),
     (f"token_totals(array({item('TOTAL VALID VOTES', 50, 50)}, {item('12', 300, 50)}, {item('481', 500, 50)}, {item('29', 800, 50)}), 1000D).valid", 481),
     (f"token_totals(array({item('TOTAL VALID VOTES', 50, 50)}, {item('481', 500, 50)}, {item('493', 800, 50)}), 1000D).valid", 493),
@@ -134,3 +135,16 @@ def test_upload_and_approval_flags(spark):
     s = spark.createDataFrame([("a", True, "pending_review"), ("b", True, "incomplete"), ("c", False, "pending_review")], "id string, is_vote_related boolean, status string")
     f = spark.createDataFrame([("a", False, 0)], "id string, has_errors boolean, unchecked long")
     assert {x.id for x in slips.may_approve(s, f).where("enabled").collect()} == {"a"}
+
+
+def test_medians_are_exact(spark):
+    import random
+    import statistics
+
+    from tallyweave.operators import stats
+
+    rng = random.Random(5)
+    groups = {"a": [rng.random() for _ in range(5001)], "b": [rng.randrange(3) for _ in range(4000)], "c": [7.0], "d": [1.0, 2.0], None: [3.0, 3.0, 9.0], "e": [-1.0, 1.0]}
+    rows = [(k, float(v), 1.0) for k, vs in groups.items() for v in vs] + [("a", None, 1.0), ("z", None, 1.0)]
+    got = {r.k: (r.n, r.med, r.cv) for r in stats.summaries(spark.createDataFrame(rows, "k string, v double, w double"), "k", "v", "w").collect()}
+    assert {k: (n, m) for k, (n, m, _) in got.items()} == {k: (len(v), statistics.median(map(float, v))) for k, v in groups.items()} and got["e"][2] is None
