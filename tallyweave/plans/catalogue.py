@@ -166,7 +166,8 @@ def _digit_fusion(spark: SparkSession, d: str) -> DataFrame:
     from tallyweave.functions.fusion import fuse
 
     line = spark.read.parquet(f"{d}/lineitem.parquet")
-    return fuse(line.selectExpr("l_orderkey", "l_linenumber", "CAST(l_partkey % 500 AS INT) AS icr", "0.8D AS icr_conf", "CAST(l_suppkey % 3000 AS INT) AS rapid", "0.5D + l_discount * 4 AS rapid_conf", "l_tax AS ink", "2000 AS registered"))
+    out = fuse(line.selectExpr("l_orderkey", "l_linenumber", "CAST(l_partkey % 500 AS INT) AS icr", "0.8D AS icr_conf", "CAST((l_partkey * 13 + l_suppkey * 7) % 3000 AS INT) AS rapid", "0.5D + l_discount * 4 AS rapid_conf", "l_tax AS ink", "2000 AS registered"))
+    return out.select("l_orderkey", "l_linenumber", "icr", "rapid", "votes", F.round("conf", 6).alias("conf"), "used_rapid")
 
 
 def _command_log(spark: SparkSession, d: str) -> DataFrame:
@@ -195,6 +196,27 @@ def _robust(spark: SparkSession, d: str) -> DataFrame:
     return out.select("event_type", "n", *[F.round(c, 6).alias(c) for c in ("med", "mean", "sd", "cv", "weighted")])
 
 
+#: The fusion as the other engine has it: (when, votes, confidence, whether the second reader's).
+_FUSED = [
+    ("b AND r = i AND i > 0", "i", "least(0.93, (ic + rc) / 2 + 0.06)", 0), ("b AND i > 0 AND noisy", "i", "least(ic, 0.7)", 0), ("io AND i >= 100 AND ro AND (suffix(si, sr) OR prefix(si, sr)) AND li > lr", "i", "ic", 0),
+    ("io AND i >= 100 AND ro AND r BETWEEN 1 AND 99", "r", "least(0.88, rc)", 1), ("io AND i >= 100 AND ro AND lr >= 3", "i", "ic", 0), ("io AND i >= 100", "0", "least(ic, 0.4)", 0), ("ro AND r > 0 AND i = 0 AND ink >= 0.01 AND rc >= 0.75 AND lr <= 2", "r", "least(0.88, greatest(rc, 0.7))", 1),
+    ("ro AND r > 0 AND i = 0 AND lr = 3", "0", "greatest(ic, 0.55)", 0), ("ro AND r > 0 AND i = 0 AND lr = 4 AND rc >= 0.85", "r", "least(0.88, rc)", 1), ("d AND suffix(si, sr) AND li > lr", "i", "ic", 0), ("d AND lr = li + 1 AND li >= 2 AND prefix(sr, si) AND r % 10 = 1 AND rc >= 0.64", "r", "least(0.88, rc)", 1),
+    ("d AND lr = 3 AND li = 2 AND i % 10 = 0 AND r % 10 <> 0 AND rc >= 0.64", "r % 100", "least(0.88, rc)", 1), ("d AND lr = li + 1 AND li >= 2", "i", "least(ic, 0.7)", 0), ("d AND lr = 2 AND li = 1 AND rc >= 0.64", "r", "least(0.88, rc)", 1), ("d AND lr = 3 AND li = 1", "i", "least(ic, 0.7)", 0),
+    ("d AND lr > li AND rc >= 0.85", "r", "least(0.88, rc)", 1), ("d AND i = 9 AND r IN (3, 4, 7)", "i", "ic", 0), ("d AND lr = li AND li <= 2 AND rc >= 0.85", "r", "least(0.88, rc)", 1), ("d AND lr = li AND i % 10 = 0 AND r % 10 <> 0 AND rc >= 0.64", "r", "least(0.88, rc)", 1), ("d", "i", "ic", 0),
+    ("ro AND r > 0 AND rc >= 0.85 AND NOT io", "r", "least(0.88, rc)", 1), ("io AND (i > 0 OR NOT ro)", "i", "ic", 0), ("ro", "r", "least(0.7, greatest(rc, 0.45))", 1), ("true", "0", "greatest(ic, 0.55)", 0),
+]
+_ONES = "length({0}) - length(replace({0}, '{1}', ''))"
+_DIGIT = "list_filter(range(1, length(sr) + 1), lambda p: left(sr, p - 1) || substring(sr, p + 1) = si AND (substring(sr, p, 1) IN ('1', '8') AND NOT (p = length(sr) AND prefix(sr, si)) OR substring(sr, p, 1) IN ('3', '7', '9') AND p = 1 OR substring(sr, p, 1) NOT IN ('1', '8') AND contains(si, substring(sr, p, 1))))"
+FUSION = f"""WITH x AS (SELECT l_orderkey, l_linenumber, CAST(l_partkey % 500 AS INT) AS i, 0.8::DOUBLE AS ic, CAST((l_partkey * 13 + l_suppkey * 7) % 3000 AS INT) AS rapid, 0.5::DOUBLE + l_discount * 4 AS rc, l_tax AS ink FROM lineitem),
+  p AS (SELECT *, regexp_replace(regexp_replace(CAST(rapid AS STRING), '^[12]+(..)', '\\1'), '^0+(.)', '\\1') AS peeled FROM x),
+  q AS (SELECT *, CASE WHEN rapid >= 1000 AND regexp_matches(CAST(rapid AS STRING), '^21[089]') THEN CAST(left(CAST(rapid AS STRING), 1) || right(CAST(rapid AS STRING), 1) AS INT) WHEN rapid >= 1000 AND regexp_matches(peeled, '^([0-7][0-9]|[0-9])$') AND regexp_matches(CAST(rapid AS STRING), '^[12]') THEN CAST(peeled AS INT) ELSE rapid END AS r FROM p),
+  s AS (SELECT *, CAST(i AS STRING) AS si, CAST(r AS STRING) AS sr, length(CAST(i AS STRING)) AS li, length(CAST(r AS STRING)) AS lr, i <= 2000 AS io FROM q),
+  n AS (SELECT *, r <= 2000 AND rc >= 0.55 AND NOT (r > 1 AND (regexp_matches(sr, '^1{{2,4}}$') OR r >= 100 AND length(replace(sr, '1', '')) <= 1 OR lr = 4 AND {_ONES.format("sr", 1)} >= 2 AND {_ONES.format("sr", 0)} >= 2 OR regexp_matches(sr, '^[12]{{4}}$') OR regexp_matches(sr, '^[0389]{{3,}}$'))) AS ro,
+    r > 0 AND i > 0 AND (lr > li AND (replace(sr, '1', '') = si AND (length(replace(sr, '1', '')) <= lr - 2 - ({_ONES.format("si", 1)}) OR prefix(sr, '1') AND NOT prefix(si, '1')) OR suffix(sr, si) AND regexp_matches(left(sr, lr - li), '^1+$')) OR lr = li + 1 AND len({_DIGIT}) > 0) AS noisy FROM s),
+  f AS (SELECT *, io AND ro AS b, io AND ro AND r <> i AND i > 0 AS d FROM n)
+  SELECT l_orderkey, l_linenumber, i AS icr, rapid, CAST(CASE {" ".join(f"WHEN {w} THEN {v}" for w, v, _, _ in _FUSED)} END AS INTEGER) AS votes, round(CASE {" ".join(f"WHEN {w} THEN {c}" for w, _, c, _ in _FUSED)} END, 6) AS conf, CASE {" ".join(f"WHEN {w} THEN {u} = 1" for w, _, _, u in _FUSED)} END AS used_rapid FROM f"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = dict(records.queries()) | pages.queries()
     out |= {k: _sql(v) for k, v in SHARED.items()} | {k: _sql(v[0]) for k, v in PAIRS.items() if v[0]}
@@ -202,4 +224,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return records.oracle_sql() | pages.oracle_sql() | SHARED | {k: v[1] for k, v in PAIRS.items()}
+    return records.oracle_sql() | pages.oracle_sql() | SHARED | {"digit_fusion": FUSION} | {k: v[1] for k, v in PAIRS.items()}
