@@ -77,8 +77,11 @@ def only(docs: DataFrame, ids: DataFrame, most: int = 1 << 20) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
 
 
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches in slices: what is held for each row of a batch while it is worked on is held for a slice only."""
+    for b in batches:
+        for i in range(0, len(b), rows):
+            yield b.slice(i, rows)
 
 
 def by_dim(batch: pa.RecordBatch, drop_zero: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:

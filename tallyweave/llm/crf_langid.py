@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tallyweave.llm.common import pick, read
+from tallyweave.llm.common import pick, read, slices
 from tallyweave.llm.words import mix
 
 UNKNOWN, BITS, BLOCK, WINDOW, TOKEN = "und", 16, 32, 24, 64
@@ -30,7 +30,7 @@ BUCKETS = 1 << BITS
 #: Runs of letters; a longer one is cut into tokens of this many, so that each letter is labelled.
 _WORD = regex.compile(r"[\p{L}\p{M}]{1,64}")
 #: Characters that are looked at at once; a multiple of TOKEN.
-PIECE = 1 << 19
+PIECE = 1 << 17
 _U = np.uint64
 _ODD = (_U(0x9E3779B97F4A7C15), _U(0xD1342543DE82EF95))
 _tables: list[np.ndarray] = []
@@ -320,10 +320,8 @@ def predict(df: DataFrame, model: dict | None, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for b in batches:
-            texts = [t or "" for t in b.column(2).to_pylist()] if m else [""] * len(b)
-            found = [judged(texts[i : i + 128], m) for i in range(0, len(texts), 128)] if m else [(np.full(len(b), UNKNOWN, object), np.zeros(len(b)))]
-            lang, score = (np.concatenate([f[i] for f in found]) if found else np.empty(0) for i in (0, 1))
+        for b in slices(batches, 128):
+            lang, score = judged([t or "" for t in b.column(2).to_pylist()], m) if m else (np.full(len(b), UNKNOWN, object), np.zeros(len(b)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64()), *b.columns[3:]], [id_col, "held_out", "lang_pred", "score", *kept])
 
     kept = [keep] if keep else []

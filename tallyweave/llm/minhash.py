@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import keyed, only, read
+from tallyweave.llm.common import keyed, only, read, slices
 from tallyweave.llm.words import mix, word_hashes
 from tallyweave.llm.words import shingles as runs_of
 from tallyweave.operators.components import components
@@ -70,7 +70,7 @@ def bands(c: np.ndarray) -> np.ndarray:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         sets = shingle_sets(b.column(1))
         some = [i for i, s in enumerate(sets) if len(s)]
         digest = [xxhash.xxh128_digest(s.tobytes()) if len(s) else None for s in sets]
@@ -82,18 +82,16 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in shingle_sets(b.column(1))], pa.binary())], ["id", "s"])
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, n, comp, set) to a row for each shingle."""
-    for b in batches:
-        for i in range(0, len(b), 256):
-            part = b.slice(i, 256)
-            sets = [np.frombuffer(s.as_py(), np.int64) for s in part.column(3)]
-            own = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-            yield pa.RecordBatch.from_arrays([*(pa.array(c.to_numpy()[own]) for c in part.columns[:3]), pa.array(np.concatenate(sets))], ["id", "n", "comp", "h"])
+    for part in slices(batches, 256):
+        sets = [np.frombuffer(s.as_py(), np.int64) for s in part.column(3)]
+        own = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        yield pa.RecordBatch.from_arrays([*(pa.array(c.to_numpy()[own]) for c in part.columns[:3]), pa.array(np.concatenate(sets))], ["id", "n", "comp", "h"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.llm.common import pick, read
+from tallyweave.llm.common import pick, read, slices
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "account", "url_login", "secret", "address")
@@ -164,7 +164,7 @@ def find_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 2048):
             found = [find(t.as_py() or "") for t in b.column(1)]
             counts = [pa.array([sum(s[0] == k for s in f) for f in found], pa.int64()) for k in BASE]
             sums = [hashlib.sha256(joined([s for s in f if s[0] in BASE]).encode()).hexdigest() for f in found]

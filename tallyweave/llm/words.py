@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 
 _U = np.uint64
 #: Bytes of text that are hashed at once; a longer word widens its piece.
-PIECE = 1 << 19
+PIECE = 1 << 17
 _ASCII_BLANKS = (*range(9, 14), 32)
 
 
