@@ -90,7 +90,7 @@ class CollisionIndex:
 
 
 def nearest(
-    df: DataFrame, k: int = 10, every: int = 100, projections: int = 64, threshold: int = 32, miss: float = 0.03, growth: float = 1.3, shard_rows: int = 8192, block_rows: int = 1024, seed: int = 17, id_col: str = "vec_id", vec_col: str = "embedding"
+    df: DataFrame, k: int = 10, every: int = 100, projections: int = 64, threshold: int = 32, miss: float = 0.03, growth: float = 1.3, shard_rows: int = 8192, block_rows: int = 8192, at_once: int = 512, seed: int = 17, id_col: str = "vec_id", vec_col: str = "embedding"
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query by Euclidean distance, ties to smaller ids.
 
@@ -111,7 +111,11 @@ def nearest(
 
             def settle(n: int) -> None:
                 ids, x = (np.concatenate(p) for p in zip(*held.pop(n), strict=True))
-                new = CollisionIndex(ids, x, projections, threshold, miss, growth, seed).search(*asked[n], k)
+                index, parts = CollisionIndex(ids, x, projections, threshold, miss, growth, seed), []
+                for i in range(0, len(asked[n][0]), at_once):  # one index for all of the block, counters for a part of it
+                    at, found, d = index.search(asked[n][0][i : i + at_once], asked[n][1][i : i + at_once], k)
+                    parts.append((at + i, found, d))
+                new = tuple(np.concatenate(p) for p in zip(*parts, strict=True))
                 new = tuple(np.concatenate(p) for p in zip(kept[n], new, strict=True)) if n in kept else new
                 best = best_of(new[0], new[2], new[1], k)
                 kept[n] = tuple(p[best] for p in new)

@@ -106,6 +106,15 @@ def _ship(spark: SparkSession, rules: Iterable[tuple[str, str]]) -> str:
     return name
 
 
+def read_rules(spark: SparkSession, path: str, most: int = 20_000_000) -> Iterator[tuple[str, str]]:
+    """(verdict, rule) of a CSV of rules, row by row; an error beyond `most`, as each executor's disk holds the array."""
+    rules = spark.read.schema("verdict string, rule string").csv(path).where("verdict IS NOT NULL AND rule IS NOT NULL")
+    for i, r in enumerate(rules.toLocalIterator()):
+        if i >= most:
+            raise ValueError(f"there are more than {most} rules")
+        yield r.verdict, r.rule
+
+
 def host_of(url: Column) -> Column:
     return F.translate(F.regexp_extract(F.coalesce(url, F.lit("")), _PARTS, 1), _UPPER, _LOWER)
 
