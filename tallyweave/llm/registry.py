@@ -1,6 +1,6 @@
 """The operators' driver queries and their SQL."""
 
-from tallyweave.llm import ann, bpe_stream, crf_langid, licences, minhash, packing, pii, substring, topk, url_filter
+from tallyweave.llm import ann, bpe_stream, crf_langid, licences, minhash, packing, pii, substring, topk, url_filter, variants
 
 
 def queries() -> dict:
@@ -15,8 +15,9 @@ def queries() -> dict:
         "op8_minhash": minhash.query,
         "op9_licences": licences.query,
         "op10_langid": crf_langid.query,
+        "op11_variants": variants.query,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op2_url_filter": url_filter.SQL, "op7_topk": topk.SQL, "op8_minhash": minhash.SQL}
+    return {"op2_url_filter": url_filter.SQL, "op7_topk": topk.SQL, "op8_minhash": minhash.SQL, "op11_variants": variants.SQL}
