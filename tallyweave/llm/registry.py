@@ -1,6 +1,6 @@
 """The operators' driver queries and their SQL."""
 
-from tallyweave.llm import ann, bpe_stream, crf_langid, licences, minhash, packing, pii, substring, topk, url_filter, variants
+from tallyweave.llm import ann, bpe_stream, crf_langid, licences, minhash, packing, pii, quality, substring, topk, url_filter, variants
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op9_licences": licences.query,
         "op10_langid": crf_langid.query,
         "op11_variants": variants.query,
+        "op12_quality": quality.query,
     }
 
 

@@ -34,8 +34,9 @@ def vocabulary(df: DataFrame, id_col: str, text_col: str, delete: int = 97, shor
     null id counts as the empty string; rows that repeat an id or a text each count.
     """
     docs = pick(df, id_col, text_col).toDF("id", "text")
-    run = F.explode(F.regexp_extract_all(lower_ascii(F.col("text")), F.lit(RUN), F.lit(0))).alias("run")
-    runs = docs.select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id"), run)
+    # The outer form: the inner one has Spark filter on the runs' number first, that is, search each text twice.
+    run = F.explode_outer(F.regexp_extract_all(lower_ascii(F.col("text")), F.lit(RUN), F.lit(0))).alias("run")
+    runs = docs.select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id"), run).where("run IS NOT NULL")
     word = F.col("run")
     if delete:
         runs = runs.withColumn("h", F.crc32(F.concat_ws(":", "id", "run").cast("binary")))
