@@ -1,6 +1,6 @@
 """The operators' driver queries and their SQL."""
 
-from tallyweave.llm import ann, bpe_stream, crf_langid, licences, minhash, packing, pii, quality, substring, topk, url_filter, variants
+from tallyweave.llm import ann, bpe_stream, collocations, crf_langid, licences, minhash, packing, pii, quality, substring, topk, url_filter, variants
 
 
 def queries() -> dict:
@@ -17,8 +17,9 @@ def queries() -> dict:
         "op10_langid": crf_langid.query,
         "op11_variants": variants.query,
         "op12_quality": quality.query,
+        "op13_collocations": collocations.query,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op2_url_filter": url_filter.SQL, "op7_topk": topk.SQL, "op8_minhash": minhash.SQL, "op11_variants": variants.SQL}
+    return {"op2_url_filter": url_filter.SQL, "op7_topk": topk.SQL, "op8_minhash": minhash.SQL, "op11_variants": variants.SQL, "op13_collocations": collocations.SQL}
