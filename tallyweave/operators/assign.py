@@ -7,66 +7,103 @@ so the fold runs over connected components; within one it is sequential by defin
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tallyweave.operators.components import components
 from tallyweave.tables import Scratch
 
 OUT = "ingest_seq bigint, slip_key string"
+#: A slip as the fold keeps it; `made` is the arrival that opened it, by which slips are older or newer.
+SLIP = "slip_key string, base string, voting_district string, ballot_type string, is_vote_related boolean, made bigint, pages array<int>"
+_BATCH = 4096
+
+
+@dataclass(slots=True)
+class Slip:
+    key: str
+    base: str
+    district: str | None
+    kind: str | None
+    votes: bool
+    made: int
+    pages: set[int] = field(default_factory=set)
+    #: Its places in the groups that look for it.
+    places: list[tuple[tuple, int]] = field(default_factory=list)
 
 
 class Desk:
-    """The state of one component: which slips are open to a page, by family and by district."""
+    """The state of one component: its slips by family and by district, oldest first.
+
+    The newest slip of a group that lacks a page is found by links past those that have it, one set of links for each
+    group and page number, halved as they are followed; so a page costs about the same however many slips are open.
+    """
 
-    def __init__(self) -> None:
+    def __init__(self, slips: Iterable[Slip] = ()) -> None:
+        self.slips: list[Slip] = []
         self.taken: set[str] = set()
-        #: Slips about votes of a family or a (district, type), oldest first, with their pages.
-        self.open: dict[tuple, list[tuple[str, set[int]]]] = {}
         self.next: dict[str, int] = {}
+        self.open: dict[tuple, list[Slip]] = {}
+        self.past: dict[tuple, dict[int, int]] = {}
+        for slip in slips:
+            pages, slip.pages = slip.pages, set()
+            self._open(slip)
+            for page in pages:
+                self._give(slip, page)
+
+    def _open(self, slip: Slip) -> None:
+        self.slips.append(slip)
+        self.taken.add(slip.key)
+        if slip.votes:
+            for group in self._groups(slip.base, slip.district, slip.kind):
+                held = self.open.setdefault(group, [])
+                slip.places.append((group, len(held)))
+                held.append(slip)
+
+    def _give(self, slip: Slip, page: int) -> None:
+        slip.pages.add(page)
+        for group, at in slip.places:
+            self.past.setdefault((group, page), {})[at] = at - 1
+
+    def _newest(self, group: tuple, page: int) -> Slip | None:
+        held = self.open.get(group)
+        if not held:
+            return None
+        past, at = self.past.get((group, page), {}), len(held) - 1
+        while at in past:
+            to = past[at]
+            past[at] = past.get(to, to)
+            at = to
+        return held[at] if at >= 0 else None
+
+    @staticmethod
+    def _groups(base: str, district: str | None, kind: str | None) -> list[tuple]:
+        return [(base,)] + ([(district, kind)] if district and district.upper() != "UNKNOWN" else [])
 
     def place(self, base: str, district: str | None, kind: str | None, page: int, votes: bool = True, seq: int = 0) -> str:
         if votes:
-            groups = [(base,)] + ([(district, kind)] if district and district.upper() != "UNKNOWN" else [])
-            for group in groups:
-                for key, pages in reversed(self.open.get(group, ())):
-                    if page not in pages:
-                        pages.add(page)
-                        return key
+            for group in self._groups(base, district, kind):
+                if slip := self._newest(group, page):
+                    self._give(slip, page)
+                    return slip.key
             key, n = base, self.next.get(base, 2)
             while key in self.taken:
                 key, n = f"{base} ({n})", n + 1
             self.next[base] = n
-            slip = (key, {page})
-            for group in groups:
-                self.open.setdefault(group, []).append(slip)
         else:  # a page that isn't about votes never joins another
             key = base if base not in self.taken else f"{base} #{seq}"
-        self.taken.add(key)
+        slip = Slip(key, base, district, kind, bool(votes), seq)
+        self._open(slip)
+        self._give(slip, page)
         return key
 
 
-    def dump(self) -> str:
-        """The desk's state as JSON."""
-        pages = {key: sorted(p) for group in self.open.values() for key, p in group}
-        order = {group: [key for key, _ in held] for group, held in self.open.items()}
-        return json.dumps({"taken": sorted(self.taken), "next": self.next, "pages": pages, "open": [[list(g), keys] for g, keys in order.items()]})
-
-    @classmethod
-    def load(cls, text: str | None) -> Desk:
-        desk = cls()
-        if text:
-            d = json.loads(text)
-            desk.taken, desk.next = set(d["taken"]), d["next"]
-            slips = {key: (key, set(pages)) for key, pages in d["pages"].items()}
-            desk.open = {tuple(g): [slips[k] for k in keys] for g, keys in d["open"]}
-        return desk
-
-
 def base_of(reference: Column) -> Column:
     """A slip reference without its copy number."""
     return F.regexp_replace(F.coalesce(reference, F.lit("")), r"^(.*) \([0-9]+\)$", "$1")
@@ -91,13 +128,57 @@ def with_components(records: DataFrame) -> DataFrame:
     return d.join(comp, "base")
 
 
-def assign_pages(records: DataFrame) -> DataFrame:
-    """(ingest_seq, slip_key) for each page record; ingest_seq orders the arrivals and must be unique."""
+def fold_arrivals(rows: DataFrame) -> DataFrame:
+    """(comp, arrived, slip) of rows (comp, slip, page): for each page where it went, for each slip what it holds now.
+
+    A row holds either a slip as it was, struct<SLIP>, or a page, struct<ingest_seq, base, voting_district, ballot_type,
+    page_number, is_vote_related>. The rows of a component follow each other, slips by age and then pages by arrival, so a
+    task holds the slips of one component at a time and none of its pages.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, desk, old, out = None, None, [], []
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ingest_seq")
-        rows = zip(pdf["base"], pdf["voting_district"], pdf["ballot_type"], pdf["page_number"], pdf["is_vote_related"], pdf["ingest_seq"], strict=True)
-        return pd.DataFrame({"ingest_seq": pdf["ingest_seq"], "slip_key": fold(rows)})
+        def state() -> list[dict]:
+            return [{"comp": now, "arrived": None, "slip": {"slip_key": s.key, "base": s.base, "voting_district": s.district, "ballot_type": s.kind, "is_vote_related": s.votes, "made": s.made, "pages": sorted(s.pages, key=lambda p: (p is None, p))}} for s in (desk.slips if desk else old)]
+
+        for batch in batches:
+            for comp, slip, page in zip(*(batch.column(c).to_pylist() for c in ("comp", "slip", "page")), strict=True):
+                if comp != now:
+                    out += state()
+                    now, desk, old = comp, None, []
+                if slip:
+                    old.append(Slip(slip["slip_key"], slip["base"], slip["voting_district"], slip["ballot_type"], slip["is_vote_related"], slip["made"], set(slip["pages"])))
+                    continue
+                desk = desk or Desk(old)
+                key = desk.place(page["base"], page["voting_district"], page["ballot_type"], page["page_number"], page["is_vote_related"], page["ingest_seq"])
+                out.append({"comp": comp, "arrived": {"ingest_seq": page["ingest_seq"], "slip_key": key}, "slip": None})
+                if len(out) >= _BATCH:
+                    yield pa.RecordBatch.from_pylist(out, schema=arrow)
+                    out = []
+        out += state()
+        for i in range(0, len(out), _BATCH):
+            yield pa.RecordBatch.from_pylist(out[i : i + _BATCH], schema=arrow)
+
+    schema = f"comp string, arrived struct<{_struct(OUT)}>, slip struct<{_struct(SLIP)}>"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    order = ["comp", F.col("page").isNotNull(), "slip.made", "page.ingest_seq"]
+    return rows.select("comp", "slip", "page").repartition("comp").sortWithinPartitions(*order).mapInArrow(run, schema)
+
+
+def _struct(ddl: str) -> str:
+    return ", ".join(f"{c.split(' ', 1)[0]}: {c.split(' ', 1)[1]}" for c in ddl.split(", "))
+
+
+def page_of() -> Column:
+    """A page record with its base, as fold_arrivals takes it."""
+    return F.struct("ingest_seq", "base", "voting_district", "ballot_type", "page_number", F.coalesce("is_vote_related", F.lit(True)).alias("is_vote_related"))
+
+
+def assign_pages(records: DataFrame) -> DataFrame:
+    """(ingest_seq, slip_key) for each page record; ingest_seq orders the arrivals and must be unique.
 
-    d = with_components(records).select("comp", "ingest_seq", "base", "voting_district", "ballot_type", "page_number", "is_vote_related")
-    return d.groupBy("comp").applyInPandas(run, OUT)
+    An empty table gives an empty one; a null reference is a family of its own name, the empty one.
+    """
+    d = with_components(records).select("comp", F.lit(None).cast(f"struct<{_struct(SLIP)}>").alias("slip"), page_of().alias("page"))
+    return fold_arrivals(d).where("arrived IS NOT NULL").select("arrived.*")
