@@ -4,15 +4,18 @@ text that both engines run as it is or a Spark form with its oracle."""
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyweave import schemas
 from tallyweave.functions.scalars import register
 from tallyweave.operators import assign, slips, stats
 from tallyweave.plans import pages, records
-from tallyweave.streaming import progress
+from tallyweave.streaming import arrivals, progress
+from tallyweave.tables import shared_dir
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -152,14 +155,51 @@ PAIRS: dict[str, tuple[str | None, str]] = {
 }
 
 
+def _arriving(spark: SparkSession, d: str, ingest_seq: str) -> DataFrame:
+    """Lines as arriving pages of their order's family, some of them in a district that families share; r is a line's place
+    in its order by part and supplier."""
+    r = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"))
+    line = spark.read.parquet(f"{d}/lineitem.parquet").withColumn("r", r)
+    key = F.col("l_orderkey")
+    district = F.when(key % 3 == 0, F.concat(F.lit("D"), (key / 9).cast("int").cast("string"))).otherwise(F.when(key % 3 == 1, "unknown"))
+    page = {"page_number": F.col("l_linenumber").cast("int"), "page_total": F.lit(7), "is_vote_related": F.col("l_suppkey") % 11 != 0}
+    return line.select("r", F.expr(ingest_seq).alias("ingest_seq"), key.cast("string").alias("slip_reference"), district.alias("voting_district"), F.lit("National").alias("ballot_type"), *[v.alias(k) for k, v in page.items()])
+
+
 def _page_assignment(spark: SparkSession, d: str) -> DataFrame:
-    """Lines as arriving pages of their order's family, some of them in a district that families share, folded in order of
-    part and supplier."""
-    line = spark.read.parquet(f"{d}/lineitem.parquet")
-    seq = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"))
-    district = F.when(F.col("l_orderkey") % 3 == 0, F.concat(F.lit("D"), (F.col("l_orderkey") / 9).cast("int").cast("string"))).otherwise(F.when(F.col("l_orderkey") % 3 == 1, "unknown"))
-    rows = line.select((F.col("l_orderkey") * 1000 + seq).alias("ingest_seq"), F.col("l_orderkey").cast("string").alias("slip_reference"), district.alias("voting_district"), F.lit("National").alias("ballot_type"), F.col("l_linenumber").cast("int").alias("page_number"), F.lit(7).alias("page_total"), (F.col("l_suppkey") % 11 != 0).alias("is_vote_related"))
-    return assign.assign_pages(rows)
+    """Order after order."""
+    return assign.assign_pages(_arriving(spark, d, "l_orderkey * 1000 + r").drop("r"))
+
+
+def _arrival_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Round after round over all orders, in three micro-batches of a stream that is stopped after each."""
+    pages = _arriving(spark, d, "r * 1000000000000 + l_orderkey")
+    folder = f"{shared_dir(spark)}/arrivals-{uuid.uuid4().hex}"
+    store = arrivals.Arrivals(spark, f"{folder}/state", buckets=16)
+    for part in ("r <= 2", "r BETWEEN 3 AND 4", "r > 4"):
+        pages.where(part).drop("r").write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(schemas.PAGE_RECORDS).parquet(f"{folder}/in")
+        store.stream(stream, f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return store.assigned()
+
+
+def _assignment_sql(ingest_seq: str) -> str:
+    """The fold as a recursion: step k places the k-th page of every component, whose slips are one list."""
+    newest = "list_last(list_filter(range(1, len(slips) + 1), lambda i: slips[i].votes AND slips[i].{0} = {0} AND NOT list_contains(slips[i].pages, page)))"
+    keys = "list_transform(slips, lambda s: s.key)"
+    return f"""WITH RECURSIVE line AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_extendedprice) AS r FROM lineitem),
+      page AS (SELECT {ingest_seq} AS seq, CAST(l_orderkey AS VARCHAR) AS base, CASE WHEN l_orderkey % 3 = 0 THEN 'D' || l_orderkey // 9 END AS district, CAST(l_linenumber AS INTEGER) AS page, l_suppkey % 11 <> 0 AS votes FROM line),
+      queue AS MATERIALIZED (SELECT *, coalesce(district, base) AS comp, row_number() OVER (PARTITION BY coalesce(district, base) ORDER BY seq) AS k FROM page),
+      fold AS (
+        SELECT comp, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(key VARCHAR, base VARCHAR, district VARCHAR, votes BOOLEAN, pages INTEGER[])[]) AS slips, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS slip_key FROM (SELECT DISTINCT comp FROM queue)
+        UNION ALL
+        SELECT comp, k, CASE WHEN hit IS NULL THEN list_append(slips, {{'key': fresh, 'base': base, 'district': district, 'votes': votes, 'pages': [page]}})
+          ELSE list_transform(slips, lambda s, i: {{'key': s.key, 'base': s.base, 'district': s.district, 'votes': s.votes, 'pages': CASE WHEN i = hit THEN list_append(s.pages, page) ELSE s.pages END}}) END,
+          seq, CASE WHEN hit IS NULL THEN fresh ELSE slips[hit].key END
+        FROM (SELECT f.comp, q.k, q.seq, q.base, q.district, q.page, q.votes, f.slips, CASE WHEN q.votes THEN coalesce({newest.format("base")}, {newest.format("district")}) END AS hit,
+            CASE WHEN NOT list_contains({keys}, base) THEN base WHEN q.votes THEN base || ' (' || list_first(list_filter(range(2, len(slips) + 3), lambda n: NOT list_contains({keys}, base || ' (' || n || ')'))) || ')' ELSE base || ' #' || q.seq END AS fresh
+          FROM fold f JOIN queue q ON q.comp = f.comp AND q.k = f.k + 1) x)
+      SELECT CAST(seq AS BIGINT) AS ingest_seq, slip_key FROM fold WHERE k > 0"""
 
 
 def _digit_fusion(spark: SparkSession, d: str) -> DataFrame:
@@ -220,8 +260,8 @@ FUSION = f"""WITH x AS (SELECT l_orderkey, l_linenumber, CAST(l_partkey % 500 AS
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = dict(records.queries()) | pages.queries()
     out |= {k: _sql(v) for k, v in SHARED.items()} | {k: _sql(v[0]) for k, v in PAIRS.items() if v[0]}
-    return out | {"page_assignment": _page_assignment, "digit_fusion": _digit_fusion, "command_log_state": _command_log, "stage_progress": _progress, "request_outcomes": _outcomes, "robust_stats": _robust}
+    return out | {"page_assignment": _page_assignment, "arrival_stream": _arrival_stream, "digit_fusion": _digit_fusion, "command_log_state": _command_log, "stage_progress": _progress, "request_outcomes": _outcomes, "robust_stats": _robust}
 
 
 def oracle_sql() -> dict[str, str]:
-    return records.oracle_sql() | pages.oracle_sql() | SHARED | {"digit_fusion": FUSION} | {k: v[1] for k, v in PAIRS.items()}
+    return records.oracle_sql() | pages.oracle_sql() | SHARED | {"digit_fusion": FUSION, "page_assignment": _assignment_sql("l_orderkey * 1000 + r"), "arrival_stream": _assignment_sql("r * 1000000000000 + l_orderkey")} | {k: v[1] for k, v in PAIRS.items()}

@@ -41,29 +41,6 @@ def to_ndjson(events: DataFrame, path: str, checkpoint: str):
     return events.select(F.to_json(F.struct("*")).alias("value")).writeStream.format("text").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
 
 
-def assigned(pages: DataFrame) -> DataFrame:
-    """(ingest_seq, slip_key) of a stream of page records, in order of ingest_seq within each batch.
-
-    State is kept by district and ballot type where the district is known, else by family: families that span districts
-    are put right by assign_pages over all records. State is a row a key: its slips, as JSON.
-    """
-    from tallyweave.operators.assign import Desk, base_of
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        desk = Desk.load(state.get[0] if state.exists else None)
-        for pdf in batches:
-            pdf = pdf.sort_values("ingest_seq")
-            rows = zip(pdf["base"], pdf["voting_district"], pdf["ballot_type"], pdf["page_number"], pdf["is_vote_related"], pdf["ingest_seq"], strict=True)
-            yield pd.DataFrame({"ingest_seq": pdf["ingest_seq"], "slip_key": [desk.place(*r) for r in rows]})
-        state.update((desk.dump(),))
-
-    known = F.coalesce(F.upper("voting_district"), F.lit("UNKNOWN")) != "UNKNOWN"
-    d = pages.withColumn("base", base_of(F.col("slip_reference")))
-    d = d.withColumn("place", F.when(known, F.concat_ws("|", F.lit("d"), "voting_district", "ballot_type")).otherwise(F.concat(F.lit("f|"), "base")))
-    d = d.select("place", "ingest_seq", "base", "voting_district", "ballot_type", "page_number", "is_vote_related")
-    return d.groupBy("place").applyInPandasWithState(step, "ingest_seq bigint, slip_key string", "slips string", "append", GroupStateTimeout.NoTimeout)
-
-
 def windowed(events: DataFrame, ts: str = "ts", size: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     e = events.withColumn("__ts", F.col(ts).cast("timestamp")).withWatermark("__ts", late)
     return e.groupBy(F.window("__ts", size).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
