@@ -24,9 +24,9 @@ from tallyweave.tables import Scratch
 
 LONGEST, LEAST, SCALE, INSIDE, FIRST, NONE = 4, 30, 2_000_000, 80, 2000, "und"
 #: Bits of the bitmaps: a bit for each so many bytes of text, within bounds (2^28 bits are 32 MB).
-BYTES_A_BIT, FEWEST_BITS, MOST_BITS = 4, 16, 28
+BYTES_A_BIT, FEWEST_BITS, MOST_BITS = 16, 16, 28
 #: Bytes of text that a task holds as words at once; a longer word widens its block.
-BLOCK = 1 << 22
+BLOCK = 1 << 20
 _U = np.uint64
 _BREAKS, _BLANKS = np.zeros(256, bool), np.zeros(256, bool)
 _BREAKS[list(b".,;:!?\n\x0b\x0c\r")] = True
