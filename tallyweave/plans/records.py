@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.operators import scoring, slips, workflow
+from tallyweave.operators import replay, scoring, slips, workflow
 from tallyweave.sources import exports
 
 #: The mapping, as text that both engines run.
@@ -31,6 +31,12 @@ COMMAND = """SELECT event_id AS seq, CASE event_id % 8 WHEN 0 THEN 'edit_slip_fi
   CASE WHEN event_id % 3 = 1 AND event_id % 11 <> 0 THEN CAST(event_id % 500 AS STRING) ELSE concat('x', CAST(event_id AS STRING)) END AS value, CASE WHEN event_id % 2 = 0 THEN event_type END AS reason, ts AS at FROM events"""
 _MOVE = f"""SELECT 10 * l_orderkey + l_linenumber AS seq, CASE WHEN l_partkey % 5 = 0 THEN 'manual_link_page' WHEN l_partkey % 5 = 1 THEN 'manual_unlink_page' WHEN l_partkey % 5 = 2 THEN 'remove_page' ELSE 'delete_slip' END AS action, CAST(l_orderkey AS STRING) AS slip_id,
   CASE WHEN l_partkey % 5 < 3 THEN {_KEY} END AS page_id, CAST(NULL AS STRING) AS party_id, 'u' AS user_id, CAST(NULL AS STRING) AS field, CAST(l_orderkey + 1 AS STRING) AS value, CASE WHEN l_suppkey % 2 = 0 THEN 'wrong slip' ELSE ' no ' END AS reason, l_shipdate AS at FROM lineitem WHERE l_partkey % 5 < 3 OR l_orderkey % 50 = 0"""
+#: Three pages for each order, and events as commands of a user on ten orders of their own.
+_LEAVES = "SELECT concat(CAST(o_orderkey AS STRING), '-', CAST(n AS STRING)) AS id, CAST(o_orderkey AS STRING) AS slip_id FROM orders, (VALUES (1), (2), (3)) leaf(n)"
+_DESK = """SELECT event_id AS seq, CASE WHEN k < 4 THEN 'manual_link_page' WHEN k = 4 THEN 'manual_unlink_page' WHEN k < 8 THEN 'remove_page' WHEN k = 8 THEN 'delete_slip' WHEN k = 9 THEN 'create_slip' WHEN k = 10 THEN 'edit_slip_field' WHEN event_id % 24 = 11 THEN 'reject_slip' ELSE 'flag_slip' END AS action,
+  CASE WHEN k >= 8 THEN o END AS slip_id, CASE WHEN k < 8 THEN page END AS page_id, CAST(NULL AS STRING) AS party_id, CAST(user_id AS STRING) AS user_id, CASE WHEN k = 10 THEN CASE WHEN event_id % 5 = 0 THEN 'station_name' WHEN event_id % 5 = 1 THEN 'status' ELSE 'registered_voters' END END AS field,
+  CASE WHEN k < 4 THEN o WHEN event_id % 7 < 3 THEN concat('x', CAST(event_id AS STRING)) ELSE CAST(event_id % 500 AS STRING) END AS value, CASE WHEN event_id % 7 = 0 THEN ' no ' ELSE 'wrong slip' END AS reason, ts AS at
+  FROM (SELECT *, event_id % 12 AS k, CAST(user_id * 10 + event_id * 7 % 10 AS STRING) AS o, concat(CAST(user_id * 10 + CAST(floor(event_id / 3) AS BIGINT) % 10 AS STRING), '-', CAST(1 + CAST(floor(event_id / 10) AS BIGINT) % 3 AS STRING)) AS page FROM events) e"""
 _GOT = "got AS (SELECT slip_id, list_sort(list(DISTINCT page_number)) AS got, bool_or(flag <> '') AS odd, bool_or(flag <> 'not_a_result_slip') AS votes FROM page GROUP BY slip_id)"
 _WHOLE = """whole AS (SELECT s.* EXCLUDE (status), coalesce(got, []) AS got, coalesce(votes, false) AS is_vote_related, list_filter(range(1, total_expected_pages + 1), lambda x: NOT list_contains(coalesce(got, []), x)) AS missing,
   CASE WHEN len(list_filter(range(1, total_expected_pages + 1), lambda x: NOT list_contains(coalesce(got, []), x))) > 0 THEN 'incomplete' WHEN coalesce(odd, false) THEN 'flagged' WHEN status = 'approved' THEN 'approved' ELSE 'pending_review' END AS status FROM slip s LEFT JOIN got ON slip_id = s.id)"""
@@ -133,6 +139,45 @@ def _edits(m: Mapped) -> DataFrame:
     return workflow.edited_slips(m.slip(), m.sql(COMMAND)).select("id", "station_name", "registered_voters", "status", "rejection_reason", "approved_by")
 
 
+def _replayed(m: Mapped) -> replay.Replay:
+    return replay.replay(m.slip(), m.sql(_LEAVES), m.sql(_DESK))
+
+
+def _replayed_slips(m: Mapped) -> DataFrame:
+    return replay.slips_now(m.slip(), m.sql(_DESK), _replayed(m)).select("id", "slip_reference", "station_name", "registered_voters", "status", "rejection_reason")
+
+
+def _replay_sql(select: str) -> str:
+    """Command by command as a recursion: step k does the k-th command of every user, whose pages and slips are two lists."""
+    has = "len(list_filter(slips, lambda s: s.id = {0})) > 0"
+    to = "list_transform(pages, lambda p: CASE WHEN p.id = page_id THEN {{'id': p.id, 'slip': {0}}} ELSE p END)"
+    row = "{{'id': {0}, 'ref': {1}, 'station': {2}, 'reg': {3}, 'status': {4}, 'why': {5}}}"
+    change = "list_transform(slips, lambda s: CASE WHEN s.id = c_slip THEN " + row + " ELSE s END)"
+    old = "list_first(list_filter(slips, lambda s: s.id = stay)).{0}"
+    made = row.format("own", "root_ref || '_unlinked_' || right(own, 4)", old.format("station"), old.format("reg"), "'incomplete'", "NULL")
+    return f"""WITH RECURSIVE slip AS ({SLIP}), leaf AS ({_LEAVES}),
+      queue AS MATERIALIZED (SELECT c.* EXCLUDE (slip_id), c.slip_id AS c_slip, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS k, page_id || '_unlinked_' || left(sha256(page_id || '|' || seq), 4) AS own, s.slip_reference AS ref0, s.station_name AS station0, s.registered_voters AS reg0, s.status AS status0 FROM ({_DESK}) c LEFT JOIN slip s ON s.id = c.slip_id),
+      desk AS (SELECT DISTINCT user_id, CAST(user_id AS BIGINT) AS g FROM queue),
+      fold AS (
+        SELECT user_id, CAST(0 AS BIGINT) AS k, p.pages, s.slips, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS action, CAST(NULL AS VARCHAR) AS why FROM desk
+        JOIN (SELECT CAST(slip_id AS BIGINT) // 10 AS g, list({{'id': id, 'slip': slip_id}}) AS pages FROM leaf GROUP BY 1) p ON p.g = desk.g
+        JOIN (SELECT CAST(id AS BIGINT) // 10 AS g, list({row.format("id", "slip_reference", "station_name", "registered_voters", "status", "CAST(NULL AS VARCHAR)")}) AS slips FROM slip GROUP BY 1) s ON s.g = desk.g
+        UNION ALL
+        SELECT user_id, k, CASE WHEN no IS NOT NULL THEN pages WHEN action = 'manual_link_page' THEN {to.format("value")} WHEN action = 'manual_unlink_page' THEN {to.format("own")} WHEN action = 'remove_page' THEN list_filter(pages, lambda p: p.id <> page_id) WHEN action = 'delete_slip' THEN list_filter(pages, lambda p: p.slip <> c_slip) ELSE pages END,
+          CASE WHEN no IS NOT NULL THEN slips WHEN action = 'create_slip' THEN list_append(slips, {row.format("c_slip", "ref0", "station0", "reg0", "status0", "NULL")}) WHEN action = 'delete_slip' THEN list_filter(slips, lambda s: s.id <> c_slip)
+            WHEN action = 'remove_page' AND len(list_filter(pages, lambda p: p.slip = stay)) = 1 THEN list_filter(slips, lambda s: s.id <> stay)
+            WHEN action = 'manual_unlink_page' THEN list_append(slips, {made})
+            WHEN action = 'edit_slip_field' THEN {change.format("s.id", "s.ref", "CASE WHEN field = 'station_name' THEN value ELSE s.station END", "CASE WHEN field = 'registered_voters' THEN CAST(value AS INTEGER) ELSE s.reg END", "s.status", "s.why")}
+            WHEN action IN ('reject_slip', 'flag_slip') THEN {change.format("s.id", "s.ref", "s.station", "s.reg", "CASE action WHEN 'reject_slip' THEN 'rejected' ELSE 'flagged' END", "CASE action WHEN 'reject_slip' THEN reason END")} ELSE slips END,
+          seq, action, no
+        FROM (SELECT *, split_part({old.format("ref")}, '_unlinked_', 1) AS root_ref, CASE WHEN action = 'create_slip' THEN CASE WHEN {has.format("c_slip")} THEN 'slip is there' END
+            WHEN page_id IS NOT NULL THEN CASE WHEN stay IS NULL THEN 'no such page' WHEN action LIKE 'manual%' AND length(trim(reason)) < 5 THEN 'a reason of 5 characters is needed' WHEN action = 'manual_link_page' AND NOT {has.format("value")} OR action = 'manual_unlink_page' AND NOT {has.format("stay")} THEN 'no such slip' END
+            WHEN NOT {has.format("c_slip")} THEN 'no such slip' WHEN field = 'status' THEN 'not editable' WHEN field = 'registered_voters' AND TRY_CAST(value AS INTEGER) IS NULL THEN 'bad value' END AS no
+          FROM (SELECT q.*, f.pages, f.slips, list_first(list_filter(f.pages, lambda p: p.id = q.page_id)).slip AS stay FROM fold f JOIN queue q ON q.user_id = f.user_id AND q.k = f.k + 1) x) y),
+      last AS (SELECT * FROM fold QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY k DESC) = 1)
+      {select}"""
+
+
 def _override(m: Mapped) -> DataFrame:
     c = m.sql(f"SELECT l_orderkey * 10 + l_linenumber AS seq, 'override_party_votes' AS action, {_KEY} AS party_id, CAST(l_suppkey AS STRING) AS user_id, CAST(l_linenumber - 3 AS STRING) AS value FROM lineitem WHERE l_partkey % 3 = 0")
     return workflow.overridden_party(m.party(), c).select("id", "votes", "is_overridden", "overridden_by", "original_ocr_votes")
@@ -292,6 +337,15 @@ QUERIES: dict[str, tuple[Callable[[Mapped], DataFrame], str | None]] = {
         SELECT s.id, coalesce(st, station_name) AS station_name, CASE WHEN rvs IS NOT NULL THEN TRY_CAST(rv AS INTEGER) ELSE registered_voters END AS registered_voters, CASE st_a WHEN 'reject_slip' THEN 'rejected' WHEN 'flag_slip' THEN 'flagged' WHEN 'approve_slip' THEN 'approved' ELSE status END AS status,
           CASE WHEN st_a = 'reject_slip' THEN coalesce(x.reason, 'Rejected by operator') END AS rejection_reason, CASE WHEN st_a = 'approve_slip' THEN x.user_id END AS approved_by FROM slip s LEFT JOIN e ON e.slip_id = s.id LEFT JOIN c x ON x.seq = st_s WHERE gone IS NULL OR made > gone""",
     ),
+    "replayed_pages": (
+        lambda m: replay.pages_now(m.sql(_LEAVES), _replayed(m)),
+        _replay_sql("SELECT x.id, x.slip AS slip_id FROM (SELECT unnest(pages) AS x FROM last) UNION ALL SELECT id, slip_id FROM leaf WHERE CAST(slip_id AS BIGINT) // 10 NOT IN (SELECT g FROM desk)"),
+    ),
+    "replayed_slips": (
+        _replayed_slips,
+        _replay_sql("SELECT x.id, x.ref AS slip_reference, x.station AS station_name, x.reg AS registered_voters, x.status, x.why AS rejection_reason FROM (SELECT unnest(slips) AS x FROM last) UNION ALL SELECT id, slip_reference, station_name, registered_voters, status, NULL FROM slip WHERE CAST(id AS BIGINT) // 10 NOT IN (SELECT g FROM desk)"),
+    ),
+    "refused_commands": (lambda m: replay.refused(m.sql(_DESK), _replayed(m)), _replay_sql("SELECT seq, action, why FROM fold WHERE why IS NOT NULL")),
     "override_votes": (
         _override,
         f"WITH party AS ({PARTY}), c AS (SELECT {_KEY} AS k, arg_max(l_linenumber - 3, l_orderkey * 10 + l_linenumber) AS v, any_value(CAST(l_suppkey AS STRING)) AS u FROM lineitem WHERE l_partkey % 3 = 0 GROUP BY 1) SELECT id, CAST(CASE WHEN k IS NOT NULL THEN greatest(0, v) ELSE votes END AS INTEGER) AS votes, k IS NOT NULL OR is_overridden AS is_overridden, u AS overridden_by, votes AS original_ocr_votes FROM party LEFT JOIN c ON k = id",
