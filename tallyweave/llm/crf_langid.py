@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -250,11 +250,16 @@ def emissions(parts: list[str], model: dict) -> tuple[np.ndarray, np.ndarray, np
 
 
 def learn(df: DataFrame, per_label: int = 300, windows: int = 3, labels: int = 256, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict | None:
-    """A model of a bounded sample: about per_label documents of each label, chosen by a hash of the id among those that
-    aren't held out, and of each up to `windows` windows of WINDOW words at hashed places. None if there is none; an error
-    if there are more than `labels` languages, as a model and its sample grow with them."""
+    """A model of a bounded sample: about per_label different documents of each label among those that aren't held out, at
+    most twice as many, and of each up to `windows` windows of WINDOW words at hashed places.
+
+    Documents are chosen by a hash of id and text, copies count once, and each label is bounded by itself; so null and
+    repeated ids and large groups of copies lose no label. None if there is none; an error if there are more than `labels`
+    languages, as a model and its sample grow with them.
+    """
     d = pick(df, id_col, text_col, lang_col).toDF("id", "text", "lang").where(~held_out(F.col("id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r.lang: r.n for r in d.groupBy("lang").agg(F.count("*").alias("n")).limit(labels + 1).collect()}
+    d = d.withColumn("h", F.xxhash64("id", "text"))
+    counts = {r.lang: r.n for r in d.groupBy("lang", "h").agg(F.lit(1).alias("n")).groupBy("lang").agg(F.count("*").alias("n")).limit(labels + 1).collect()}
     if not counts:
         return None
     if len(counts) > labels:
@@ -264,16 +269,19 @@ def learn(df: DataFrame, per_label: int = 300, windows: int = 3, labels: int = 2
     def cut_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ys, ws = [], []
-            for i, t, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for y, h, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 words = _WORD.findall(t)
                 for j in range(min(windows, -(-len(words) // WINDOW))):
-                    at = zlib.crc32(f"{i}:{j}".encode()) % max(1, len(words) - WINDOW + 1)
+                    at = zlib.crc32(f"{h}:{j}".encode()) % max(1, len(words) - WINDOW + 1)
                     ys.append(y)
                     ws.append(words[at : at + WINDOW])
             yield pa.RecordBatch.from_arrays([pa.array(ys, pa.string()), pa.array(ws, pa.list_(pa.string()))], ["y", "w"])
 
-    sample = d.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share * (1 << 20)).mapInArrow(cut_windows, "y string, w array<string>")
-    rows = [(r.y, r.w) for r in sample.orderBy("y", "w").limit(2 * windows * per_label * len(counts)).collect()]
+    some = d.where(F.pmod(F.xxhash64("h"), F.lit(1 << 20)) < share * (1 << 20)).groupBy("lang", "h").agg(F.first("text").alias("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))  # over about per_label rows of a label
+    some = some.withColumn("place", place).where(F.col("place") <= 2 * per_label).select("lang", "h", "text")
+    sample = some.mapInArrow(cut_windows, "y string, w array<string>")
+    rows = sorted((r.y, r.w) for r in sample.collect())  # at most 2 windows per_label rows for each of `labels`
     return train(rows) if rows else None
 
 

@@ -217,3 +217,24 @@ def test_pipeline_on_odd_tables(spark):
 
 def test_all_are_registered():
     assert len(registry.queries()) == 10 and all(q.__doc__ for q in registry.queries().values())
+
+
+def test_language_sample_keeps_every_label(spark):
+    """Null and repeated ids and large groups of copies lose no label, and each label is bounded by itself."""
+    draw_of = lambda words: " ".join(rng.choices(words.split(), k=30))
+    rows = [(None, draw_of("aba bab caba daba eba"), "aa") for _ in range(2000)] + [(7, draw_of("lul mul nul ulu umu"), "mm") for _ in range(300)]
+    rows += [(3 * i, draw_of("xix yiz zix iziz xiz"), "zz") for i in range(400)] + [(None, "hot copy of one text " * 6, "hh")] * 1500 + [(None, None, "no"), (5, "", "ee")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = crf_langid.learn(d, per_label=50)
+    assert set(m["labels"]) >= {"aa", "hh", "mm", "zz"}
+    seen = []
+    got = crf_langid.train
+    try:
+        crf_langid.train = lambda sample: seen.extend(sample) or {}
+        crf_langid.learn(d, per_label=50)
+    finally:
+        crf_langid.train = got
+    n = {y: sum(1 for x, _ in seen if x == y) for y in ("aa", "hh", "mm", "zz")}
+    assert max(n.values()) <= 2 * 50 * 3 and min(n["aa"], n["mm"], n["zz"]) >= 40
+    right = [r.lang_pred == r.lang for r in crf_langid.predict(d.where("lang IN ('aa', 'mm', 'zz')"), m, keep="lang").collect()]
+    assert sum(right) > 0.98 * len(right)
