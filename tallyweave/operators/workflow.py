@@ -36,15 +36,16 @@ def valid(commands: DataFrame) -> DataFrame:
 def edited_slips(slips: DataFrame, commands: DataFrame) -> DataFrame:
     """Slips after edits of fields, rejections, flags, approvals, deletions and a clearing of all.
 
-    The last edit of each field counts, cast to the field's type (what can't be cast is NULL); the last of reject, flag and
-    approve makes the status. A slip is gone if the last deletion or clearing came after it was last created again.
+    The last edit of each field counts whose value can be cast to the field's type; the last of reject, flag and approve
+    makes the status. A slip is gone if the last deletion or clearing came after it was last created again. Commands are
+    taken as they are; replay.py does them one by one and says which are refused.
     """
     c = valid(commands)
     cleared = c.where("action = 'clear_all_slips'").agg(F.max("seq").alias("__cleared"))  # one row
     own = [f for f in EDITABLE if f in slips.columns]
     status = F.when(F.col("action") == "reject_slip", "rejected").when(F.col("action") == "flag_slip", "flagged").otherwise("approved")
     last = c.where("slip_id IS NOT NULL").groupBy(F.col("slip_id").alias("id")).agg(
-        *[_last("edit_slip_field", F.struct("value"), F.col("field") == f).alias(f"__{f}") for f in own],
+        *[_last("edit_slip_field", F.struct("value"), F.col("field") == f, F.col("value").isNull() | F.expr(f"try_cast(value AS {slips.schema[f].dataType.simpleString()})").isNotNull()).alias(f"__{f}") for f in own],
         _last(["reject_slip", "flag_slip", "approve_slip"], F.struct(status.alias("status"), "reason", "action", "user_id", "at")).alias("__status"),
         F.max(F.when(F.col("action") == "delete_slip", F.col("seq"))).alias("__gone"),
         F.max(F.when(F.col("action") == "create_slip", F.col("seq"))).alias("__made"),
@@ -62,8 +63,9 @@ def edited_slips(slips: DataFrame, commands: DataFrame) -> DataFrame:
 
 
 def overridden_party(party: DataFrame, commands: DataFrame) -> DataFrame:
-    """Party rows after votes were corrected: never below 0, marked as overridden, what was read kept beside."""
-    last = commands.where("action = 'override_party_votes'").groupBy(F.col("party_id").alias("id")).agg(F.max_by(F.struct("value", "user_id"), "seq").alias("__v"))
+    """Party rows after votes were corrected: never below 0, marked as overridden, what was read kept beside. A correction
+    that is no whole number leaves the row alone."""
+    last = commands.where("action = 'override_party_votes' AND try_cast(value AS INT) IS NOT NULL").groupBy(F.col("party_id").alias("id")).agg(F.max_by(F.struct("value", "user_id"), "seq").alias("__v"))
     d = party.join(last, "id", "left")
     has = F.col("__v").isNotNull()
     read = F.coalesce("original_ocr_votes", "votes") if "original_ocr_votes" in party.columns else F.col("votes")

@@ -332,7 +332,7 @@ QUERIES: dict[str, tuple[Callable[[Mapped], DataFrame], str | None]] = {
     ),
     "edit_slip_fields": (
         _edits,
-        f"""WITH slip AS ({SLIP}), c AS ({COMMAND}), e AS (SELECT slip_id, arg_max(value, seq) FILTER (WHERE field = 'station_name') AS st, max(seq) FILTER (WHERE field = 'registered_voters') AS rvs, arg_max(value, seq) FILTER (WHERE field = 'registered_voters') AS rv,
+        f"""WITH slip AS ({SLIP}), c AS ({COMMAND}), e AS (SELECT slip_id, arg_max(value, seq) FILTER (WHERE field = 'station_name') AS st, max(seq) FILTER (WHERE field = 'registered_voters' AND regexp_matches(value, '^[0-9]+$')) AS rvs, arg_max(value, seq) FILTER (WHERE field = 'registered_voters' AND regexp_matches(value, '^[0-9]+$')) AS rv,
           arg_max(action, seq) FILTER (WHERE action IN ('reject_slip', 'flag_slip', 'approve_slip')) AS st_a, max(seq) FILTER (WHERE action IN ('reject_slip', 'flag_slip', 'approve_slip')) AS st_s, max(seq) FILTER (WHERE action = 'delete_slip') AS gone, max(seq) FILTER (WHERE action = 'create_slip') AS made FROM c GROUP BY slip_id)
         SELECT s.id, coalesce(st, station_name) AS station_name, CASE WHEN rvs IS NOT NULL THEN TRY_CAST(rv AS INTEGER) ELSE registered_voters END AS registered_voters, CASE st_a WHEN 'reject_slip' THEN 'rejected' WHEN 'flag_slip' THEN 'flagged' WHEN 'approve_slip' THEN 'approved' ELSE status END AS status,
           CASE WHEN st_a = 'reject_slip' THEN coalesce(x.reason, 'Rejected by operator') END AS rejection_reason, CASE WHEN st_a = 'approve_slip' THEN x.user_id END AS approved_by FROM slip s LEFT JOIN e ON e.slip_id = s.id LEFT JOIN c x ON x.seq = st_s WHERE gone IS NULL OR made > gone""",

@@ -49,13 +49,15 @@ def test_edits_fold(spark):
     s = spark.createDataFrame([("a", "st", 5, "incomplete"), ("b", "st", 6, "approved"), ("c", "st", 7, "flagged")], "id string, station_name string, registered_voters int, status string")
     c = commands(spark, [("edit_slip_field", "a", None, None, "station_name", "new", None), ("edit_slip_field", "a", None, None, "status", "approved", None), ("edit_slip_field", "a", None, None, "registered_voters", "x", None), ("reject_slip", "b", None, None, None, None, "bad"), ("approve_slip", "c", None, None, None, None, None), ("delete_slip", "c", None, None, None, None, None)])
     got = {r.id: (r.station_name, r.registered_voters, r.status, r.rejection_reason) for r in workflow.edited_slips(s, c).collect()}
-    assert got == {"a": ("new", None, "incomplete", None), "b": ("st", 6, "rejected", "bad")}
+    assert got == {"a": ("new", 5, "incomplete", None), "b": ("st", 6, "rejected", "bad")}
     assert {r.id for r in workflow.edited_slips(s, commands(spark, [("clear_all_slips", None, None, None, None, None, None), ("create_slip", "b", None, None, None, None, None)])).collect()} == {"b"}
     log = {r.id: (r.action, r.old_value, r.new_value) for r in workflow.audit_of(c, s).collect()}
     assert log["aud_0"] == ("edit_slip_field", "st", "new") and "aud_1" not in log and log["aud_5"][0] == "delete_slip"
     p = spark.createDataFrame([("r1", "a", "p1", 9, False)], "id string, slip_id string, page_id string, votes int, is_overridden boolean")
     row = workflow.overridden_party(p, commands(spark, [("override_party_votes", "a", None, "r1", None, "-4", None)])).first()
     assert (row.votes, row.is_overridden, row.original_ocr_votes, row.overridden_by) == (0, True, 9, "u")
+    row = workflow.overridden_party(p, commands(spark, [("override_party_votes", "a", None, "r1", None, "abc", None), ("override_party_votes", "a", None, "r1", None, None, None)])).first()
+    assert (row.votes, row.is_overridden, row.overridden_by) == (9, False, None)
     pages = spark.createDataFrame([("p1", "a", 1), ("p2", "a", 2), ("p3", "b", 1), ("p4", "d", 1)], "id string, slip_id string, page_number int")
     c = commands(spark, [("manual_link_page", "a", "p1", None, None, "b", "wrong one"), ("manual_link_page", "a", "p2", None, None, "b", "no"), ("remove_page", "b", "p3", None, None, None, None), ("delete_slip", "d", None, None, None, None, None)])
     assert {(r.id, r.slip_id) for r in workflow.linked_pages(pages, c).collect()} == {("p1", "b"), ("p2", "a")}
