@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyweave import schemas
 from tallyweave.functions.scalars import register
-from tallyweave.operators import assign, slips, stats
+from tallyweave.operators import assign, layout, slips, stats
 from tallyweave.plans import pages, records
 from tallyweave.streaming import arrivals, progress
 from tallyweave.tables import shared_dir
@@ -202,6 +202,56 @@ def _assignment_sql(ingest_seq: str) -> str:
       SELECT CAST(seq AS BIGINT) AS ingest_seq, slip_key FROM fold WHERE k > 0"""
 
 
+def _points_in_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Events as points, suppliers as cells of three sizes."""
+    points = spark.read.parquet(f"{d}/events.parquet").selectExpr("event_id", "value AS x", "event_id * 7 % 100 AS y")
+    k = "s_suppkey"
+    cells = spark.read.parquet(f"{d}/supplier.parquet").selectExpr(k, f"{k} * 7 % 200 AS x1", f"{k} * 3 % 90 AS y1", f"{k} * 7 % 200 + CASE {k} % 20 WHEN 0 THEN 60 WHEN 1 THEN 0 ELSE 4 END AS x2", f"{k} * 3 % 90 + {k} % 4 AS y2")
+    return layout.points_in_cells(points, cells, "x", "y", ("x1", "y1", "x2", "y2")).select("event_id", k)
+
+
+def _projection_peaks(spark: SparkSession, d: str) -> DataFrame:
+    """A user's events in order as a profile."""
+    row = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    profile = spark.read.parquet(f"{d}/events.parquet").select("user_id", row.alias("y"), "value")
+    return layout.peaks(profile, "user_id", "y", "value").select("user_id", F.array_join(F.col("peaks").cast("array<string>"), ",").alias("peaks"))
+
+
+def _result_columns(spark: SparkSession, d: str) -> DataFrame:
+    """A user's values as lines on a page a hundred wide."""
+    lines = spark.read.parquet(f"{d}/events.parquet").select("user_id", F.col("value").alias("x"), (F.col("event_id") * 13 % 50).alias("w"))
+    found = layout.result_column(lines, "user_id", "x", "w", 100.0, 40.0)
+    return found.select("user_id", F.round("score", 6).alias("score"), F.element_at("lines", 1).alias("left_x"), F.element_at("lines", 5).alias("right_x"))
+
+
+#: A fold over a user's peaks in order: within the gap of the last one the higher of the two stays.
+_FOLD = """SELECT {q}.user_id, {q}.k, CASE WHEN len(kept) = 0 OR {q}.y - kept[-1].y > {gap} THEN list_append(kept, {{'y': {q}.y, 's': {q}.s}}) WHEN {q}.s > kept[-1].s THEN list_append(kept[:len(kept) - 1], {{'y': {q}.y, 's': {q}.s}}) ELSE kept END
+  FROM {f} JOIN {q} ON {q}.user_id = {f}.user_id AND {q}.k = {f}.k + 1"""
+_NONE = "CAST([] AS STRUCT(y BIGINT, s DOUBLE)[])"
+PEAKS = f"""WITH RECURSIVE raw AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS y, value AS v FROM events),
+  smooth AS (SELECT *, coalesce(lag(v) OVER w, 0) / 3 + v / 3 + coalesce(lead(v) OVER w, 0) / 3 AS s FROM raw WINDOW w AS (PARTITION BY user_id ORDER BY y)),
+  found AS (SELECT user_id, y, s FROM (SELECT *, lag(s) OVER w AS b, lead(s) OVER w AS a, max(s) OVER (PARTITION BY user_id) AS top FROM smooth WINDOW w AS (PARTITION BY user_id ORDER BY y)) WHERE s > top * 0.25::DOUBLE AND s >= b AND s >= a),
+  one AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY y) AS k FROM found),
+  f1 AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS k, {_NONE} AS kept FROM raw UNION ALL {_FOLD.format(q="one", f="f1", gap=6)}),
+  e1 AS MATERIALIZED (SELECT user_id, arg_max(kept, k) AS kept FROM f1 GROUP BY user_id),
+  g AS (SELECT *, list_filter(list_transform(range(2, len(kept) + 1), lambda i: kept[i].y - kept[i - 1].y), lambda d: d >= 16) AS rows FROM e1),
+  apart AS (SELECT user_id, CASE WHEN len(kept) >= 4 AND len(rows) > 0 THEN greatest(7, CAST(round_even(list_aggregate(rows, 'median') * 0.35::DOUBLE, 0) AS INTEGER)) END AS gap FROM g),
+  two AS MATERIALIZED (SELECT user_id, p.y AS y, p.s AS s, gap, row_number() OVER (PARTITION BY user_id ORDER BY p.y) AS k FROM (SELECT user_id, unnest(kept) AS p FROM e1) JOIN apart USING (user_id)),
+  f2 AS (SELECT user_id, CAST(0 AS BIGINT) AS k, {_NONE} AS kept FROM e1 UNION ALL {_FOLD.format(q="two", f="f2", gap="coalesce(gap, 0)")}),
+  e2 AS (SELECT user_id, arg_max(kept, k) AS kept FROM f2 GROUP BY user_id)
+  SELECT user_id, array_to_string(list_transform(kept, lambda p: p.y), ',') AS peaks FROM e2"""
+_X = "(a.x + b.x + c.x + d.x + e.x)"
+_CV = "sqrt(((b.x - a.x - m) ** 2 + (c.x - b.x - m) ** 2 + (d.x - c.x - m) ** 2 + (e.x - d.x - m) ** 2) / 4) / m"
+COLUMNS = f"""WITH line AS MATERIALIZED (SELECT user_id, x, w, row_number() OVER (PARTITION BY user_id ORDER BY x, w) AS i FROM (SELECT user_id, value AS x, event_id * 13 % 50 AS w FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id * 13 % 50 DESC, value) <= 24)),
+  five AS (SELECT a.user_id, a.x AS left_x, e.x AS right_x, [a.x, b.x, c.x, d.x, e.x] AS xs, m, {_CV} AS cv, {_X} / 5 / 100 AS mid, least(1, a.w / 40) + least(1, b.w / 40) + least(1, c.w / 40) + least(1, d.w / 40) + least(1, e.w / 40) AS support
+    FROM line a JOIN line e ON e.user_id = a.user_id AND e.i > a.i AND e.x - a.x BETWEEN 10 AND 26, LATERAL (SELECT (e.x - a.x) / 4 AS m) q, line b, line c, line d
+    WHERE b.user_id = a.user_id AND c.user_id = a.user_id AND d.user_id = a.user_id AND b.i > a.i AND c.i > b.i AND d.i > c.i AND e.i > d.i),
+  fit AS (SELECT f.*, (SELECT min(x) FROM line l WHERE l.user_id = f.user_id AND l.x > f.right_x + f.m * 0.35::DOUBLE) AS nxt FROM five f WHERE cv <= 0.35 AND mid BETWEEN 0.5 AND 0.82)
+  SELECT user_id, round(score, 6) AS score, left_x, right_x FROM (SELECT *, 2.5::DOUBLE * (1 - cv) - abs((right_x - left_x) / 100 - 0.18::DOUBLE) * 2 - abs(mid - 0.68::DOUBLE) * 0.6::DOUBLE + least(1.5, coalesce(nxt - right_x, 100 - right_x) / m) * 0.5::DOUBLE + support / 5 * 0.3::DOUBLE AS score FROM fit)
+  QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, xs) = 1"""
+CELLS = "SELECT event_id, s_suppkey FROM (SELECT event_id, value AS x, event_id * 7 % 100 AS y FROM events) e, supplier WHERE x BETWEEN s_suppkey * 7 % 200 AND s_suppkey * 7 % 200 + CASE s_suppkey % 20 WHEN 0 THEN 60 WHEN 1 THEN 0 ELSE 4 END AND y BETWEEN s_suppkey * 3 % 90 AND s_suppkey * 3 % 90 + s_suppkey % 4"
+
+
 def _digit_fusion(spark: SparkSession, d: str) -> DataFrame:
     from tallyweave.functions.fusion import fuse
 
@@ -260,8 +310,8 @@ FUSION = f"""WITH x AS (SELECT l_orderkey, l_linenumber, CAST(l_partkey % 500 AS
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = dict(records.queries()) | pages.queries()
     out |= {k: _sql(v) for k, v in SHARED.items()} | {k: _sql(v[0]) for k, v in PAIRS.items() if v[0]}
-    return out | {"page_assignment": _page_assignment, "arrival_stream": _arrival_stream, "digit_fusion": _digit_fusion, "command_log_state": _command_log, "stage_progress": _progress, "request_outcomes": _outcomes, "robust_stats": _robust}
+    return out | {"page_assignment": _page_assignment, "arrival_stream": _arrival_stream, "points_in_cells": _points_in_cells, "projection_peaks": _projection_peaks, "result_columns": _result_columns, "digit_fusion": _digit_fusion, "command_log_state": _command_log, "stage_progress": _progress, "request_outcomes": _outcomes, "robust_stats": _robust}
 
 
 def oracle_sql() -> dict[str, str]:
-    return records.oracle_sql() | pages.oracle_sql() | SHARED | {"digit_fusion": FUSION, "page_assignment": _assignment_sql("l_orderkey * 1000 + r"), "arrival_stream": _assignment_sql("r * 1000000000000 + l_orderkey")} | {k: v[1] for k, v in PAIRS.items()}
+    return records.oracle_sql() | pages.oracle_sql() | SHARED | {"digit_fusion": FUSION, "points_in_cells": CELLS, "projection_peaks": PEAKS, "result_columns": COLUMNS, "page_assignment": _assignment_sql("l_orderkey * 1000 + r"), "arrival_stream": _assignment_sql("r * 1000000000000 + l_orderkey")} | {k: v[1] for k, v in PAIRS.items()}
