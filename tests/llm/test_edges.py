@@ -238,3 +238,20 @@ def test_language_sample_keeps_every_label(spark):
     assert max(n.values()) <= 2 * 50 * 3 and min(n["aa"], n["mm"], n["zz"]) >= 40
     right = [r.lang_pred == r.lang for r in crf_langid.predict(d.where("lang IN ('aa', 'mm', 'zz')"), m, keep="lang").collect()]
     assert sum(right) > 0.98 * len(right)
+
+
+def test_licence_lists_of_thousands_of_cue_lines(spark):
+    """The work is in proportion to the cue lines; the licence is found among them, in a long line as well."""
+    import time
+
+    def scanned(n):
+        lines = [f"package number {i} comes under a license of its own kind {i}" for i in range(n)]
+        lines[n // 2] = "This work is licensed under the Apache License, Version 2.0"
+        d = spark.createDataFrame([(1, "\n".join(lines)), (2, "; ".join(lines)), (3, "plain text")], "doc_id long, text string")
+        began = time.time()
+        got = {r.doc_id: r.licence for r in licences.scan(d, "doc_id", F.lit(None).cast("string"), "text").collect()}
+        assert got == {1: "Apache-2.0", 2: "Apache-2.0", 3: None}
+        return time.time() - began
+
+    scanned(50)
+    assert scanned(20_000) < 120
