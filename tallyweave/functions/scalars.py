@@ -62,6 +62,9 @@ def open_votes(t: str) -> str:
     return let("__o", f"coalesce({t}, '')", f"CASE WHEN trim(__o) <> '' THEN coalesce({tail_votes(digits)}, {vote_digits('__o')}) END")
 
 
+#: Codes of ballot types in local elections.
+LOCAL_TYPE = "CASE {0} WHEN '3' THEN 'Local Council PR' WHEN '4' THEN 'Ward' WHEN '6' THEN 'District Council PR' END"
+
 #: (signature, return type, body), in an order in which each uses earlier ones only.
 FUNCTIONS: list[tuple[str, str, str]] = [
     ("norm_key(t STRING)", "STRING", norm_key("t")),
@@ -73,13 +76,15 @@ FUNCTIONS: list[tuple[str, str, str]] = [
     ("page_marker(t STRING)", "STRUCT<n: INT, total: INT>", page_marker("t")),
     ("barcode_repair(t STRING, vd STRING)", "STRING", barcode_repair("t", "vd")),
     ("barcode_hit(d STRING, family STRING)", "STRING", barcode_hit("d", "family")),
+    # The codes of ballot types differ between families of forms; local elections have two pages each.
     (
-        "barcode_parts(hit STRING)",
-        "STRUCT<raw_barcode: STRING, slip_reference: STRING, voting_district: STRING, ballot_type: STRING, page_number: INT, page_total: INT>",
-        """CASE WHEN hit <> '' THEN named_struct('raw_barcode', hit, 'slip_reference', left(hit, 15), 'voting_district', substring(hit, 7, 8), 'ballot_type',
-        element_at(map('1', 'National', '2', 'Provincial', '3', 'Regional'), substring(hit, 15, 1)), 'page_number', CAST(substring(hit, 16, 2) AS INT), 'page_total', IF(substring(hit, 15, 1) = '1', 3, 2)) END""",
+        "barcode_parts(hit STRING, family STRING DEFAULT NULL)",
+        "STRUCT<raw_barcode: STRING, slip_reference: STRING, prefix: STRING, voting_district: STRING, ballot_type: STRING, ballot_type_code: STRING, page_number: INT, page_total: INT>",
+        f"""CASE WHEN hit <> '' THEN named_struct('raw_barcode', hit, 'slip_reference', left(hit, 15), 'prefix', left(hit, 6), 'voting_district', substring(hit, 7, 8), 'ballot_type',
+        CASE WHEN family = 'lg2026' THEN {LOCAL_TYPE.format("substring(hit, 15, 1)")} ELSE element_at(map('1', 'National', '2', 'Provincial', '3', 'Regional'), substring(hit, 15, 1)) END,
+        'ballot_type_code', substring(hit, 15, 1), 'page_number', CAST(substring(hit, 16, 2) AS INT), 'page_total', IF(substring(hit, 15, 1) = '1' AND NOT family <=> 'lg2026', 3, 2)) END""",
     ),
-    ("local_type(code STRING)", "STRING", "CASE code WHEN '3' THEN 'Local Council PR' WHEN '4' THEN 'Ward' WHEN '6' THEN 'District Council PR' END"),
+    ("local_type(code STRING)", "STRING", LOCAL_TYPE.format("code")),
     ("title_type(t STRING)", "STRING", title_type("t")),
     ("tail_votes(d STRING)", "INT", tail_votes("d")),
     ("open_digits(m STRING)", "STRING", open_digits("m")),

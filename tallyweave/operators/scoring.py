@@ -105,11 +105,42 @@ def gate(checks: DataFrame, least: float) -> DataFrame:
     return c.select(pct.alias("pct"), F.coalesce(pct >= least, F.lit(False)).alias("passed"))
 
 
+#: What is said without any reading, the bounds of a confidence, and what each further reading adds.
+NO_READING, LEAST_SURE, MOST_SURE, EACH_MORE, MOST_MORE = 0.30, 0.25, 0.92, 0.025, 0.08
+
+
 def consensus(observations: DataFrame, key: str) -> DataFrame:
-    """(key, value, score): of readings (key, value, score, source) the value with the best evidence: its best score, more
-    for each further reading, for a second source and for single cells; ties go to more readings, then the better one,
-    then the smaller value."""
-    d = observations.groupBy(key, "value").agg(F.max("score").alias("best"), F.count("*").alias("n"), F.countDistinct("source").alias("sources"), F.bool_or(F.col("source") == "cells").alias("cells"))
-    more = F.least(F.lit(0.15), 0.05 * (F.col("n") - 1)) + F.when(F.col("sources") > 1, 0.04).otherwise(0.0) + F.when(F.col("cells"), 0.06).otherwise(0.0)
-    d = d.withColumn("score", F.col("best") + more)
-    return d.groupBy(key).agg(F.max(F.struct(F.round("score", 9).alias("r"), "n", "best", (-F.col("value")).alias("v"), "value", "score")).alias("x")).select(key, "x.value", "x.score")
+    """(key, value, confidence): of readings (key, value, score, source) the value with the best evidence.
+
+    Values are ranked by their best score, more for each further reading, for a second source and for single cells; ties go
+    to more readings, then the better one, then the smaller value. How sure that is doesn't depend on the sources: the best
+    score and a little for each further reading. Readings without a value or score don't count; a key with no others is 0.
+    """
+    d = observations.withColumn("value", F.when(F.col("score").isNotNull(), F.col("value")))
+    d = d.groupBy(key, "value").agg(F.max("score").alias("best"), F.count("*").alias("n"), F.countDistinct("source").alias("sources"), F.bool_or(F.col("source") == "cells").alias("cells"))
+    more = F.least(F.lit(0.15), 0.05 * (F.col("n") - 1)) + F.when(F.col("sources") > 1, 0.04).otherwise(0.0) + F.when(F.coalesce("cells", F.lit(False)), 0.06).otherwise(0.0)
+    sure = F.col("best") + F.least(F.lit(MOST_MORE), EACH_MORE * (F.col("n") - 1))
+    d = d.withColumns({"rank": F.col("best") + more, "confidence": F.greatest(F.lit(LEAST_SURE), F.least(F.lit(MOST_SURE), sure))})
+    order = F.struct(F.round("rank", 9).alias("r"), "n", "best", (-F.col("value")).alias("v"), "value", "confidence")
+    best = d.groupBy(key).agg(F.max(F.when(F.col("value").isNotNull(), order)).alias("x"))
+    return best.select(key, F.coalesce("x.value", F.lit(0)).alias("value"), F.coalesce("x.confidence", F.lit(NO_READING)).alias("confidence"))
+
+
+#: Scores over which two digits come first, and over which one and two digits are taken without a hint.
+TWO_DIGITS, ONE_ALONE = 0.32, 0.80
+
+
+def cell_token(readings: DataFrame, key: str) -> DataFrame:
+    """(key, digits, score) of a cell's readings (key, digits string, score, hint boolean): two digits first if one of their
+    readings is fair, then what was read most often, then the better mean, then the better best, then the smaller.
+
+    What isn't one or two digits doesn't count. Without a hint it is taken only if its best score is high enough, two digits
+    more easily than one; else digits and score are null.
+    """
+    d = readings.where(F.col("digits").rlike("^[0-9]{1,2}$") & F.col("score").isNotNull())
+    d = d.groupBy(key, "digits").agg(F.count("*").alias("n"), F.avg("score").alias("mean"), F.max("score").alias("best"), F.bool_or(F.coalesce("hint", F.lit(False))).alias("hint"))
+    two = F.length("digits") == 2
+    order = F.struct((two & (F.col("best") >= TWO_DIGITS)).alias("two"), "n", F.round("mean", 9).alias("m"), F.col("best").alias("b"), (-F.col("digits").cast("int")).alias("v"), "digits", "best", "hint")
+    d = d.groupBy(key).agg(F.max(order).alias("x"), F.bool_or("hint").alias("hint"))
+    fine = F.col("hint") | (F.col("x.best") >= F.when(F.length("x.digits") == 2, TWO_DIGITS).otherwise(ONE_ALONE))
+    return d.select(key, F.when(fine, F.col("x.digits")).alias("digits"), F.when(fine, F.col("x.best")).alias("score"))

@@ -57,6 +57,11 @@ QUERIES: dict[str, tuple[str, str, str]] = {
         "o_orderkey AS k, p.voting_district, p.ballot_type, p.page_number, p.page_total FROM (SELECT o_orderkey, barcode_parts(barcode_of(array('no 12', IF(o_orderkey % 4 = 0, 'none', concat('8013 3', lpad(CAST(o_custkey AS STRING), 9, '0'), CAST(o_orderkey % 3 + 1 AS STRING), '02 1'))), array('0011', concat('33', lpad(CAST(o_custkey AS STRING), 8, '0')), '1031'), IF(o_orderkey % 5 = 0, '76240234', NULL), NULL)) AS p FROM {t})",
         "SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN '76240234' ELSE lpad(CAST(o_custkey AS STRING), 8, '0') END AS voting_district, CASE WHEN o_orderkey % 4 = 0 THEN 'National' ELSE CASE o_orderkey % 3 WHEN 0 THEN 'National' WHEN 1 THEN 'Provincial' ELSE 'Regional' END END AS ballot_type, CASE WHEN o_orderkey % 4 = 0 THEN 3 ELSE 2 END AS page_number, CASE WHEN o_orderkey % 4 = 0 OR o_orderkey % 3 = 0 THEN 3 ELSE 2 END AS page_total FROM orders",
     ),
+    "local_barcodes": (
+        "orders",
+        "o_orderkey AS k, p.slip_reference, p.prefix, p.voting_district, p.ballot_type, p.ballot_type_code, p.page_number, p.page_total FROM (SELECT o_orderkey, barcode_parts(barcode_hit(concat('011965', lpad(CAST(o_custkey AS STRING), 8, '0'), CAST(o_orderkey % 5 + 2 AS STRING), '0', CAST(o_orderkey % 2 + 1 AS STRING), '2'), 'lg2026'), 'lg2026') AS p FROM {t})",
+        "SELECT o_orderkey AS k, CASE WHEN c IN (3, 4, 6) THEN '011965' || vd || c END AS slip_reference, CASE WHEN c IN (3, 4, 6) THEN '011965' END AS prefix, CASE WHEN c IN (3, 4, 6) THEN vd END AS voting_district, CASE c WHEN 3 THEN 'Local Council PR' WHEN 4 THEN 'Ward' WHEN 6 THEN 'District Council PR' END AS ballot_type, CASE WHEN c IN (3, 4, 6) THEN CAST(c AS VARCHAR) END AS ballot_type_code, CASE WHEN c IN (3, 4, 6) THEN CAST(o_orderkey % 2 + 1 AS INTEGER) END AS page_number, CASE WHEN c IN (3, 4, 6) THEN 2 END AS page_total FROM (SELECT o_orderkey, o_orderkey % 5 + 2 AS c, lpad(CAST(o_custkey AS VARCHAR), 8, '0') AS vd FROM orders) o",
+    ),
     "slip_reference": (
         "orders",
         "o_orderkey AS k, slip_ref(IF(o_orderkey % 3 = 0, concat('B', CAST(o_orderkey AS STRING)), ''), IF(o_orderkey % 3 = 1, '00000012', NULL), 'Ward', 2) AS ref, election_of(IF(o_orderkey % 2 = 0, 'Provincial', 'Ward')) AS election, length(unread_ref(CAST(o_orderkey AS STRING))) AS unread FROM {t}",

@@ -290,10 +290,18 @@ QUERIES: dict[str, tuple[Callable[[Mapped], DataFrame], str | None]] = {
         f"WITH v AS (SELECT file, party_code, max(votes) AS heuristic, CASE WHEN max(votes) % 2 = 0 THEN min(votes) END AS cnn FROM ({_VOTES}) GROUP BY ALL), t AS ({_TOLD}), a AS (SELECT v.* FROM v WHERE file IN (SELECT file FROM t)) SELECT coalesce(a.file, t.file) AS file, coalesce(a.party_code, t.party_code) AS party_code, coalesce(votes, 0) AS expected, heuristic, cnn, coalesce(heuristic = coalesce(votes, 0), false) AS heuristic_ok, coalesce(cnn = coalesce(votes, 0), false) AS cnn_ok FROM a FULL JOIN t ON t.file = a.file AND t.party_code = a.party_code",
     ),
     "vote_consensus": (
-        lambda m: scoring.consensus(m.sql("SELECT user_id, event_id % 7 AS value, (event_id % 13) / 13.0D AS score, CASE WHEN event_id % 5 = 0 THEN 'cells' ELSE event_type END AS source FROM events"), "user_id").withColumn("score", F.round("score", 6)),
+        lambda m: scoring.consensus(m.sql("SELECT user_id, event_id % 7 AS value, (event_id % 13) / 13.0D AS score, CASE WHEN event_id % 5 = 0 THEN 'cells' ELSE event_type END AS source FROM events"), "user_id").withColumn("confidence", F.round("confidence", 6)),
         """WITH d AS (SELECT user_id, event_id % 7 AS value, max((event_id % 13) / 13.0::DOUBLE) AS best, count(*) AS n, count(DISTINCT CASE WHEN event_id % 5 = 0 THEN 'cells' ELSE event_type END) AS s, bool_or(event_id % 5 = 0) AS c FROM events GROUP BY ALL),
         e AS (SELECT *, best + least(0.15::DOUBLE, 0.05::DOUBLE * (n - 1)) + CASE WHEN s > 1 THEN 0.04::DOUBLE ELSE 0 END + CASE WHEN c THEN 0.06::DOUBLE ELSE 0 END AS score FROM d)
-        SELECT user_id, value, round(score, 6) AS score FROM e QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, n DESC, best DESC, value) = 1""",
+        SELECT user_id, value, round(CASE WHEN best + least(0.08, 0.025 * (n - 1)) > 0.92 THEN 0.92 WHEN best + least(0.08, 0.025 * (n - 1)) < 0.25 THEN 0.25 ELSE best + least(0.08, 0.025 * (n - 1)) END::DOUBLE, 6) AS confidence
+        FROM e QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, n DESC, best DESC, value) = 1""",
+    ),
+    "cell_tokens": (
+        lambda m: scoring.cell_token(m.sql("SELECT concat(user_id, '-', event_id % 17) AS cell, CASE WHEN event_id % 11 = 0 THEN event_type ELSE CAST(event_id * 7 % 31 AS STRING) END AS digits, (event_id % 100) / 100.0D AS score, event_id % 17 = 3 AS hint FROM events"), "cell"),
+        """WITH r AS (SELECT user_id || '-' || event_id % 17 AS cell, event_id * 7 % 31 AS v, (event_id % 100) / 100.0::DOUBLE AS score, event_id % 17 = 3 AS hint FROM events WHERE event_id % 11 <> 0),
+        d AS (SELECT cell, v, count(*) AS n, avg(score) AS mean, max(score) AS best, any_value(hint) AS hint FROM r GROUP BY cell, v),
+        x AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY cell ORDER BY v >= 10 AND best >= 0.32::DOUBLE DESC, n DESC, round(mean, 9) DESC, best DESC, v) = 1)
+        SELECT cell, CASE WHEN ok THEN CAST(v AS VARCHAR) END AS digits, CASE WHEN ok THEN best END AS score FROM (SELECT *, hint OR best >= CASE WHEN v >= 10 THEN 0.32::DOUBLE ELSE 0.8::DOUBLE END AS ok FROM x)""",
     ),
     "extra_predictions": (lambda m: scoring.extra_votes(m.sql(_VOTES), m.sql(_TOLD)).select("file", "party_code", "votes"), f"SELECT file, party_code, votes FROM ({_VOTES}) v WHERE votes > 0 AND NOT EXISTS (SELECT 1 FROM ({_TOLD}) t WHERE t.file = v.file AND t.party_code = v.party_code)"),
     "compare_four_runs": (

@@ -2,6 +2,7 @@
 from tallyweave.functions.fusion import fuse
 from tallyweave.functions.scalars import register
 
+#: Inputs and results that must match; the barcodes of both families and the repairs at the end are our own.
 GOLDEN = [
     ("vote_digits('0 1')", 1), ("vote_digits('Ø 5')", 5), ("vote_digits('12345')", 2345), ("vote_digits('5|2')", 52), ("vote_digits('φφφ9')", 9), ("vote_digits('ØØ18')", 18), ("vote_digits('')", None),
     ("family_base('AB (2)')", "AB"), ("copy_number('AB (7)')", 7), ("next_copy(array(2, 3, 5))", 4), ("flag_list('nope')", []), ("norm_key(' a-b#1')", "AB#1"),
@@ -14,9 +15,12 @@ GOLDEN = [
     ("dash_inflated(1512, 52)", True), ("dash_inflated(18, 10)", False), ("dash_inflated(481, 48)", False), ("extra_digit(287, 27)", True), ("extra_digit(39, 9)", True), ("extra_digit(222, 22)", True), ("extra_digit(481, 48)", False), ("extra_digit(72, 2)", True), ("extra_digit(91, 1)", True), ("extra_digit(13, 1)", False),
     ("peel_rule(2218)", 18), ("peel_rule(2127)", 27), ("peel_rule(1006)", 6), ("peel_rule(218)", None), ("peel_rule(1816)", None), ("peel_rule(2187)", 27),
     ("box_votes(array(0, 1, null, null)).votes", 1), ("box_votes(array(4, 8, 1, null)).votes", 481), ("box_votes(array(8, null, null, null)).votes", 0), ("box_votes(array(0, null, 7, null)).votes", 0), ("box_votes(array(null, 7, 7, null)).votes", 0), ("box_votes(array(7, 7, null, null)).votes", 77), ("box_votes(array(null, 8, 1, 6)).votes", 816), ("box_votes(array(null, null, null, 1)).votes", 1),
+    ("barcode_parts(barcode_hit('011965439600243012', 'lg2026'), 'lg2026').ballot_type", "Local Council PR"), ("barcode_parts(barcode_hit('011965439600244022', 'lg2026'), 'lg2026').page_number", 2), ("barcode_parts(barcode_hit('011965439600244022', 'lg2026'), 'lg2026').page_total", 2), ("barcode_parts('', 'lg2026')", None), ("barcode_parts(NULL)", None),
+    ("barcode_parts(barcode_hit('999999123456786013', 'lg2026'), 'lg2026').ballot_type_code", "6"), ("barcode_parts(barcode_hit('999999123456781013', NULL), 'iec2024').page_total", 3),
     ("cell_labels(array(1, 2, 3))", None), ("percent_done(1D, 8D, 0D)", 12), ("remaining_s(10D, 1D, 2D, 0D)", 10.0),
 ]
 
+#: Readings and results that must match.
 FUSED = [
     (0, 0.90, 9, 0.92, 0.20, 165, 9, True), (481, 0.80, 81, 0.91, 0.20, 1149, 481, False), (481, 0.80, 48, 0.92, 0.20, 1149, 481, False), (48, 0.80, 481, 0.91, 0.20, 1149, 481, True), (52, 0.80, 1512, 0.90, 0.22, 3080, 52, False), (100, 0.80, 9, 0.92, 0.20, 165, 9, True), (27, 0.80, 287, 0.90, 0.22, 3080, 27, False), (9, 0.80, 39, 0.90, 0.20, 165, 9, False), (77, 0.80, 772, 0.92, 0.22, 1149, 77, False), (0, 0.90, 903, 0.91, 0.20, 1149, 0, False),
     (1816, 0.80, 1814, 0.92, 0.20, 3080, 1816, False), (0, 0.90, 1816, 0.91, 0.20, 3080, 1816, True), (2, 0.80, 72, 0.90, 0.18, 3080, 2, False), (3, 0.80, 27, 0.66, 0.16, 3080, 27, True), (10, 0.80, 18, 0.84, 0.20, 165, 18, True), (10, 0.80, 218, 0.79, 0.04, None, 18, True), (10, 0.80, 818, 0.85, 0.04, None, 18, True), (10, 0.74, 2218, 0.825, 0.04, 0, 18, True), (0, 0.87, 1006, 0.65, 0.04, 0, 6, True), (3, 0.67, 2127, 0.778, 0.16, 3080, 27, True),

@@ -141,3 +141,12 @@ def test_medians_are_exact(spark):
     rows = [(k, float(v), 1.0) for k, vs in groups.items() for v in vs] + [("a", None, 1.0), ("z", None, 1.0)]
     got = {r.k: (r.n, r.med, r.cv) for r in stats.summaries(spark.createDataFrame(rows, "k string, v double, w double"), "k", "v", "w").collect()}
     assert {k: (n, m) for k, (n, m, _) in got.items()} == {k: (len(v), statistics.median(map(float, v))) for k, v in groups.items()} and got["e"][2] is None
+
+
+def test_evidence_for_a_value(spark):
+    o = [("a", 7, 0.5, "row"), ("a", 7, 0.6, "row"), ("a", 8, 0.66, "cells"), ("b", 3, 0.1, "row"), ("c", None, 0.9, "row"), ("d", 4, 0.99, "row"), ("d", 4, None, "row"), ("e", 5, 0.5, "x"), ("e", 5, 0.5, "y"), ("e", 5, 0.5, "z"), ("e", 5, 0.5, "z"), ("e", 5, 0.5, "z"), ("f", 2, 0.4, "x"), ("f", 1, 0.4, "x")]
+    got = {r.k: (r.value, round(r.confidence, 6)) for r in scoring.consensus(spark.createDataFrame(o, "k string, value int, score double, source string"), "k").collect()}
+    assert got == {"a": (8, 0.66), "b": (3, 0.25), "c": (0, 0.3), "d": (4, 0.92), "e": (5, 0.58), "f": (1, 0.4)}
+    c = [("a", "7", 0.9, None), ("a", "7", 0.9, None), ("a", "12", 0.33, None), ("b", "12", 0.31, None), ("c", "4", 0.79, None), ("d", "4", 0.79, True), ("e", "123", 0.9, None), ("e", "x", 0.9, None), ("f", "5", 0.81, None), ("f", "6", 0.81, None), ("g", "44", 0.2, True), ("g", "4", 0.9, None)]
+    got = {r.k: (r.digits, r.score) for r in scoring.cell_token(spark.createDataFrame(c, "k string, digits string, score double, hint boolean"), "k").collect()}
+    assert got == {"a": ("12", 0.33), "b": (None, None), "c": (None, None), "d": ("4", 0.79), "f": ("5", 0.81), "g": ("4", 0.9)}
