@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyweave import schemas
 from tallyweave.functions.scalars import register
-from tallyweave.operators import assign, layout, slips, stats
+from tallyweave.operators import assign, layout, slips, stats, store
 from tallyweave.plans import pages, records
 from tallyweave.streaming import arrivals, progress
 from tallyweave.tables import shared_dir
@@ -202,6 +202,22 @@ def _assignment_sql(ingest_seq: str) -> str:
       SELECT CAST(seq AS BIGINT) AS ingest_seq, slip_key FROM fold WHERE k > 0"""
 
 
+def _replaced_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as pages with a row for each line, stored; then every seventh is replaced by a reading of fewer lines."""
+    line = spark.read.parquet(f"{d}/lineitem.parquet").where("l_linenumber <= 5")
+    read = {"row_index": "CAST(l_linenumber AS INT)", "party_name": "concat('Party ', l_partkey)", "party_code": "concat('P', l_partkey % 12)", "votes": "CAST(l_quantity AS INT)", "confidence_score": "0.9D", "original_ocr_votes": "CAST(l_quantity AS INT)", "signature_detected": "l_linestatus = 'F'", "bbox": "CAST(NULL AS STRUCT<x: INT, y: INT, width: INT, height: INT>)"}
+    row = F.struct(*[F.expr(v).alias(k) for k, v in read.items()])
+    pages = lambda rows: rows.groupBy((F.col("l_orderkey") % 500).cast("string").alias("slip_id"), F.col("l_orderkey").cast("string").alias("page_id")).agg(F.array_sort(F.collect_list(row)).alias("party_results"))
+    table = store.PartyTable(spark, f"{shared_dir(spark)}/party-{uuid.uuid4().hex}", 32)
+    table.put(pages(line))
+    table.put(pages(line.where("l_orderkey % 7 = 0 AND l_linenumber <= 2").withColumn("l_quantity", F.col("l_quantity") + 1)))
+    return table.rows().select("slip_id", "page_id", "row_index", "party_code", "votes", "is_overridden")
+
+
+REPLACED = """SELECT CAST(l_orderkey % 500 AS VARCHAR) AS slip_id, CAST(l_orderkey AS VARCHAR) AS page_id, CAST(l_linenumber AS INTEGER) AS row_index, 'P' || l_partkey % 12 AS party_code, CAST(l_quantity AS INTEGER) + CASE WHEN again THEN 1 ELSE 0 END AS votes, false AS is_overridden
+  FROM (SELECT *, l_orderkey % 7 = 0 AND min(l_linenumber) OVER (PARTITION BY l_orderkey) <= 2 AS again FROM lineitem WHERE l_linenumber <= 5) l WHERE NOT again OR l_linenumber <= 2"""
+
+
 def _points_in_cells(spark: SparkSession, d: str) -> DataFrame:
     """Events as points, suppliers as cells of three sizes."""
     points = spark.read.parquet(f"{d}/events.parquet").selectExpr("event_id", "value AS x", "event_id * 7 % 100 AS y")
@@ -310,8 +326,8 @@ FUSION = f"""WITH x AS (SELECT l_orderkey, l_linenumber, CAST(l_partkey % 500 AS
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = dict(records.queries()) | pages.queries()
     out |= {k: _sql(v) for k, v in SHARED.items()} | {k: _sql(v[0]) for k, v in PAIRS.items() if v[0]}
-    return out | {"page_assignment": _page_assignment, "arrival_stream": _arrival_stream, "points_in_cells": _points_in_cells, "projection_peaks": _projection_peaks, "result_columns": _result_columns, "digit_fusion": _digit_fusion, "command_log_state": _command_log, "stage_progress": _progress, "request_outcomes": _outcomes, "robust_stats": _robust}
+    return out | {"page_assignment": _page_assignment, "arrival_stream": _arrival_stream, "points_in_cells": _points_in_cells, "replaced_party_rows": _replaced_rows, "projection_peaks": _projection_peaks, "result_columns": _result_columns, "digit_fusion": _digit_fusion, "command_log_state": _command_log, "stage_progress": _progress, "request_outcomes": _outcomes, "robust_stats": _robust}
 
 
 def oracle_sql() -> dict[str, str]:
-    return records.oracle_sql() | pages.oracle_sql() | SHARED | {"digit_fusion": FUSION, "points_in_cells": CELLS, "projection_peaks": PEAKS, "result_columns": COLUMNS, "page_assignment": _assignment_sql("l_orderkey * 1000 + r"), "arrival_stream": _assignment_sql("r * 1000000000000 + l_orderkey")} | {k: v[1] for k, v in PAIRS.items()}
+    return records.oracle_sql() | pages.oracle_sql() | SHARED | {"digit_fusion": FUSION, "points_in_cells": CELLS, "replaced_party_rows": REPLACED, "projection_peaks": PEAKS, "result_columns": COLUMNS, "page_assignment": _assignment_sql("l_orderkey * 1000 + r"), "arrival_stream": _assignment_sql("r * 1000000000000 + l_orderkey")} | {k: v[1] for k, v in PAIRS.items()}
