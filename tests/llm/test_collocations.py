@@ -111,3 +111,12 @@ def test_products_over_64_bits(spark):
 def test_empty(spark):
     assert mined(spark, [], 30, 10) == []
     assert mined(spark, [(None, None), ("en", "a b")], 30, 10) == []
+
+
+def test_like_its_sql(spark):
+    import duckdb
+
+    c, d = duckdb.connect(), "/root/testdata/sf0.001"
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet'")
+    want = c.execute(collocations.SQL).fetchall()
+    assert sorted(map(tuple, collocations.query(spark, d).collect())) == sorted(want) and want

@@ -87,3 +87,12 @@ def test_empty(spark):
     assert variants.group_variants(variants.vocabulary(docs, "doc_id", "text")).count() == 0
     lone = spark.createDataFrame([(1, "unlike words words words stand alone alone alone")], "doc_id long, text string")
     assert sorted(r.word for r in variants.group_variants(variants.vocabulary(lone, "doc_id", "text")).collect()) == ["alone", "words"]
+
+
+def test_like_its_sql(spark):
+    import duckdb
+
+    c, d = duckdb.connect(), "/root/testdata/sf0.001"
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet'")
+    want = c.execute(variants.SQL).fetchall()
+    assert sorted(map(str, map(tuple, variants.query(spark, d).collect()))) == sorted(map(str, want)) and len(want) > 100
