@@ -12,6 +12,8 @@ from tallyweave.tables import Scratch
 
 #: Ids that are sent to every task (8 MB); more meet the rows by a shuffle.
 FEW = 1 << 20
+#: Bytes of texts that pass between Spark and Python at once, in all stages; the default is 64 MB for each task and way.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
 def _plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -33,6 +35,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with letters whose language is settled: a mean probability of at least a half. Each row is judged
     by its own text, whether its id is null, repeated or neither; a null, empty or letterless text goes. Other columns
     pass, whatever their names; an empty table gives an empty one."""
+    spark.conf.set(*BATCH)
     d, at = _plain(docs)
     rows = d.select(F.col(at["doc_id"]).alias("doc_id"), F.col(at["text"]).alias("text"), F.struct(*d.columns).alias("row"))
     found = crf_langid.predict(rows, crf_langid.learn(docs), keep="row").where("lang_pred <> 'und' AND score >= 0.5")
