@@ -15,6 +15,7 @@ from tallyweave.operators.scoring import counters, percent, shown
 
 #: Fields of a page that a report shows of what was read, in order.
 SNAPSHOT = ("ballot_type", "page_number", "page_total", "voting_district", "barcode_text", "province", "municipality", "station_name", "officer", "registered_voters", "total_valid_votes", "total_spoilt_votes", "total_votes_cast", "special_votes", "section_24a_votes")
+#: Fixed values in the functions below: headings, labels, column widths and rules of the report's text.
 LINE = "section int, file string, part int, i int, line string"
 _ORDER = ("section", "file", "part", "i")
 
