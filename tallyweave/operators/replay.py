@@ -278,7 +278,7 @@ def decisions(slips: DataFrame, pages: DataFrame, party: DataFrame, commands: Da
     then = then.join(fixed, ["id", "party_id"], "left").withColumns({"votes": F.when(F.col("v").isNotNull(), F.greatest(F.lit(0), F.col("v").cast("int"))).otherwise(F.col("votes")), "is_overridden": F.col("v").isNotNull() | F.col("is_overridden")})
     then = then.drop("v", "seq").withColumnRenamed("id", "slip_id").withColumnRenamed("party_id", "id")
     whole, _ = rules_of.consolidate(version.drop("seq"), then_pages.drop("seq"), then)
-    metrics = rules_of.slip_metrics(whole.drop("received", "missing"), then_pages.drop("seq"), then)
+    metrics = rules_of.slip_metrics(whole, then_pages.drop("seq"), then)
     found = rules_of.approval(metrics, rules_of.evaluate_rules(metrics, rules), then)
     return found.select(F.col("id").cast("bigint").alias("seq"), "decision")
 

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from tallyweave import schemas
 from tallyweave.operators import assign, slips
 from tallyweave.sources import files
@@ -82,3 +84,18 @@ def test_components_of_a_long_chain(spark):
     rows = [(f"b{i:02d}", f"d{j}", "X") for i in range(54) for j in (i, i + 1)]  # each family shares a district with the next
     d = spark.createDataFrame(rows, "slip_reference string, voting_district string, ballot_type string").coalesce(1)
     assert {r.comp for r in assign.with_components(d).select("comp").distinct().collect()} == {"b00"}
+
+
+def test_judged_as_by_results(spark):
+    """Flags told row by row are those of the results; every slip takes part, also without pages, rows, district or type."""
+    s, p, r = fixture(spark)
+    more = [slip("d", "National", 10, "approved", 5, 0, 5, 1, True, "V2"), slip("e", "National", 10, "approved", 5, 0, 5, 1, True, "V2"), slip("f", None, 10, "approved", 5, 0, 5, 1, False, "V2"), slip("g", None, 10, "approved", 5, 0, 5, 1, True, "V2")]
+    s = s.union(spark.createDataFrame(more, s.schema))
+    rules = slips.rules_frame(spark)
+    m = slips.slip_metrics(slips.consolidate(s, p, r)[0].withColumn("is_vote_related", F.lit(True)), p, r)
+    results = slips.evaluate_rules(m, rules)
+    assert results.count() == 8 * 7 and results.rdd.getNumPartitions() == m.rdd.getNumPartitions()  # not each with each part of the rules
+    j = slips.judged(m, rules)
+    assert sorted(map(tuple, slips.eligibility(j).collect())) == sorted(map(tuple, slips.eligibility(m, results).collect()))
+    assert sorted(map(tuple, slips.approval(j).collect())) == sorted(map(tuple, slips.approval(m, results, r).collect()))
+    assert {x.id for x in slips.slip_metrics(s, p, r).where("twin").collect()} == {"b", "d", "e"}
