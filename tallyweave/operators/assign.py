@@ -119,51 +119,72 @@ def with_components(records: DataFrame) -> DataFrame:
     d = records.withColumn("base", base_of(F.col("slip_reference")))
     known = F.coalesce(F.upper("voting_district"), F.lit("UNKNOWN")) != "UNKNOWN"
     scratch = Scratch(records.sparkSession)
-    sites = d.select("base", F.when(known, F.to_json(F.struct("voting_district", "ballot_type"))).alias("site")).distinct()
-    # A site is a node as well: its name can't be a base's.
-    links = sites.where("site IS NOT NULL").select(F.concat(F.lit("b"), "base").alias("a"), F.concat(F.lit("s"), "site").alias("b"))
-    ids = d.select(F.concat(F.lit("b"), "base").alias("id")).union(links.select("b")).distinct()
+    sites = d.select("base", F.when(known, F.to_json(F.struct("voting_district", "ballot_type"))).alias("site"))
+    # A site is a node as well: its name can't be a base's. A family without one is a component of its own.
+    links = sites.where("site IS NOT NULL").select(F.concat(F.lit("b"), "base").alias("a"), F.concat(F.lit("s"), "site").alias("b")).distinct()
+    links = scratch.cut(links, "sites")
+    ids = links.select(F.col("a").alias("id")).union(links.select("b")).distinct()
     found = components(ids.select("id", F.col("id").alias("comp")), links, scratch).where("startswith(id, 'b')")
     comp = scratch.end(found.select(F.substring("id", 2, 1 << 30).alias("base"), F.substring("comp", 2, 1 << 30).alias("comp")), "components")
-    return d.join(comp, "base")
+    return d.join(comp, "base", "left").withColumn("comp", F.coalesce("comp", "base"))
 
 
-def fold_arrivals(rows: DataFrame) -> DataFrame:
-    """(comp, arrived, slip) of rows (comp, slip, page): for each page where it went, for each slip what it holds now.
+def fold_arrivals(rows: DataFrame, states: bool = True) -> DataFrame:
+    """(comp, arrived, slip) of rows (comp, slip, page): for each page where it went, for each slip what it holds now
+    (unless `states` is false).
 
     A row holds either a slip as it was, struct<SLIP>, or a page, struct<ingest_seq, base, voting_district, ballot_type,
     page_number, is_vote_related>. The rows of a component follow each other, slips by age and then pages by arrival, so a
-    task holds the slips of one component at a time and none of its pages.
+    task holds the slips of one component at a time and none of its pages. Rows go in and out as flat columns: building a
+    dict for each costs more than its place does.
     """
+    fields = ("ingest_seq", "base", "voting_district", "ballot_type", "page_number", "is_vote_related")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, desk, old, out = None, None, [], []
-
-        def state() -> list[dict]:
-            return [{"comp": now, "arrived": None, "slip": {"slip_key": s.key, "base": s.base, "voting_district": s.district, "ballot_type": s.kind, "is_vote_related": s.votes, "made": s.made, "pages": sorted(s.pages, key=lambda p: (p is None, p))}} for s in (desk.slips if desk else old)]
+        now, desk, old = None, None, []
+        went, held = [[] for _ in range(3)], [[] for _ in range(8)]
+
+        def close() -> None:
+            for s in (desk.slips if desk else old) if states else ():
+                for to, value in zip(held, (now, s.key, s.base, s.district, s.kind, s.votes, s.made, sorted(s.pages, key=lambda p: (p is None, p))), strict=True):
+                    to.append(value)
+
+        def struct(kind: pa.StructType, lists: list[list]) -> pa.Array:
+            fs = [kind.field(i) for i in range(kind.num_fields)]
+            return pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(lists, fs, strict=True)], fields=fs)
+
+        def told() -> Iterator[pa.RecordBatch]:
+            arrived, slip = arrow.field("arrived").type, arrow.field("slip").type
+            if n := len(went[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(went[0], pa.string()), struct(arrived, went[1:]), pa.nulls(n, slip)], schema=arrow)
+            for i in range(0, n := len(held[0]), _BATCH):
+                part = [x[i : i + _BATCH] for x in held]
+                yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.string()), pa.nulls(len(part[0]), arrived), struct(slip, part[1:])], schema=arrow)
+            for x in (*went, *held):
+                x.clear()
 
         for batch in batches:
-            for comp, slip, page in zip(*(batch.column(c).to_pylist() for c in ("comp", "slip", "page")), strict=True):
+            for comp, slip, is_page, seq, base, district, kind, number, votes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if comp != now:
-                    out += state()
+                    close()
                     now, desk, old = comp, None, []
-                if slip:
+                if not is_page:
                     old.append(Slip(slip["slip_key"], slip["base"], slip["voting_district"], slip["ballot_type"], slip["is_vote_related"], slip["made"], set(slip["pages"])))
                     continue
                 desk = desk or Desk(old)
-                key = desk.place(page["base"], page["voting_district"], page["ballot_type"], page["page_number"], page["is_vote_related"], page["ingest_seq"])
-                out.append({"comp": comp, "arrived": {"ingest_seq": page["ingest_seq"], "slip_key": key}, "slip": None})
-                if len(out) >= _BATCH:
-                    yield pa.RecordBatch.from_pylist(out, schema=arrow)
-                    out = []
-        out += state()
-        for i in range(0, len(out), _BATCH):
-            yield pa.RecordBatch.from_pylist(out[i : i + _BATCH], schema=arrow)
+                key = desk.place(base, district, kind, number, votes, seq)
+                for to, value in zip(went, (comp, seq, key), strict=True):
+                    to.append(value)
+                if len(went[0]) + len(held[0]) >= _BATCH:
+                    yield from told()
+        close()
+        yield from told()
 
     schema = f"comp string, arrived struct<{_struct(OUT)}>, slip struct<{_struct(SLIP)}>"
     arrow = to_arrow_schema(StructType.fromDDL(schema))
     order = ["comp", F.col("page").isNotNull(), "slip.made", "page.ingest_seq"]
-    return rows.select("comp", "slip", "page").repartition("comp").sortWithinPartitions(*order).mapInArrow(run, schema)
+    d = rows.select("comp", "slip", "page").repartition("comp").sortWithinPartitions(*order)
+    return d.select("comp", "slip", F.col("page").isNotNull().alias("is_page"), *[F.col(f"page.{f}").alias(f) for f in fields]).mapInArrow(run, schema)
 
 
 def _struct(ddl: str) -> str:
@@ -181,4 +202,4 @@ def assign_pages(records: DataFrame) -> DataFrame:
     An empty table gives an empty one; a null reference is a family of its own name, the empty one.
     """
     d = with_components(records).select("comp", F.lit(None).cast(f"struct<{_struct(SLIP)}>").alias("slip"), page_of().alias("page"))
-    return fold_arrivals(d).where("arrived IS NOT NULL").select("arrived.*")
+    return fold_arrivals(d, states=False).where("arrived IS NOT NULL").select("arrived.*")

@@ -9,14 +9,19 @@ from tallyweave.tables import Scratch
 
 
 def components(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, comp): the smallest label reachable over links (a, b), a table of scratch.
+    """(id, comp): the smallest label reachable over links (a, b), in tables of scratch.
 
     labels: (id, comp) to start from, comp being an id of the same component. A round passes each label to all neighbours
     and then to the label's own label, so a chain shrinks faster than a step a round. A hub is pre-aggregated before it is
-    shuffled: of a node's neighbours only the smallest label counts.
+    shuffled: of a node's neighbours only the smallest label counts. What has no link and its own label takes no part in
+    the rounds.
     """
     both = scratch.cut(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    lab, old = labels, None
+    tied = both.select(F.col("a").alias("id"), F.lit(True).alias("tied")).distinct()
+    start = labels.select("id", "comp").join(tied, "id", "left").select("id", "comp", (F.col("tied").isNotNull() | (F.col("id") != F.col("comp"))).alias("moves"))
+    start = scratch.cut(start, "start")
+    lab, old = start.where("moves").select("id", "comp"), None
+    still = start.where("NOT moves").select("id", "comp", F.lit(False).alias("moved"))
     while True:
         near = both.join(lab, both.b == lab.id).groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("m"))
         step = lab.join(near, "id", "left").select("id", "comp", F.least("comp", "m").alias("m"))
@@ -27,4 +32,4 @@ def components(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFra
         lab, old = new.select("id", "comp"), new
         if new.where("moved").isEmpty():
             scratch.drop(both)
-            return new
+            return new.unionByName(still)

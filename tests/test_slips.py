@@ -2,8 +2,10 @@ from pyspark.sql import functions as F
 
 from tallyweave import schemas
 from tallyweave.operators import assign, slips
+from tallyweave.operators.components import components
 from tallyweave.sources import files
 from tallyweave.streaming import progress
+from tallyweave.tables import Scratch
 
 
 def slip(i, kind, reg, status, valid, spoilt, cast, exp, sig, vd="V1"):
@@ -99,3 +101,12 @@ def test_judged_as_by_results(spark):
     assert sorted(map(tuple, slips.eligibility(j).collect())) == sorted(map(tuple, slips.eligibility(m, results).collect()))
     assert sorted(map(tuple, slips.approval(j).collect())) == sorted(map(tuple, slips.approval(m, results, r).collect()))
     assert {x.id for x in slips.slip_metrics(s, p, r).where("twin").collect()} == {"b", "d", "e"}
+
+
+def test_components_without_links_take_no_part(spark):
+    """A node without a link keeps its label and is in none of the rounds' tables."""
+    scratch = Scratch(spark)
+    ids = spark.createDataFrame([(x, x) for x in "abcdef"], "id string, comp string")
+    got = components(ids, spark.createDataFrame([("f", "c")], "a string, b string"), scratch)
+    assert {r.id: r.comp for r in got.collect()} == {**{x: x for x in "abcde"}, "f": "c"}
+    assert [t.count() for t, path in scratch.paths.values() if "/labels-" in path] == [2]
