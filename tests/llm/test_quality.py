@@ -90,3 +90,27 @@ def test_no_python_in_the_plan(spark):
     _, _, docs, labelled = corpus(spark)
     plan = quality.judge(docs, labelled)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_every_label_takes_part(spark):
+    n = (1 << 16) + 500  # more of one value than the bound there was
+    many = spark.range(n + 300).select(F.col("id").alias("doc_id"), F.when(F.col("id") < n, 1).otherwise(0).alias("quality"))
+    sample = quality.sample_of(many)
+    assert {r.trusted: r["count"] for r in sample.groupBy("trusted").count().collect()} == {True: n, False: 300}
+    _, _, docs, labelled = corpus(spark)
+    by_id = lambda d: {r.doc_id: (r.kept, r.score) for r in d.collect()}
+    assert by_id(quality.judge(docs, labelled)) == by_id(quality.judge(docs, labelled, few=0))  # sent to every task, or by a shuffle
+
+
+def test_threshold_is_of_all_scores(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(words[: 25 + i % 15], k=rng.randint(3, 30)))) for i in range(900)], "id long, text string")
+    for labels in ([(i, int(i % 3 > 0)) for i in range(900)], [(i, 1) for i in range(5)], [(i, 0) for i in range(9)]):
+        sample = quality.sample_of(spark.createDataFrame(labels, "doc_id long, quality int"))
+        model = quality.weights(docs, sample)
+        model = [w + 9 * i for i, w in enumerate(model)]
+        held = quality.score(docs.join(sample.where("held"), "id"), model)
+        good, bad = held.agg(*[F.expr(f"percentile(CASE WHEN trusted = {t} THEN score END, {p})") for t, p in (("true", 0.001), ("false", 0.75))]).first()
+        want = None if good is None else math.floor(good if bad is None else min(good, (good + bad) / 2))
+        assert quality.threshold(docs, sample, model) == want
