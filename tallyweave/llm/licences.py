@@ -1,9 +1,10 @@
 """Licence scans (operator 9), native: TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-Of a file that has a licence cue the units are: the whole text; blocks of several lines at a cue line (headers, and
-notices wrapped over lines); the cue lines, their sentences, and windows of words at a cue in long ones. A term weighs how
-often the unit has it times its inverse document frequency, counted over all files that have a cue. Each unit is compared
-with each template (whole licences, headers, short notices) by sparse cosine. At or over the threshold, whole licences and
+Of each file, with or without a licence cue, the whole text is a unit; of cue lines there are blocks of several lines
+(headers, and notices wrapped over lines), the lines, their sentences, and windows of words at a cue in long ones. A term
+weighs how often the unit has it times its inverse document frequency, counted over all files. Each unit is compared with
+each template (whole licences, headers, short notices) by sparse cosine; what a bound that loses none shows to be under
+the threshold is left out first. At or over the threshold, whole licences and
 headers come before short notices, and those before the reservation of rights that many licences hold; within these the
 best score is the file's own licence. A file without one inherits from the nearest ancestor directory in which a licence
 file was found; if the files of a directory state several, the most common one counts (ties by name).
@@ -41,6 +42,9 @@ _TERM = r"([a-z]+(?:-[a-z]+)*|[0-9]+(?:\.[0-9]+)*)"
 #: Lines of a block, and words before a cue and of a window.
 BLOCKS, WINDOWS = (2, 3, 4, 8, 12, 16, 24), ((0, 6), (2, 5), (4, 7), (5, 8), (6, 10), (7, 10))
 
+#: Hash values of terms in the first bound on whole texts.
+SLOTS = 1 << 16
+
 
 def templates() -> list[tuple[int, str, int, list[str]]]:
     """(number, licence, rank, terms); the lowest rank counts first."""
@@ -54,7 +58,7 @@ def _terms(text: Column) -> Column:
 
 
 def units_of(texts: DataFrame) -> DataFrame:
-    """(id, terms) of all units of texts (id, text): a row each, whatever a text's number of cue lines.
+    """(id, terms) of the units at cue lines of texts (id, text): a row each, whatever a text's number of cue lines.
 
     A cue line goes on with the lines around it alone, so the work is in proportion to the cue lines; units may repeat.
     """
@@ -71,7 +75,44 @@ def units_of(texts: DataFrame) -> DataFrame:
     places = F.filter(F.sequence(F.lit(1), F.size("t")), lambda i: F.element_at("t", i).rlike(_CUE_TERM))
     windows = F.flatten(F.transform(places, lambda i: F.array(*[F.slice("t", F.greatest(i - d, F.lit(1)), n) for d, n in WINDOWS])))
     windows = long.select("id", F.explode_outer(windows).alias("terms")).where("terms IS NOT NULL")
-    return texts.select("id", _terms(F.col("text")).alias("terms")).union(own).union(windows)
+    return own.union(windows)
+
+
+def _slot(term: Column) -> Column:
+    return F.pmod(F.hash(term), F.lit(SLOTS))
+
+
+def _may_reach(terms: Column, df_of: DataFrame, weights: DataFrame, idf: Column, least: float) -> Column:
+    """Whether a text's terms may reach the least cosine with a template, row by row, by a bound that loses none.
+
+    Terms are looked up by slot. In the product with a template a term counts as the heaviest of the template's in its slot,
+    in the text's own length by the smallest idf there, so the first is never too small and the second never too large.
+    """
+    low, place = ["1"] * SLOTS, ["-1"] * SLOTS  # as many numbers as there are slots
+    for r in df_of.groupBy(_slot(F.col("term")).alias("slot")).agg(F.min(idf).alias("low")).collect():
+        low[r.slot] = repr(r.low * (1 - 1e-9))
+    heaviest = F.max(F.col("v") / F.col("tf") * F.col("v") / F.col("norm"))
+    found = weights.groupBy(_slot(F.col("term")).alias("slot"), "template").agg(heaviest.alias("w")).collect()  # fixed size
+    at = {slot: i for i, slot in enumerate(sorted({r.slot for r in found}))}
+    for slot, i in at.items():
+        place[slot] = str(i)
+    each = {t: ["0"] * len(at) for t in sorted({r.template for r in found})}
+    for r in found:
+        each[r.template][at[r.slot]] = repr(r.w * (1 + 1e-9))
+    array = lambda xs, kind: F.split(F.lit(",".join(xs)), ",").cast(f"array<{kind}>")
+    low, place, each = array(low, "double"), array(place, "int"), {f"t{t}": array(xs, "double") for t, xs in each.items()}
+
+    def longer(a: Column, x: Column) -> Column:
+        run = F.when(a["term"].eqNullSafe(x), a["run"] + 2.0).otherwise(1.0)  # 1 + 3 + 5 + ... is a square
+        w = F.get(low, _slot(x))
+        return F.struct(x.alias("term"), run.alias("run"), (a["size"] + run * w * w).alias("size"))
+
+    none = F.struct(F.lit(None).cast("string").alias("term"), F.lit(0.0).alias("run"), F.lit(0.0).alias("size"))
+    size = F.aggregate(F.sort_array(terms), none, longer, lambda a: F.sqrt(a["size"]))
+    hits = F.filter(F.transform(terms, lambda x: F.get(place, _slot(x))), lambda i: i >= 0)
+    start = F.struct(*[F.lit(0.0).alias(t) for t in each])
+    dot = F.aggregate(hits, start, lambda a, i: F.struct(*[(a[t] + F.get(w, i)).alias(t) for t, w in each.items()]), lambda a: F.greatest(*[a[t] for t in each]))
+    return dot >= (least - 1e-6) * size
 
 
 def _promising(units: DataFrame, weights: DataFrame, least: float) -> DataFrame:
@@ -100,17 +141,19 @@ def scan(df: DataFrame, id_col: str, path: Column, text_col: str, least: float =
     scratch = Scratch(spark)
     own = f"path_{uuid.uuid4().hex}"  # no column of df has this name
     d = pick(df.select("*", path.alias(own)), id_col, text_col, own).toDF("id", "text", "path")
-    cued = d.where(F.col("id").isNotNull() & F.col("text").rlike(_CUE))
-    every = units_of(cued.select("id", "text")).select("id", F.array_join("terms", " ").alias("terms")).where("terms <> ''")
-    every = scratch.cut(every.select("id", F.unhex(F.md5("terms")).alias("unit"), "terms"), "units")
+    stating = d.where("id IS NOT NULL AND text IS NOT NULL").select("id", "text")
     words = _terms(F.col("text"))
-    n = cued.count()
+    n = stating.count()
     known = spark.createDataFrame([(i, k, r, w, float(t.count(w))) for i, k, r, t in templates() for w in set(t)], "template int, licence string, rank int, term string, tf double")  # fixed size
-    df_of = scratch.cut(cued.select(F.explode(F.array_distinct(words)).alias("term")).groupBy("term").agg(F.count("*").alias("df")), "terms")
+    df_of = scratch.cut(stating.select(F.explode(F.array_distinct(words)).alias("term")).groupBy("term").agg(F.count("*").alias("df")), "terms")
     idf = F.log((F.lit(1.0 + n)) / (1.0 + F.coalesce(F.col("df"), F.lit(0)))) + 1.0
     weights = known.join(df_of, "term", "left").select("template", "licence", "rank", "term", "tf", (F.col("tf") * idf).alias("v"))
     norms = weights.groupBy("template").agg(F.sqrt(F.sum(F.col("v") ** 2)).alias("norm"))
     weights = scratch.cut(weights.join(norms, "template"), "weights")
+    whole = stating.select("id", words.alias("terms")).where(_may_reach(F.col("terms"), df_of, weights, idf, least))
+    cued = scratch.cut(stating.where(F.col("text").rlike(_CUE)), "cued")
+    every = whole.union(units_of(cued)).select("id", F.array_join("terms", " ").alias("terms")).where("terms <> ''")
+    every = scratch.cut(every.select("id", F.unhex(F.md5("terms")).alias("unit"), "terms"), "units")
     units = scratch.cut(every.groupBy("unit").agg(F.first("terms").alias("terms")), "distinct")
     units = scratch.cut(units.join(_promising(units, weights, least), "unit", "left_semi"), "promising")
     counts = units.select("unit", F.explode(F.split("terms", " ")).alias("term")).groupBy("unit", "term").agg(F.count("*").alias("tf"))

@@ -106,3 +106,22 @@ def test_licences_against_brute_force(spark):
     files += [(100, None, notices[0]), (101, "a/b/x", None)]
     got = {r.id: r.licence for r in licences.scan(spark.createDataFrame(files, "id long, path string, text string"), "id", F.col("path"), "text").collect()}
     assert got == brute(files)
+
+
+def test_licences_of_texts_without_a_cue(spark):
+    """Every text is compared with every template, whether or not it has a word that hints at a licence."""
+    cue = re.compile(f"{licences._CUE}|{licences._CUE_TERM[1:]}", re.I)
+    texts = [cue.sub("", f.read_text()) for f in sorted(licences.TEXTS.glob("*.txt"))]
+    files = [(i, f"d{i}/x", t) for i, t in enumerate([*texts, "released under the mit", *(" ".join(draw(80)) for _ in range(40)), ""])]
+    assert not any(re.search(licences._CUE, t) for _, _, t in files)
+    known = [terms(" ".join(t)) for _, _, _, t in licences.templates()]
+    df = Counter(w for _, _, t in files for w in set(terms(t)))
+    weigh = lambda ts: {w: n * (math.log((1 + len(files)) / (1 + df[w])) + 1) for w, n in Counter(ts).items()}
+    size = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    want = {}
+    for i, _, t in files:
+        v = weigh(terms(t))
+        best = [(r, -round(sum(x * m.get(w, 0) for w, x in v.items()) / size(v) / size(m), 9), k) for (_, k, r, _), m in zip(licences.templates(), map(weigh, known)) if v]
+        want[i] = min((b for b in best if b[1] <= -0.7), default=(0, 0, None))[2]
+    got = {r.id: r.licence for r in licences.scan(spark.createDataFrame(files, "id long, path string, text string"), "id", F.col("path"), "text").collect()}
+    assert got == want and sum(k is not None for k in want.values()) >= 5
