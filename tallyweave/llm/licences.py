@@ -108,11 +108,12 @@ def _may_reach(terms: Column, df_of: DataFrame, weights: DataFrame, idf: Column,
         return F.struct(x.alias("term"), run.alias("run"), (a["size"] + run * w * w).alias("size"))
 
     none = F.struct(F.lit(None).cast("string").alias("term"), F.lit(0.0).alias("run"), F.lit(0.0).alias("size"))
-    size = F.aggregate(F.sort_array(terms), none, longer, lambda a: F.sqrt(a["size"]))
-    hits = F.filter(F.transform(terms, lambda x: F.get(place, _slot(x))), lambda i: i >= 0)
+    size = lambda ts: F.aggregate(F.sort_array(ts), none, longer, lambda a: F.sqrt(a["size"]))
+    hits = lambda ts: F.filter(F.transform(ts, lambda x: F.get(place, _slot(x))), lambda i: i >= 0)
     start = F.struct(*[F.lit(0.0).alias(t) for t in each])
-    dot = F.aggregate(hits, start, lambda a, i: F.struct(*[(a[t] + F.get(w, i)).alias(t) for t, w in each.items()]), lambda a: F.greatest(*[a[t] for t in each]))
-    return dot >= (least - 1e-6) * size
+    dot = lambda ts: F.aggregate(hits(ts), start, lambda a, i: F.struct(*[(a[t] + F.get(w, i)).alias(t) for t, w in each.items()]), lambda a: F.greatest(*[a[t] for t in each]))
+    # As the item of an array the terms are found once, not once for each use.
+    return F.get(F.transform(F.array(terms), lambda ts: dot(ts) >= (least - 1e-6) * size(ts)), F.lit(0))
 
 
 def _promising(units: DataFrame, weights: DataFrame, least: float) -> DataFrame:
