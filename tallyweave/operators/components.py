@@ -1,4 +1,4 @@
-"""Connected components by label passing with label jumping, in as many rounds as it takes."""
+"""Connected components by label passing with label hooking and jumping, in as many rounds as it takes."""
 
 from __future__ import annotations
 
@@ -11,8 +11,9 @@ from tallyweave.tables import Scratch
 def components(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, comp): the smallest label reachable over links (a, b), in tables of scratch.
 
-    labels: (id, comp) to start from, comp being an id of the same component. A round passes each label to all neighbours
-    and then to the label's own label, so a chain shrinks faster than a step a round. A hub is pre-aggregated before it is
+    labels: (id, comp) to start from, comp being an id of the same component. A round passes each label to all neighbours,
+    tells what a node was passed to the node it is labelled with as well, so that trees are hooked to each other as a whole,
+    and then takes the label's own label: rounds grow with the logarithm of a chain. A hub is pre-aggregated before it is
     shuffled: of a node's neighbours only the smallest label counts. What has no link and its own label takes no part in
     the rounds.
     """
@@ -24,7 +25,8 @@ def components(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFra
     still = start.where("NOT moves").select("id", "comp", F.lit(False).alias("moved"))
     while True:
         near = both.join(lab, both.b == lab.id).groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("m"))
-        step = lab.join(near, "id", "left").select("id", "comp", F.least("comp", "m").alias("m"))
+        told = lab.join(near, "id").where("m < comp").select(F.explode(F.array("id", "comp")).alias("id"), "m").groupBy("id").agg(F.min("m").alias("m"))
+        step = lab.join(told, "id", "left").select("id", "comp", F.least("comp", "m").alias("m"))
         up = lab.select(F.col("id").alias("m"), F.col("comp").alias("up"))
         new = step.join(up, "m", "left").select("id", F.least("m", "up").alias("comp"), (F.least("m", "up") < F.col("comp")).alias("moved"))
         new = scratch.cut(new, "labels")

@@ -165,7 +165,8 @@ def replay(slips: DataFrame, pages: DataFrame, commands: DataFrame, party: DataF
     clears = sorted(r.seq for r in c.where("action = 'clear_all_slips'").select("seq").distinct().collect())
     epoch = lambda seq: F.size(F.filter(F.array(*[F.lit(s) for s in clears]).cast("array<bigint>"), lambda s: s < seq)) if clears else F.lit(0)
 
-    # Nodes are slips and pages that commands name, and the pages of those slips.
+    # Nodes are slips and pages that commands name, and the pages of those slips. A page ties its slips to the smallest of
+    # them, so that components are sought among slips alone, and is in the component of that one.
     at = pages.select(F.col("id").alias("page_id"), F.col("slip_id").alias("at"))
     named = c.where("action <> 'clear_all_slips'")
     moved = named.where("page_id IS NOT NULL").select("page_id").distinct().join(at, "page_id", "left")
@@ -174,22 +175,23 @@ def replay(slips: DataFrame, pages: DataFrame, commands: DataFrame, party: DataF
     own_pages = at.join(touched, at.at == touched.slip_id, "left_semi")
     s = lambda x: F.concat(F.lit("s"), x)
     p = lambda x: F.concat(F.lit("p"), x)
-    links = own_pages.select(p(F.col("page_id")).alias("a"), s(F.col("at")).alias("b"))
     acts = named.where("page_id IS NOT NULL")
-    for other in (s(F.col("slip_id")), s(F.when(F.col("action") == "manual_link_page", F.col("value"))), s(F.col("own"))):
-        links = links.union(acts.select(p(F.col("page_id")), other))
-    links = scratch.cut(links.where("a IS NOT NULL AND b IS NOT NULL").distinct(), "ties")
-    ids = touched.select(s(F.col("slip_id")).alias("id")).union(links.select("a")).union(links.select("b")).union(acts.select(p(F.col("page_id")))).distinct()
-    comp = scratch.cut(components(ids.select("id", F.col("id").alias("comp")), links, scratch).select("id", "comp"), "comps")
+    tied = acts.select("page_id", F.explode(F.array("slip_id", F.when(F.col("action") == "manual_link_page", F.col("value")), "own")).alias("slip_id"))
+    tied = scratch.cut(tied.union(own_pages.select("page_id", "at")).distinct(), "ties")
+    least = scratch.cut(tied.groupBy("page_id").agg(F.min("slip_id").alias("least")), "least")
+    links = tied.join(least, "page_id").where("slip_id <> least").select(s(F.col("slip_id")).alias("a"), s(F.col("least")).alias("b")).distinct()
+    ids = touched.select(s(F.col("slip_id")).alias("id"))
+    of_slips = components(ids.select("id", F.col("id").alias("comp")), links, scratch).select("id", "comp")
+    of_pages = least.select(p(F.col("page_id")).alias("page"), s(F.col("least")).alias("id")).join(of_slips, "id", "left").select(F.col("page").alias("id"), F.coalesce("comp", "page").alias("comp"))
+    comp = scratch.cut(of_slips.union(of_pages), "comps")
 
     none = lambda kind: F.lit(None).cast(kind)
-    act = F.struct(*_COMMAND)
     node = F.coalesce(p(F.col("page_id")), s(F.col("slip_id")), F.lit(""))
     first = lambda d, node, what, *cols: d.withColumn("id", node).join(comp, "id").select("comp", F.lit(0).alias("epoch"), F.lit(what).alias("what"), *cols)
-    kind = c.select(act.alias("c")).schema["c"].dataType
-    rows = first(slips.select(F.col("id").alias("slip_id")), s(F.col("slip_id")), "slip", "slip_id", none("string").alias("page_id"), none(kind).alias("c"))
-    rows = rows.union(first(own_pages.select("page_id", "at").union(moved.where("at IS NOT NULL").select("page_id", "at")).distinct(), p(F.col("page_id")), "page", F.col("at"), F.col("page_id"), none(kind)))
-    orders = named.withColumn("id", node).join(comp, "id", "left").select(F.coalesce("comp", F.lit("")).alias("comp"), epoch(F.col("seq")).alias("epoch"), F.lit("act").alias("what"), none("string"), none("string"), act)
+    blank = [none(c.schema[f].dataType).alias(f) for f in _COMMAND]
+    rows = first(slips.select(F.col("id").alias("slip_id")), s(F.col("slip_id")), "slip", F.col("slip_id").alias("slip"), none("string").alias("page"), *blank)
+    rows = rows.union(first(own_pages.select("page_id", "at").union(moved.where("at IS NOT NULL").select("page_id", "at")).distinct(), p(F.col("page_id")), "page", F.col("at"), F.col("page_id"), *blank))
+    orders = named.withColumn("id", node).join(comp, "id", "left").select(F.coalesce("comp", F.lit("")).alias("comp"), epoch(F.col("seq")).alias("epoch"), F.lit("act").alias("what"), none("string"), none("string"), *_COMMAND)
     rows = rows.union(orders)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,10 +202,16 @@ def replay(slips: DataFrame, pages: DataFrame, commands: DataFrame, party: DataF
             if end is not None:
                 state.act({"action": "clear_all_slips", "slip_id": None, "page_id": None, "seq": end})
             rows = [*state.past, *(("life", x) for x in state.slips.values()), *(("stay", x) for x in state.pages.values())]
-            return [{"outcome": None, "stay": x if k == "stay" else None, "life": x | {"edits": list(x["edits"].items())} if k == "life" else None} for k, x in rows]
+            return [x | {"kind": k} | ({"edits": list(x["edits"].items())} if k == "life" else {}) for k, x in rows]
+
+        def batch_of(rows: list[dict]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r.get(name) for r in rows], kind) for name, kind in fields], schema=arrow)
+
+        def values(col: pa.Array) -> list:  # far faster than to_pylist; numbers are null in rows that don't use them
+            return (col.fill_null(0) if pa.types.is_integer(col.type) else col).to_numpy(zero_copy_only=False).tolist()
 
         for batch in batches:
-            for comp, epoch, what, slip, page, act in zip(*(col.to_pylist() for col in batch.columns), strict=True):
+            for comp, epoch, what, slip, page, *act in zip(*map(values, batch.columns), strict=True):
                 if (comp, epoch) != now:
                     out += told()
                     now, state = (comp, epoch), State()
@@ -212,31 +220,35 @@ def replay(slips: DataFrame, pages: DataFrame, commands: DataFrame, party: DataF
                 elif what == "page":
                     state.put(page, slip, None)
                 else:
+                    act = dict(zip(_COMMAND, act, strict=True))
                     party_slip = state.pages[act["page_id"]]["slip_id"] if act["page_id"] in state.pages else None
                     was = state.slips.get(act["slip_id"]) if act["action"] == "approve_slip" else None
                     why = state.act(act)
-                    whole = {"origin": was["origin"], "edits": list(was["edits"].items()), "pages": sorted(state.on.get(act["slip_id"], ()))} if was else {"origin": None, "edits": None, "pages": None}
-                    out.append({"outcome": {"seq": act["seq"], "done": why is None, "why": why, "slip_id": act["slip_id"], "party_slip": party_slip, **whole}, "stay": None, "life": None})
+                    whole = {"origin": was["origin"], "edits": list(was["edits"].items()), "pages": sorted(state.on.get(act["slip_id"], ()))} if was else {}
+                    out.append({"kind": "outcome", "seq": act["seq"], "done": why is None, "why": why, "slip_id": act["slip_id"], "party_slip": party_slip, **whole})
                 if len(out) >= _BATCH:
-                    yield pa.RecordBatch.from_pylist(out, schema=arrow)
+                    yield batch_of(out)
                     out = []
         out += told()
         for i in range(0, len(out), _BATCH):
-            yield pa.RecordBatch.from_pylist(out[i : i + _BATCH], schema=arrow)
+            yield batch_of(out[i : i + _BATCH])
 
-    schema = f"outcome struct<{OUTCOME}>, stay struct<{STAY}>, life struct<{LIFE}>"
+    schema = f"kind string, {OUTCOME}, page_id string, since bigint, until bigint"
     arrow = to_arrow_schema(StructType.fromDDL(schema))
+    fields = [(f.name, f.type) for f in arrow]
     order = F.when(F.col("what") == "slip", 0).when(F.col("what") == "page", 1).otherwise(2)
-    done = scratch.cut(rows.repartition("comp").sortWithinPartitions("comp", "epoch", order, "c.seq").mapInArrow(run, schema), "replayed")
-    of = lambda c: done.where(F.col(c).isNotNull()).select(f"{c}.*")
+    # Rows are few bytes but much work in Python: as many tasks as Spark shuffles to, not as few as would hold the bytes.
+    tasks = int(slips.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    done = scratch.cut(rows.repartition(tasks, "comp").sortWithinPartitions("comp", "epoch", order, "seq").mapInArrow(run, schema), "replayed")
+    of = lambda kind, columns: done.where(F.col("kind") == kind).select(*[f.name for f in StructType.fromDDL(columns)])
 
     # What no command names is there until the first clearing.
     end = F.lit(clears[0] if clears else None).cast("bigint")
     idle = slips.select(s(F.col("id")).alias("id"), F.col("id").alias("slip_id")).join(comp, "id", "left_anti")
-    lives = of("life").unionByName(idle.select("slip_id", F.col("slip_id").alias("origin"), none("string").alias("page_id"), none("bigint").alias("since"), end.alias("until"), none("map<string,string>").alias("edits")))
+    lives = of("life", LIFE).unionByName(idle.select("slip_id", F.col("slip_id").alias("origin"), none("string").alias("page_id"), none("bigint").alias("since"), end.alias("until"), none("map<string,string>").alias("edits")))
     still = at.select(p(F.col("page_id")).alias("id"), "page_id", "at").join(comp, "id", "left_anti")
-    stays = of("stay").unionByName(still.select("page_id", F.col("at").alias("slip_id"), none("bigint").alias("since"), end.alias("until")))
-    return Replay(of("outcome"), stays, lives)
+    stays = of("stay", STAY).unionByName(still.select("page_id", F.col("at").alias("slip_id"), none("bigint").alias("since"), end.alias("until")))
+    return Replay(of("outcome", OUTCOME), stays, lives)
 
 
 def pages_now(pages: DataFrame, r: Replay) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from tallyweave import schemas
@@ -110,3 +112,16 @@ def test_components_without_links_take_no_part(spark):
     got = components(ids, spark.createDataFrame([("f", "c")], "a string, b string"), scratch)
     assert {r.id: r.comp for r in got.collect()} == {**{x: x for x in "abcde"}, "f": "c"}
     assert [t.count() for t, path in scratch.paths.values() if "/labels-" in path] == [2]
+
+
+def test_components_hook_whole_trees(spark):
+    """A chain in random order takes rounds that grow with its logarithm, not with its length."""
+    order = [f"{i:03d}" for i in range(257)]
+    random.Random(5).shuffle(order)
+    scratch = Scratch(spark)
+    links = spark.createDataFrame(list(zip(order, order[1:], strict=False)), "a string, b string").coalesce(1)
+    rounds, own = [], scratch.cut
+    scratch.cut = lambda d, what: rounds.append(what) or own(d, what)
+    got = components(spark.createDataFrame([(x, x) for x in order], "id string, comp string").coalesce(1), links, scratch)
+    assert {r.comp for r in got.collect()} == {"000"} and got.count() == 257
+    assert rounds.count("labels") <= 12
