@@ -232,10 +232,12 @@ def matches(found: DataFrame, scratch: Scratch | None = None) -> tuple[DataFrame
 
 
 def _chain_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Matches (id, partner, at, there), sorted, to chains; a pair may go on in the next batch."""
+    """Matches (id, partner, at, there), sorted, to chains; a pair may go on in the next batch. A match may come twice: where
+    a range begins within a seed, that seed's first holder may be the one before as well."""
     held: list[np.ndarray] = []
 
     def settle(rows: np.ndarray) -> pa.RecordBatch:
+        rows = rows[np.r_[True, (rows[1:] != rows[:-1]).any(axis=1)]]
         x, y = rows[:, 2], rows[:, 3]
         dx, dy = np.diff(x, prepend=x[:1]), np.diff(y, prepend=y[:1])
         new = np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)] | (dx > GAP + K)  # no chain goes on here

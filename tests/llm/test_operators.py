@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 
 from tokenizers import Tokenizer
 
@@ -324,3 +325,10 @@ def test_prefix_filter_loses_no_link(spark):
             both = len(set(sets[a].tolist()) & set(sets[b].tolist()))
             if a // 2 != b // 2 and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
                 assert (a, b) in found
+
+
+def test_a_match_that_comes_twice_counts_once():
+    """Where a range begins within a seed its matches may come twice; chains don't depend on where ranges begin."""
+    once = [(7, 3, 4 * i, 4 * i + 9) for i in range(12)]
+    chained = lambda rows: [tuple(r.values()) for b in substring._chain_rows(iter([pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["id", "partner", "at", "there"])])) for r in b.to_pylist()]
+    assert chained(sorted([*once, once[5], once[11]])) == chained(once) == [(7, 3, 0, 49, 9, 58)]
