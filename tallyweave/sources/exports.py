@@ -58,15 +58,25 @@ def envelope(slips: DataFrame, exported_at: str, status: str | None = None) -> D
     return head.union(d.select(F.concat(F.lit("slip "), "id"), F.to_json(F.struct(*[d[c] for c in d.columns]), keep)))
 
 
-def documents(slips: DataFrame, pages: DataFrame, party: DataFrame, results: DataFrame, audit: DataFrame) -> DataFrame:
+def documents(slips: DataFrame, pages: DataFrame, party: DataFrame, results: DataFrame, audit: DataFrame, together: bool = False) -> DataFrame:
     """(slip_id, doc): each slip with its pages, party rows, rule results and audit rows (oldest first), as a struct for
-    to_json. Children are gathered a slip at a time: their number is bounded by the slip's pages and edits."""
-    gather = lambda d, key, order, name: d.groupBy(F.col(key).alias("slip_id")).agg(F.array_sort(F.collect_list(F.struct(*order, *[c for c in d.columns if c not in order]))).alias(name))
+    to_json. Children are gathered a slip at a time: their number is bounded by the slip's pages and edits.
+
+    `together`: every party row is of the same slip as its page. Then its page is sought among the slip's own, and no
+    party row is shuffled by page."""
+    sort = lambda found, order: F.sort_array(found) if order else found
+    gather = lambda d, key, order, name: d.groupBy(F.col(key).alias("slip_id")).agg(sort(F.collect_list(F.struct(*order, *[c for c in d.columns if c not in order])), order).alias(name))
     out = slips.select(F.col("id").alias("slip_id"), F.struct(*[slips[c] for c in slips.columns]).alias("slip"))
-    parts = [(pages, "slip_id", ["page_number", "id"], "pages"), (with_page(party, pages), "slip_id", ["page_number", "row_index", "id"], "party_results"), (results, "id", ["rule_code"], "validation_results"), (audit, "slip_id", ["timestamp", "id"], "audit_trail")]
-    for d, key, order, name in parts:
-        out = out.join(gather(d, key, order, name), "slip_id", "left").withColumn(name, F.coalesce(name, F.array()))
-    return out.select("slip_id", F.struct("slip", *[p[3] for p in parts]).alias("doc"))
+    by = ["page_number", "row_index", "id"]
+    rows = gather(party, "slip_id", [], "party_results") if together else gather(with_page(party, pages), "slip_id", by, "party_results")
+    parts = [("pages", gather(pages, "slip_id", ["page_number", "id"], "pages")), ("party_results", rows), ("validation_results", gather(results, "id", ["rule_code"], "validation_results")), ("audit_trail", gather(audit, "slip_id", ["timestamp", "id"], "audit_trail"))]
+    for name, d in parts:
+        out = out.join(d, "slip_id", "left").withColumn(name, F.coalesce(name, F.array()))
+    if together:
+        names = [*by, "page_id", *[c for c in party.columns if c not in (*by, "page_id")]]
+        placed = lambda r: F.transform(F.filter("pages", lambda p: p["id"] == r["page_id"]), lambda p: F.struct(*[(p if c == "page_number" else r)[c].alias(c) for c in names]))
+        out = out.withColumn("party_results", F.sort_array(F.flatten(F.transform("party_results", placed))))
+    return out.select("slip_id", F.struct("slip", *[name for name, _ in parts]).alias("doc"))
 
 
 def certificate(slips: DataFrame, pages: DataFrame, party: DataFrame) -> DataFrame:

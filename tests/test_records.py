@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyweave import schemas
 from tallyweave.functions import forms
 from tallyweave.operators import assign, scoring, slips, workflow
+from tallyweave.plans import catalogue
 from tallyweave.sources import exports, files
 from tallyweave.streaming import progress
 
@@ -94,6 +95,34 @@ def test_exports(spark, tmp_path):
     assert len(c.name) == 35 and c.confidence in ("95%", "96%")
 
 
+def test_documents_of_party_rows_that_lie_with_their_page(spark):
+    s = spark.createDataFrame([("a", "x"), ("b", None), ("c", "z")], "id string, station_name string")
+    p = spark.createDataFrame([("p2", "a", 2), ("p1", "a", 1), ("p0", "a", None), ("q", "b", 1), ("q", "b", 3)], "id string, slip_id string, page_number int")
+    r = [("r1", "a", "p1", 1, "C"), ("r0", "a", "p2", 0, "D"), ("r2", "a", "p1", 0, None), ("r3", "a", "p0", 0, "E"), ("t", "b", "q", 0, "F"), ("gone", "b", "none", 0, "G"), ("none", "b", None, 0, "H")]
+    r = spark.createDataFrame(r, "id string, slip_id string, page_id string, row_index int, party_code string")
+    rules = spark.createDataFrame([("a", "Y", "fail"), ("a", "X", "pass")], "id string, rule_code string, result string")
+    log = spark.createDataFrame([("2", "a", 5), ("1", "a", 4)], "id string, slip_id string, timestamp int")
+    text = lambda **how: {x.slip_id: x.json for x in exports.documents(s, p, r, rules, log, **how).select("slip_id", F.to_json("doc", {"ignoreNullFields": "false"}).alias("json")).collect()}
+    got = text(together=True)
+    assert got == text() and len(got) == 3
+    assert [x["id"] for x in json.loads(got["a"])["party_results"]] == ["r3", "r2", "r1", "r0"]
+    assert [(x["id"], x["page_number"]) for x in json.loads(got["b"])["party_results"]] == [("t", 1), ("t", 3)]
+
+
+def test_nested_details_shuffle_files_rather_than_documents(spark):
+    """Rules by kin, results and the audit trail by slip; the rest lies by slip since it was read."""
+    was = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    for k, v in zip(was, ("-1", "false"), strict=True):
+        spark.conf.set(k, v)
+    try:
+        plan = catalogue.queries()["nested_detail_json"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    dealt = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    assert sum("ENSURE_REQUIREMENTS" in line for line in dealt) == 3 and not any("page_id" in line for line in dealt)
+
+
 def test_sources(spark, tmp_path):
     assert files.load_gold(spark, f"{tmp_path}/none.json").count() == 0
     (tmp_path / "g.json").write_text(json.dumps({"a.jpg": {"template": "worksheet", "votes": {"A": 3}, "totals": {"valid": 9}}}))
