@@ -8,8 +8,10 @@ so the fold runs over connected components; within one it is sequential by defin
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from operator import attrgetter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,10 +21,53 @@ from pyspark.sql.types import StructType
 from tallyweave.operators.components import components
 from tallyweave.tables import Scratch
 
-OUT = "ingest_seq bigint, slip_key string"
-#: A slip as the fold keeps it; `made` is the arrival that opened it, by which slips are older or newer.
-SLIP = "slip_key string, base string, voting_district string, ballot_type string, is_vote_related boolean, made bigint, pages array<int>"
-_BATCH = 4096
+#: What a slip holds; `made` is the arrival that opened it, by which slips are older or newer, `expected` its pages' largest total.
+SLIP = "slip_key string, base string, voting_district string, ballot_type string, is_vote_related boolean, made bigint, pages array<int>, expected int"
+#: A row of the fold: a slip as it was, or a page as it arrives (made is its ingest_seq, expected its page total).
+ROW = f"comp string, is_page boolean, {SLIP}, page_number int, request_id string"
+#: A row after the fold: a page with the slip it went to, or a slip as it is now and whether a page of this run went to it.
+FOLDED = f"comp string, is_page boolean, {SLIP}, request_id string, touched boolean"
+_BATCH = 8192
+#: So many slips of a group are looked through one by one.
+_FEW = 8
+
+
+class Group:
+    """The slips of a family or a district, oldest first. The newest that lacks a page is sought from the end; once there
+    are more than a few, by links past those that have it, one set of links for each page number."""
+
+    __slots__ = ("held", "past")
+
+    def __init__(self) -> None:
+        self.held: list[Slip] = []
+        self.past: dict[int | None, dict[int, int]] | None = None
+
+    def add(self, slip: Slip) -> None:
+        self.held.append(slip)
+        if self.past is not None:
+            self._link(len(self.held) - 1, slip)
+        elif len(self.held) > _FEW:
+            self.past = {}
+            for at, other in enumerate(self.held):
+                self._link(at, other)
+
+    def _link(self, at: int, slip: Slip) -> None:
+        slip.places = (*slip.places, (self, at))
+        for page in slip.pages:
+            self.past.setdefault(page, {})[at] = at - 1
+
+    def newest(self, page: int | None) -> Slip | None:
+        if self.past is None:
+            for slip in reversed(self.held):
+                if page not in slip.pages:
+                    return slip
+            return None
+        at, past = len(self.held) - 1, self.past.get(page, ())
+        while at in past:
+            to = past[at]
+            past[at] = past.get(to, to)
+            at = to
+        return self.held[at] if at >= 0 else None
 
 
 @dataclass(slots=True)
@@ -33,75 +78,77 @@ class Slip:
     kind: str | None
     votes: bool
     made: int
-    pages: set[int] = field(default_factory=set)
-    #: Its places in the groups that look for it.
-    places: list[tuple[tuple, int]] = field(default_factory=list)
+    pages: set[int]
+    expected: int | None = None
+    touched: bool = False
+    #: Its places in the groups that have links.
+    places: tuple[tuple[Group, int], ...] = ()
+
+    def give(self, page: int | None) -> None:
+        self.pages.add(page)
+        for group, at in self.places:
+            group.past.setdefault(page, {})[at] = at - 1
 
 
 class Desk:
     """The state of one component: its slips by family and by district, oldest first.
 
-    The newest slip of a group that lacks a page is found by links past those that have it, one set of links for each
-    group and page number, halved as they are followed; so a page costs about the same however many slips are open.
+    The newest slip of a group that lacks a page is found by links past those that have it, halved as they are followed;
+    so a page costs about the same however many slips are open.
     """
 
     def __init__(self, slips: Iterable[Slip] = ()) -> None:
         self.slips: list[Slip] = []
         self.taken: set[str] = set()
         self.next: dict[str, int] = {}
-        self.open: dict[tuple, list[Slip]] = {}
-        self.past: dict[tuple, dict[int, int]] = {}
+        self.open: dict[str | tuple, Group] = {}
         for slip in slips:
-            pages, slip.pages = slip.pages, set()
-            self._open(slip)
-            for page in pages:
-                self._give(slip, page)
+            self._open(slip, self._groups(slip.base, slip.district, slip.kind))
 
-    def _open(self, slip: Slip) -> None:
+    def _open(self, slip: Slip, groups: tuple) -> None:
         self.slips.append(slip)
         self.taken.add(slip.key)
         if slip.votes:
-            for group in self._groups(slip.base, slip.district, slip.kind):
-                held = self.open.setdefault(group, [])
-                slip.places.append((group, len(held)))
-                held.append(slip)
-
-    def _give(self, slip: Slip, page: int) -> None:
-        slip.pages.add(page)
-        for group, at in slip.places:
-            self.past.setdefault((group, page), {})[at] = at - 1
-
-    def _newest(self, group: tuple, page: int) -> Slip | None:
-        held = self.open.get(group)
-        if not held:
-            return None
-        past, at = self.past.get((group, page), {}), len(held) - 1
-        while at in past:
-            to = past[at]
-            past[at] = past.get(to, to)
-            at = to
-        return held[at] if at >= 0 else None
+            for name in groups:
+                group = self.open.get(name)
+                if group is None:
+                    group = self.open[name] = Group()
+                group.add(slip)
 
     @staticmethod
-    def _groups(base: str, district: str | None, kind: str | None) -> list[tuple]:
-        return [(base,)] + ([(district, kind)] if district and district.upper() != "UNKNOWN" else [])
+    def _groups(base: str, district: str | None, kind: str | None) -> tuple:
+        return (base, (district, kind)) if district and district.upper() != "UNKNOWN" else (base,)
 
     def place(self, base: str, district: str | None, kind: str | None, page: int, votes: bool = True, seq: int = 0) -> str:
+        return self.take(base, district, kind, page, votes, seq).key
+
+    def take(self, base: str, district: str | None, kind: str | None, page: int, votes: bool = True, seq: int = 0) -> Slip:
+        """The slip that gets the page."""
+        groups = self._groups(base, district, kind) if votes else ()
         if votes:
-            for group in self._groups(base, district, kind):
-                if slip := self._newest(group, page):
-                    self._give(slip, page)
-                    return slip.key
-            key, n = base, self.next.get(base, 2)
-            while key in self.taken:
-                key, n = f"{base} ({n})", n + 1
-            self.next[base] = n
+            for name in groups:
+                group = self.open.get(name)
+                if group is not None and (slip := group.newest(page)):
+                    slip.give(page)
+                    return slip
+            key = base
+            if key in self.taken:
+                n = self.next.get(base, 2)
+                while key in self.taken:
+                    key, n = f"{base} ({n})", n + 1
+                self.next[base] = n
         else:  # a page that isn't about votes never joins another
             key = base if base not in self.taken else f"{base} #{seq}"
-        slip = Slip(key, base, district, kind, bool(votes), seq)
-        self._open(slip)
-        self._give(slip, page)
-        return key
+        slip = Slip(key, base, district, kind, bool(votes), seq, {page})
+        self._open(slip, groups)
+        return slip
+
+    def close(self) -> list[Slip]:
+        """The slips; groups and slips let go of each other, which spares the search for cycles."""
+        for group in self.open.values():
+            group.past = None
+            group.held.clear()
+        return self.slips
 
 
 def base_of(reference: Column) -> Column:
@@ -129,71 +176,106 @@ def with_components(records: DataFrame) -> DataFrame:
     return d.join(comp, "base", "left").withColumn("comp", F.coalesce("comp", "base"))
 
 
-def fold_arrivals(rows: DataFrame, states: bool = True) -> DataFrame:
-    """(comp, arrived, slip) of rows (comp, slip, page): for each page where it went, for each slip what it holds now
-    (unless `states` is false).
+def _values(column: pa.Array) -> list:
+    """The values as Python objects, nulls as None; by way of numpy, as Arrow takes ten times as long over each."""
+    if pa.types.is_list(column.type):
+        flat, ends = _values(column.flatten()), column.offsets.to_numpy()
+        ends = (ends - ends[0]).tolist()
+        return [flat[i:j] for i, j in zip(ends, ends[1:], strict=False)]  # null as an empty one
+    if not column.null_count or pa.types.is_string(column.type):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    found = column.fill_null(0 if pa.types.is_integer(column.type) else False).to_numpy(zero_copy_only=False).astype(object)
+    found[column.is_null().to_numpy(zero_copy_only=False)] = None
+    return found.tolist()
+
+
+def _alone(comps: list[str], is_page: np.ndarray) -> np.ndarray:
+    """Which rows are of a component that has no page here; the first and the last may go on in other batches."""
+    names = np.array(comps, dtype=object)
+    starts = np.concatenate(([0], np.flatnonzero(names[1:] != names[:-1]) + 1))
+    idle = ~np.logical_or.reduceat(is_page, starts)
+    idle[[0, -1]] = False
+    return np.repeat(idle, np.diff(np.append(starts, len(comps))))
 
-    A row holds either a slip as it was, struct<SLIP>, or a page, struct<ingest_seq, base, voting_district, ballot_type,
-    page_number, is_vote_related>. The rows of a component follow each other, slips by age and then pages by arrival, so a
-    task holds the slips of one component at a time and none of its pages. Rows go in and out as flat columns: building a
-    dict for each costs more than its place does.
+
+def fold_arrivals(rows: DataFrame, by: Iterable[str | Column] = ("comp",), states: bool = True) -> DataFrame:
+    """(FOLDED) of rows (ROW): each page with the slip it went to, and each slip as it is now (unless `states` is false).
+
+    The rows of a component follow each other, slips by age and then pages by arrival, so a task holds the slips of one
+    component at a time and none of its pages. `by` deals out the rows, those of a component to one task. Rows go in and
+    out as flat columns: building a dict for each costs more than its place does. Slips of components without a page are
+    passed on as they came.
     """
-    fields = ("ingest_seq", "base", "voting_district", "ballot_type", "page_number", "is_vote_related")
+    given, told = to_arrow_schema(StructType.fromDDL(ROW)), to_arrow_schema(StructType.fromDDL(FOLDED))
+    used = ("comp", "is_page", "made", "base", "voting_district", "ballot_type", "is_vote_related", "page_number", "slip_key", "pages", "expected")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, desk, old = None, None, []
-        went, held = [[] for _ in range(3)], [[] for _ in range(8)]
+        held: list[Slip] = []
+        comps: list[str] = []
 
         def close() -> None:
-            for s in (desk.slips if desk else old) if states else ():
-                for to, value in zip(held, (now, s.key, s.base, s.district, s.kind, s.votes, s.made, sorted(s.pages, key=lambda p: (p is None, p))), strict=True):
-                    to.append(value)
-
-        def struct(kind: pa.StructType, lists: list[list]) -> pa.Array:
-            fs = [kind.field(i) for i in range(kind.num_fields)]
-            return pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(lists, fs, strict=True)], fields=fs)
-
-        def told() -> Iterator[pa.RecordBatch]:
-            arrived, slip = arrow.field("arrived").type, arrow.field("slip").type
-            if n := len(went[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(went[0], pa.string()), struct(arrived, went[1:]), pa.nulls(n, slip)], schema=arrow)
-            for i in range(0, n := len(held[0]), _BATCH):
-                part = [x[i : i + _BATCH] for x in held]
-                yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.string()), pa.nulls(len(part[0]), arrived), struct(slip, part[1:])], schema=arrow)
-            for x in (*went, *held):
-                x.clear()
+            slips = desk.close() if desk else old
+            if states:
+                held.extend(slips)
+                comps.extend([now] * len(slips))
+
+        def batch_of(n: int, **columns: list | pa.Array) -> pa.RecordBatch:
+            full = [columns.get(f.name) for f in told]
+            return pa.RecordBatch.from_arrays([pa.nulls(n, f.type) if x is None else x if isinstance(x, pa.Array) else pa.array(x, f.type) for f, x in zip(told, full, strict=True)], schema=told)
+
+        def slips() -> pa.RecordBatch:
+            pages = [sorted(s.pages, key=lambda p: (p is None, p)) if None in s.pages else sorted(s.pages) for s in held]
+            names = {"slip_key": "key", "base": "base", "voting_district": "district", "ballot_type": "kind", "is_vote_related": "votes", "made": "made", "expected": "expected", "touched": "touched"}
+            out = batch_of(len(held), comp=comps, is_page=[False] * len(held), pages=pages, **{to: list(map(attrgetter(name), held)) for to, name in names.items()})
+            held.clear()
+            comps.clear()
+            return out
 
         for batch in batches:
-            for comp, slip, is_page, seq, base, district, kind, number, votes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if not batch.num_rows:
+                continue
+            batch = pa.RecordBatch.from_arrays(batch.columns, names=given.names)
+            is_page = batch.column("is_page").to_numpy(zero_copy_only=False)
+            idle = _alone(_values(batch.column("comp")), is_page) if states else np.zeros(len(is_page), bool)
+            if idle.any():
+                kept = batch.filter(pa.array(idle))
+                yield batch_of(kept.num_rows, touched=[False] * kept.num_rows, **{f.name: kept.column(f.name) for f in told if f.name != "touched"})
+                batch, is_page = batch.filter(pa.array(~idle)), is_page[~idle]
+            keys = []
+            for comp, arrives, seq, base, district, kind, votes, number, key, pages, expected in zip(*[_values(batch.column(c)) for c in used], strict=True):
                 if comp != now:
                     close()
                     now, desk, old = comp, None, []
-                if not is_page:
-                    old.append(Slip(slip["slip_key"], slip["base"], slip["voting_district"], slip["ballot_type"], slip["is_vote_related"], slip["made"], set(slip["pages"])))
+                if not arrives:
+                    old.append(Slip(key, base, district, kind, votes, seq, set(pages), expected))
                     continue
                 desk = desk or Desk(old)
-                key = desk.place(base, district, kind, number, votes, seq)
-                for to, value in zip(went, (comp, seq, key), strict=True):
-                    to.append(value)
-                if len(went[0]) + len(held[0]) >= _BATCH:
-                    yield from told()
+                slip = desk.take(base, district, kind, number, votes, seq)
+                slip.touched = True
+                if expected is not None and (slip.expected is None or expected > slip.expected):
+                    slip.expected = expected
+                keys.append(slip.key)
+            if keys:
+                arrived = batch.filter(pa.array(is_page))
+                yield batch_of(len(keys), is_page=[True] * len(keys), slip_key=keys, made=arrived.column("made"), request_id=arrived.column("request_id"))
+            if len(held) >= _BATCH:
+                yield slips()
         close()
-        yield from told()
-
-    schema = f"comp string, arrived struct<{_struct(OUT)}>, slip struct<{_struct(SLIP)}>"
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
-    order = ["comp", F.col("page").isNotNull(), "slip.made", "page.ingest_seq"]
-    d = rows.select("comp", "slip", "page").repartition("comp").sortWithinPartitions(*order)
-    return d.select("comp", "slip", F.col("page").isNotNull().alias("is_page"), *[F.col(f"page.{f}").alias(f) for f in fields]).mapInArrow(run, schema)
-
+        yield slips()
 
-def _struct(ddl: str) -> str:
-    return ", ".join(f"{c.split(' ', 1)[0]}: {c.split(' ', 1)[1]}" for c in ddl.split(", "))
+    name = F.xxhash64("comp")  # names begin alike, hashes don't
+    d = rows.select(*given.names).repartition(*by).sortWithinPartitions(name, "comp", "is_page", "made")
+    return d.mapInArrow(run, FOLDED)
 
 
-def page_of() -> Column:
-    """A page record with its base, as fold_arrivals takes it."""
-    return F.struct("ingest_seq", "base", "voting_district", "ballot_type", "page_number", F.coalesce("is_vote_related", F.lit(True)).alias("is_vote_related"))
+def page_rows(records: DataFrame) -> DataFrame:
+    """(ROW) of page records with comp and base, as fold_arrivals takes them."""
+    none = lambda of: F.lit(None).cast(of)
+    here = {"comp": "comp", "base": "base", "voting_district": "voting_district", "ballot_type": "ballot_type", "made": "ingest_seq", "expected": "page_total", "page_number": "page_number"}
+    rest = {"is_page": F.lit(True), "is_vote_related": F.coalesce("is_vote_related", F.lit(True)), "slip_key": none("string"), "pages": none("array<int>"), "request_id": F.col("request_id") if "request_id" in records.columns else none("string")}
+    found = {k: F.col(c) for k, c in here.items()} | rest
+    return records.select(*[found[f.name].cast(f.dataType).alias(f.name) for f in StructType.fromDDL(ROW)])
 
 
 def assign_pages(records: DataFrame) -> DataFrame:
@@ -201,5 +283,4 @@ def assign_pages(records: DataFrame) -> DataFrame:
 
     An empty table gives an empty one; a null reference is a family of its own name, the empty one.
     """
-    d = with_components(records).select("comp", F.lit(None).cast(f"struct<{_struct(SLIP)}>").alias("slip"), page_of().alias("page"))
-    return fold_arrivals(d, states=False).where("arrived IS NOT NULL").select("arrived.*")
+    return fold_arrivals(page_rows(with_components(records)), states=False).select(F.col("made").alias("ingest_seq"), "slip_key")

@@ -15,7 +15,7 @@ from tallyweave.functions.scalars import register
 from tallyweave.operators import assign, layout, slips, stats, store
 from tallyweave.plans import pages, records
 from tallyweave.streaming import arrivals, progress
-from tallyweave.tables import shared_dir
+from tallyweave.tables import Scratch, shared_dir
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -173,13 +173,15 @@ def _page_assignment(spark: SparkSession, d: str) -> DataFrame:
 
 def _arrival_stream(spark: SparkSession, d: str) -> DataFrame:
     """Round after round over all orders, in three micro-batches of a stream that is stopped after each."""
-    pages = _arriving(spark, d, "r * 1000000000000 + l_orderkey")
+    scratch = Scratch(spark)
+    pages = scratch.cut(_arriving(spark, d, "r * 1000000000000 + l_orderkey"), "pages")  # places in the order are found once
     folder = f"{shared_dir(spark)}/arrivals-{uuid.uuid4().hex}"
     store = arrivals.Arrivals(spark, f"{folder}/state", buckets=16)
     for part in ("r <= 2", "r BETWEEN 3 AND 4", "r > 4"):
         pages.where(part).drop("r").write.mode("append").parquet(f"{folder}/in")
         stream = spark.readStream.schema(schemas.PAGE_RECORDS).parquet(f"{folder}/in")
         store.stream(stream, f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    scratch.drop(pages)
     return store.assigned()
 
 

@@ -4,14 +4,17 @@ A page's place depends on the slips of its component: families that share a dist
 A component is no fixed key, as a page may join two of them, so its state is not held by key in one operator but in
 tables of the shared folder that each micro-batch reads and rewrites in part:
 
-- `nodes` (node, parent): families and districts as a forest; a tree is a component, its root the component's name;
-- `slips` (comp, slip): what each component holds, in buckets of its name;
-- `assigned`, `states`, `events`: what a batch put where, the slips it touched as they are now, and what it says of it.
-
-When a page joins components their roots are linked and the slips of both move to the smaller name. A batch reads and
-rewrites only the buckets it touches. Its tables are named by its number and count once its log is there, which is written
-last and holds the current batch of each bucket; a batch that runs again, whatever part of it had been written, starts
-from the log before it and overwrites what it wrote. So a restarted query neither loses nor doubles a page.
+- `nodes` (node, comp): families and districts with the component each was in when it was last seen;
+- `moved` (node, comp): names of components that were joined to another, with that one's name; these are few;
+- `folded`: what each component holds, in buckets of its name, and in a bucket of their own (-1) the pages that a batch
+  placed: where a batch put what, the slips it touched as they are now, and what it says of it are read from there;
+- `failed`, `errors`, `results`: requests that failed, what is told of them, and what `evaluate` gave.
+
+When a page joins components the slips of all move to the smallest name. A batch reads and rewrites only the buckets it
+touches, and writes names only where they are new or changed. Its tables are named by its number and count once its log is
+there, which is written last and holds the current batch of each bucket; a batch that runs again, whatever part of it had
+been written, starts from the log before it and overwrites what it wrote. So a restarted query neither loses nor doubles a
+page.
 
 Arrivals are in order of ingest_seq within a batch, and batches follow each other.
 """
@@ -24,20 +27,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from tallyweave.operators.assign import SLIP, _struct, base_of, fold_arrivals, page_of
+from tallyweave.operators.assign import FOLDED, base_of, fold_arrivals, page_rows
 from tallyweave.operators.components import components
 from tallyweave.tables import Scratch
 
-NODES, SLIPS = "node string, parent string", f"comp string, slip struct<{_struct(SLIP)}>"
+NAMES = "node string, comp string"
 FAILED = "request_id string, failed_at bigint"
 LOG = "name string, bucket int, batch bigint"
-ASSIGNED = "ingest_seq bigint, slip_key string"
-STATES = "slip_key string, voting_district string, ballot_type string, is_vote_related boolean, expected int, received array<int>, missing array<int>, status string"
+EVENTS = "request_id string, seq bigint, event string, detail string"
+#: The bucket of the pages that a batch placed.
+_PLACED = -1
 
 
-def states(slips: DataFrame, totals: DataFrame) -> DataFrame:
-    """(STATES) of slips (struct<SLIP> as columns) and the largest page total (slip_key, expected) of each."""
-    d = slips.join(totals, "slip_key", "left").withColumn("received", F.array_sort(F.filter("pages", lambda p: p.isNotNull())))
+def states(slips: DataFrame) -> DataFrame:
+    """(slip_key, voting_district, ballot_type, is_vote_related, expected, received, missing, status) of slips (SLIP)."""
+    d = slips.withColumn("received", F.array_sort(F.filter("pages", lambda p: p.isNotNull())))
     wanted = F.when(F.col("expected") > 0, F.sequence(F.lit(1), F.col("expected"))).otherwise(F.array().cast("array<int>"))
     d = d.withColumn("missing", F.array_except(wanted, F.col("received")))
     status = F.when(F.size("missing") > 0, "incomplete").otherwise("pending_review")
@@ -63,44 +67,103 @@ class Arrivals:
             return {}
         return {(r.name, r.bucket): r.batch for r in self.spark.read.schema(LOG).parquet(path).collect()}
 
-    def _last(self, before: int) -> int | None:
-        """The last batch with a log; numbers may start anywhere but follow each other without a gap."""
+    def _batches(self) -> list[int]:
+        """The batches with a log, in order; numbers may start anywhere but follow each other without a gap."""
         path = f"{self.path}/log"
         if not self._exists(path):
-            return None
+            return []
         fs = self.spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
         found = [str(f.getPath().getName()) for f in fs.listStatus(self.spark._jvm.org.apache.hadoop.fs.Path(path))]
-        done = [int(n.partition("=")[2]) for n in found if n.startswith("batch=")]
-        return max((n for n in done if n < before and self._exists(f"{path}/batch={n}/_SUCCESS")), default=None)
+        done = sorted(int(n.partition("=")[2]) for n in found if n.startswith("batch="))
+        return [n for n in done if self._exists(f"{path}/batch={n}/_SUCCESS")]
 
     def _bucket(self, name: Column) -> Column:
         return F.pmod(F.xxhash64(name), F.lit(self.buckets)).cast("int")
 
+    def _paths(self, schema: str, paths: list[str]) -> DataFrame:
+        paths = [p for p in paths if self._exists(p)]  # a bucket may be or have become empty
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema).where(F.lit(False))
+
     def _read(self, table: str, schema: str, buckets: list[int]) -> DataFrame:
-        paths = [f"{self.path}/{table}/batch={self.log[table, b]}/bucket={b}" for b in buckets if (table, b) in self.log]
-        paths = [p for p in paths if self._exists(p)]  # a bucket may have become empty
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        return self._paths(schema, [f"{self.path}/{table}/batch={self.log[table, b]}/bucket={b}" for b in buckets if (table, b) in self.log])
 
-    def _write(self, table: str, rows: DataFrame, key: str, buckets: list[int], batch: int) -> None:
-        """The buckets as they are from this batch on."""
-        rows.withColumn("bucket", self._bucket(F.col(key))).repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{self.path}/{table}/batch={batch}")
+    def _dealt(self, name: Column) -> list[Column]:
+        """By bucket, and each bucket among as many tasks as there are for it; a name goes to one."""
+        tasks = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // self.buckets)
+        return [self._bucket(name), F.pmod(F.shiftright(F.xxhash64(name), 32), F.lit(tasks))]
+
+    def _write(self, table: str, rows: DataFrame, buckets: list[int], batch: int) -> None:
+        """The buckets as they are from this batch on; rows have their bucket."""
+        rows.write.partitionBy("bucket").mode("overwrite").parquet(f"{self.path}/{table}/batch={batch}")
         self.new |= {(table, b): batch for b in buckets}
 
-    # The forest.
+    def _change(self, table: str, changed: DataFrame, batch: int) -> None:
+        """Names (NAMES) that are new or have another component now."""
+        places = self._touched(changed, "node")
+        if places:
+            rows = self._read(table, NAMES, places).join(changed.select("node"), "node", "left_anti").unionByName(changed)
+            self._write(table, rows.repartition(*self._dealt(F.col("node"))).withColumn("bucket", self._bucket(F.col("node"))), places, batch)
+
+    # Components.
 
     def _touched(self, rows: DataFrame, column: str) -> list[int]:
         return [r[0] for r in rows.select(self._bucket(F.col(column))).distinct().collect()]  # at most `buckets` numbers
 
-    def _roots(self, nodes: DataFrame, scratch: Scratch) -> DataFrame:
-        """(node, root) of a written table (node): parents are followed to the root; a new node is its own."""
-        at = nodes.select("node", F.col("node").alias("root"))
-        while True:
-            up = self._read("nodes", NODES, self._touched(at, "root")).select(F.col("node").alias("root"), "parent")
-            step = at.join(up, "root", "left")
-            step = scratch.cut(step.select("node", F.coalesce("parent", "root").alias("to"), (F.col("parent") != F.col("root")).alias("moved")), "roots")
-            at = step.select("node", F.col("to").alias("root"))
-            if step.where("moved").isEmpty():
-                return at
+    def _known(self, pairs: DataFrame, scratch: Scratch) -> DataFrame | None:
+        """(node, was, comp) of the nodes that came before: the component as it was written, and its name now."""
+        if not any(table == "nodes" for table, _ in self.log):
+            return None
+        nodes = pairs.select("base").union(pairs.select("site").where("site IS NOT NULL")).toDF("node").distinct()
+        held = self._read("nodes", NAMES, self._touched(nodes, "node"))
+        known = scratch.cut(nodes.join(held, "node").select("node", F.col("comp").alias("was"), "comp"), "known")
+        while any(table == "moved" for table, _ in self.log):
+            up = self._read("moved", NAMES, self._touched(known, "comp")).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+            step = known.join(up, "comp", "left").select("node", "was", F.coalesce("to", "comp").alias("comp"), F.col("to").isNotNull().alias("up"))
+            known = scratch.cut(step, "known")
+            if known.where("up").isEmpty():
+                break
+        return known.select("node", "was", "comp")
+
+    def _components(self, fine: DataFrame, batch: int, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+        """(base, comp) of the batch's families, and (node, comp) of components that are joined to another, if any are.
+
+        A family lies with the components it and its districts are known in. Only where these are several, components
+        are linked; a family without any is one by itself, and so is a new district until it is.
+        """
+        # A district is a node as well: its name can't be a family's.
+        known_site = (F.coalesce(F.upper("voting_district"), F.lit("UNKNOWN")) != "UNKNOWN") & (F.col("voting_district") != "")
+        site = F.when(known_site, F.concat(F.lit("s"), F.to_json(F.array("voting_district", "ballot_type"))))
+        pairs = scratch.cut(fine.select(F.concat(F.lit("b"), "base").alias("base"), site.alias("site")).distinct(), "pairs")
+        known, none = self._known(pairs, scratch), F.lit(None).cast("string")
+        if known is None:
+            per = pairs.select("base", "site", none.alias("base_was"), none.alias("site_was"), none.alias("a"), F.col("site").alias("b"))
+        else:
+            named = lambda node, comp: known.select(F.col("node").alias(node), F.col("was").alias(f"{node}_was"), F.col("comp").alias(comp))
+            per = pairs.join(named("base", "a"), "base", "left").join(named("site", "b"), "site", "left")
+            per = scratch.cut(per.withColumn("b", F.coalesce("b", "site")), "per")
+        bases = per.groupBy("base").agg(F.first("base_was").alias("was"), F.min(F.least("a", "b")).alias("low"), F.max(F.greatest("a", "b")).alias("high"))
+        bases = scratch.cut(bases, "bases")
+        several = bases.where("low < high").select("base", "low")
+        links = per.join(several, "base").select("low", F.explode(F.array("a", "b")).alias("other")).where("low <> other").distinct()
+        links = scratch.cut(links.select(F.col("low").alias("a"), F.col("other").alias("b")), "links")
+        joined = None
+        if not links.isEmpty():
+            ids = links.select(F.col("a").alias("id")).union(links.select("b")).distinct()
+            found = components(ids.select("id", F.col("id").alias("comp")), links, scratch)
+            joined = scratch.cut(found.where("id <> comp").select(F.col("id").alias("node"), "comp"), "joined")
+
+        def now(d: DataFrame) -> DataFrame:
+            return d if joined is None else d.join(joined.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left").withColumn("comp", F.coalesce("to", "comp")).drop("to")
+
+        bases = now(bases.select("base", "was", F.coalesce("low", "base").alias("comp")))
+        bases = scratch.cut(bases, "bases") if joined is not None else bases
+        sites = now(per.where("site IS NOT NULL").select("site", F.col("site_was").alias("was"), F.col("b").alias("comp")).distinct())
+        seen = scratch.cut(bases.toDF(*["node" if c == "base" else c for c in bases.columns]).unionByName(sites.withColumnRenamed("site", "node")).where("was IS NULL OR was <> comp"), "seen")
+        self._change("nodes", seen.select("node", "comp"), batch)
+        if known is not None:  # names that have been passed on lead straight to the last from now on
+            gone = seen.where("was IS NOT NULL").select(F.col("was").alias("node"), "comp")
+            self._change("moved", scratch.cut((gone if joined is None else gone.unionByName(joined)).distinct(), "gone"), batch)
+        return bases.select(F.substring("base", 2, 1 << 30).alias("base"), "comp"), joined
 
     # A batch.
 
@@ -110,45 +173,28 @@ class Arrivals:
         A page with an error is not assigned; it and all later pages of its request (column request_id, if there is one)
         are told as events of a request that failed.
         """
-        last = self._last(batch)
+        last = max((n for n in self._batches() if n < batch), default=None)
         self.log, self.new = self._log(last) if last is not None else {}, {}
         scratch = Scratch(self.spark)
-        named = {"error": F.lit(None).cast("string"), "request_id": F.lit(None).cast("string")}
-        pages = pages.select("*", *[v.alias(k) for k, v in named.items() if k not in pages.columns])
-        known = F.coalesce(F.upper("voting_district"), F.lit("UNKNOWN")) != "UNKNOWN"
-        site = F.when(known & (F.col("voting_district") != ""), F.concat(F.lit("s"), F.to_json(F.struct("voting_district", "ballot_type"))))
-        pages = scratch.cut(pages.withColumns({"base": base_of(F.col("slip_reference")), "site": site}), "pages")
+        kept = ["ingest_seq", "voting_district", "ballot_type", "page_number", "page_total", "is_vote_related", *[c for c in ("request_id", "error") if c in pages.columns]]
+        pages = scratch.cut(pages.select(base_of(F.col("slip_reference")).alias("base"), *kept), "pages")
         fine = self._without_failed(pages, batch, scratch)
-
-        nodes = fine.select(F.concat(F.lit("b"), "base").alias("node")).union(fine.where("site IS NOT NULL").select("site")).distinct()
-        nodes = scratch.cut(nodes, "nodes")
-        roots = scratch.cut(self._roots(nodes, scratch), "roots")
-        pairs = fine.where("site IS NOT NULL").select(F.concat(F.lit("b"), "base").alias("x"), F.col("site").alias("y")).distinct()
-        named = lambda c, to: roots.select(F.col("node").alias(c), F.col("root").alias(to))
-        links = pairs.join(named("x", "a"), "x").join(named("y", "b"), "y").select("a", "b").where("a <> b")
-        own = roots.select(F.col("root").alias("id"), F.col("root").alias("comp")).distinct()
-        comps = scratch.cut(components(own, links, scratch).select(F.col("id").alias("root"), "comp"), "comps")
-
-        # Slips of all components that are touched; they move to the smallest name where components join.
-        places = self._touched(comps, "root")
-        held = self._read("slips", SLIPS, places)
-        mine = held.join(comps.withColumnRenamed("comp", "to"), held.comp == F.col("root")).select(F.col("to").alias("comp"), "slip")
-        rest = held.join(comps, held.comp == comps.root, "left_anti").select("comp", "slip")
-        new = fine.withColumn("node", F.concat(F.lit("b"), "base")).join(roots.select("node", "root"), "node").join(comps, "root")
-        none = lambda of: F.lit(None).cast(of)
-        page = new.select("comp", none(f"struct<{_struct(SLIP)}>").alias("slip"), page_of().alias("page"))
-        rows = mine.select("comp", "slip", none(page.schema["page"].dataType).alias("page")).unionByName(page)
-        folded = scratch.cut(fold_arrivals(rows), "folded")
-        self._write("slips", folded.where("slip IS NOT NULL").select("comp", "slip").unionByName(rest), "comp", places, batch)
-
-        # Roots that lost their name, and the batch's nodes straight under their root.
-        under = roots.join(comps, "root").select("node", F.col("comp").alias("parent")).unionByName(comps.select(F.col("root").alias("node"), F.col("comp").alias("parent"))).distinct()
-        under = scratch.cut(under, "under")
-        places = self._touched(under, "node")
-        kept = self._read("nodes", NODES, places).join(under.select("node"), "node", "left_anti")
-        self._write("nodes", under.unionByName(kept), "node", places, batch)
-
-        self._tell(pages, fine, folded, batch, scratch)
+        bases, joined = self._components(fine, batch, scratch)
+
+        # Slips in all buckets that are touched; they move to the smallest name where components join.
+        places = set(self._touched(bases, "comp"))
+        if joined is not None:
+            places |= set(self._touched(joined, "node"))
+        held = self._read("folded", FOLDED, sorted(places))
+        if joined is not None:
+            to = joined.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+            held = held.join(to, "comp", "left").withColumn("comp", F.coalesce("to", "comp"))
+        held = held.withColumn("page_number", F.lit(None).cast("int"))
+        rows = page_rows(fine.join(bases, "base"))
+        folded = fold_arrivals(rows.unionByName(held.select(*rows.columns)), self._dealt(F.col("comp")))
+        self._write("folded", folded.withColumn("bucket", F.when(F.col("is_page"), _PLACED).otherwise(self._bucket(F.col("comp")))), sorted(places), batch)
+
+        self._tell(pages, batch)
         log = [(n, b, at) for (n, b), at in (self.log | self.new).items()]
         self.spark.createDataFrame(log, LOG).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/log/batch={batch}")
         scratch.drop(*[t for t, _ in scratch.paths.values()])
@@ -156,63 +202,58 @@ class Arrivals:
     def _without_failed(self, pages: DataFrame, batch: int, scratch: Scratch) -> DataFrame:
         """Pages that come before the first error of their request, in this batch or before; one without a request stands
         alone."""
+        error = F.col("error") if "error" in pages.columns else F.lit(None).cast("string")
+        pages = pages.withColumn("error", error)
+        if "request_id" not in pages.columns:
+            return pages.where("error IS NULL").drop("error")
         asked = pages.where("request_id IS NOT NULL")
         places = self._touched(asked, "request_id")
         held = self._read("failed", FAILED, places)
         bad = asked.where("error IS NOT NULL").select("request_id", F.col("ingest_seq").alias("failed_at")).unionByName(held)
         bad = scratch.cut(bad.groupBy("request_id").agg(F.min("failed_at").alias("failed_at")), "failed")
-        self._write("failed", bad, "request_id", places, batch)
-        return pages.join(bad, "request_id", "left").where("error IS NULL AND (failed_at IS NULL OR ingest_seq < failed_at)").drop("failed_at")
-
-    def _tell(self, pages: DataFrame, fine: DataFrame, folded: DataFrame, batch: int, scratch: Scratch) -> None:
-        put = lambda rows, table: rows.write.mode("overwrite").parquet(f"{self.path}/{table}/batch={batch}")
-        where = folded.where("arrived IS NOT NULL").select("arrived.*")
-        put(where, "assigned")
-        # Page totals of a slip are kept with its state: the largest so far.
-        touched = where.join(fine.select("ingest_seq", "page_total"), "ingest_seq").groupBy("slip_key").agg(F.max("page_total").alias("expected"))
-        touched = scratch.cut(touched, "touched")
-        before = self._states_of(batch, touched.select("slip_key"))
-        totals = touched.unionByName(before.select("slip_key", "expected")).groupBy("slip_key").agg(F.max("expected").alias("expected"))
-        now = folded.where("slip IS NOT NULL").select("slip.*").join(touched.select("slip_key"), "slip_key", "left_semi")
-        now = scratch.cut(states(now, totals), "states")
-        self._write("states", now.unionByName(before.join(now.select("slip_key"), "slip_key", "left_anti")).unionByName(self._rest), "slip_key", self._places, batch)
-        put(now if self.evaluate is None else self.evaluate(now), "results")  # only slips that this batch touched
-        place = where.join(pages.select("ingest_seq", "request_id"), "ingest_seq")
-        page = place.select("request_id", F.col("ingest_seq").alias("seq"), F.lit("page").alias("event"), F.col("slip_key").alias("detail"))
-        wrong = pages.where("error IS NOT NULL").select("request_id", F.col("ingest_seq").alias("seq"), F.lit("error").alias("event"), F.col("error").alias("detail"))
-        put(page.unionByName(wrong), "events")
-
-    def _states_of(self, batch: int, keys: DataFrame) -> DataFrame:
-        """The states so far of slips; what else their buckets hold is remembered for the rewrite."""
-        self._places = self._touched(keys, "slip_key")
-        held = self._read("states", STATES, self._places)
-        self._rest = held.join(keys, "slip_key", "left_anti")
-        return held.join(keys, "slip_key", "left_semi")
+        asked = F.col("request_id")
+        self._write("failed", bad.repartition(*self._dealt(asked)).withColumn("bucket", self._bucket(asked)), places, batch)
+        return pages.join(bad, "request_id", "left").where("error IS NULL AND (failed_at IS NULL OR ingest_seq < failed_at)").drop("failed_at", "error")
+
+    def _tell(self, pages: DataFrame, batch: int) -> None:
+        """What a batch says beside its pages: errors, and what is made of the slips it touched."""
+        if "error" in pages.columns:
+            request = F.col("request_id") if "request_id" in pages.columns else F.lit(None).cast("string")
+            wrong = pages.where("error IS NOT NULL").select(request.alias("request_id"), F.col("ingest_seq").alias("seq"), F.lit("error").alias("event"), F.col("error").alias("detail"))
+            wrong.write.mode("overwrite").parquet(f"{self.path}/errors/batch={batch}")
+        if self.evaluate is not None:
+            self.evaluate(states(self._slips([batch]))).write.mode("overwrite").parquet(f"{self.path}/results/batch={batch}")
 
     # Results.
 
-    def _done(self, table: str, schema: str | None = None) -> DataFrame:
-        last = self._last(1 << 62)
-        d = self.spark.read.option("basePath", f"{self.path}/{table}").parquet(f"{self.path}/{table}")
-        return d.where(F.col("batch") <= (-1 if last is None else last)).drop("batch")
+    def _slips(self, batches: list[int]) -> DataFrame:
+        """The slips that batches touched, as they were after each."""
+        return self._paths(FOLDED, [f"{self.path}/folded/batch={n}/bucket={b}" for n in batches for b in range(self.buckets)]).where("touched")
+
+    def _placed(self) -> DataFrame:
+        return self._paths(FOLDED, [f"{self.path}/folded/batch={n}/bucket={_PLACED}" for n in self._batches()])
 
     def assigned(self) -> DataFrame:
         """(ingest_seq, slip_key) of all batches that are done."""
-        return self._done("assigned")
+        return self._placed().select(F.col("made").alias("ingest_seq"), "slip_key")
 
     def events(self) -> DataFrame:
         """(request_id, seq, event, detail), as progress.outcomes takes them: `page` with its slip, or `error`."""
-        return self._done("events")
+        page = self._placed().select("request_id", F.col("made").alias("seq"), F.lit("page").alias("event"), F.col("slip_key").alias("detail"))
+        return page.unionByName(self._paths(EVENTS, [f"{self.path}/errors/batch={n}" for n in self._batches()]))
 
     def results(self) -> DataFrame:
-        """What `evaluate` gave for the slips each batch touched."""
-        return self._done("results")
+        """What `evaluate` gave for the slips each batch touched; without it the slips' states."""
+        done = self._batches()
+        if self.evaluate is None:
+            return states(self._slips(done))
+        return self.spark.read.parquet(*[f"{self.path}/results/batch={n}" for n in done])
 
     def states(self) -> DataFrame:
         """The state of each slip after the last batch."""
-        last = self._last(1 << 62)
+        last = max(self._batches(), default=None)
         self.log = self._log(last) if last is not None else {}
-        return self._read("states", STATES, sorted({b for t, b in self.log if t == "states"}))
+        return states(self._read("folded", FOLDED, sorted({b for t, b in self.log if t == "folded"})))
 
     def stream(self, pages: DataFrame, checkpoint: str) -> DataStreamWriter:
         """A writer that takes a stream of page records into these tables."""

@@ -91,6 +91,28 @@ def test_random_arrivals_in_random_batches(spark, tmp_path, seed):
     assert {r.slip_key: set(r.received) for r in store.states().collect()} == pages
 
 
+def test_components_that_join_one_after_another(spark, tmp_path):
+    """Names lead from one to the next; pages of families and districts that weren't seen since still find their slips."""
+    links = [("R4", "D4"), ("R3", "D3"), ("R2", "D2"), ("R3", "D4"), ("R1", "D1"), ("R2", "D3"), ("R1", "D2"), ("R4", "D4"), ("R5", "D4"), ("R1", "D1"), ("R6", None), ("R6", "D3")]
+    rows = [(i, ref, district, "N", 1 + i % 3, 3, i % 5 != 4) for i, (ref, district) in enumerate(links)]
+    store = in_batches(spark, f"{tmp_path}/a", rows, [0, 3, 4, 6, 7, 9, 10, 12], again=(3,))
+    assert {r.ingest_seq: r.slip_key for r in store.assigned().collect()} == plain(rows)
+    held = store._read("folded", assign.FOLDED, range(4))
+    assert held.select("comp").distinct().count() == 1 and {r.slip_key for r in store.states().collect()} == set(plain(rows).values())
+
+
+def test_a_batch_of_known_families_writes_what_it_changes(spark, tmp_path):
+    rows = [(i, f"R{i % 10}", f"D{i % 5}", "N", 1 + i // 10, 4, True) for i in range(40)]
+    d, store, jobs = spark.createDataFrame(rows, schemas.PAGE_RECORDS), arrivals.Arrivals(spark, f"{tmp_path}/a", buckets=4), []
+    for n in range(4):
+        spark.sparkContext.setJobGroup(f"batch {n} {tmp_path}", "")
+        store.take(d.where((F.col("ingest_seq") >= 10 * n) & (F.col("ingest_seq") < 10 * n + 10)), n)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"batch {n} {tmp_path}")))
+    spark.sparkContext._jsc.clearJobGroup()
+    assert {r.ingest_seq: r.slip_key for r in store.assigned().collect()} == plain(rows)
+    assert {b for (table, _), b in store.log.items() if table == "nodes"} == {0} and max(jobs) < 40
+
+
 def test_errors_and_affected_slips(spark, tmp_path):
     rows = [(1, "A", "V", "N", 1, 2, True, "x", None), (2, "A", "V", "N", 2, 2, True, "x", "unreadable"), (3, "A", "V", "N", 2, 2, True, "x", None), (4, "B", "W", "N", 1, 1, True, "y", None), (5, "B", "W", "N", 1, 1, True, "x", None), (6, "C", "V", "N", 2, 3, True, "z", None)]
     d = spark.createDataFrame(rows, f"{schemas.PAGE_RECORDS}, request_id string, error string")
