@@ -273,7 +273,8 @@ def page_rows(records: DataFrame) -> DataFrame:
     """(ROW) of page records with comp and base, as fold_arrivals takes them."""
     none = lambda of: F.lit(None).cast(of)
     here = {"comp": "comp", "base": "base", "voting_district": "voting_district", "ballot_type": "ballot_type", "made": "ingest_seq", "expected": "page_total", "page_number": "page_number"}
-    rest = {"is_page": F.lit(True), "is_vote_related": F.coalesce("is_vote_related", F.lit(True)), "slip_key": none("string"), "pages": none("array<int>"), "request_id": F.col("request_id") if "request_id" in records.columns else none("string")}
+    # An empty list, not a null: Spark asks each row for its batch's size, and Arrow then counts all nulls of a list anew.
+    rest = {"is_page": F.lit(True), "is_vote_related": F.coalesce("is_vote_related", F.lit(True)), "slip_key": none("string"), "pages": F.array().cast("array<int>"), "request_id": F.col("request_id") if "request_id" in records.columns else none("string")}
     found = {k: F.col(c) for k, c in here.items()} | rest
     return records.select(*[found[f.name].cast(f.dataType).alias(f.name) for f in StructType.fromDDL(ROW)])
 

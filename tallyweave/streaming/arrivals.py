@@ -109,20 +109,23 @@ class Arrivals:
     def _touched(self, rows: DataFrame, column: str) -> list[int]:
         return [r[0] for r in rows.select(self._bucket(F.col(column))).distinct().collect()]  # at most `buckets` numbers
 
-    def _known(self, pairs: DataFrame, scratch: Scratch) -> DataFrame | None:
-        """(node, was, comp) of the nodes that came before: the component as it was written, and its name now."""
-        if not any(table == "nodes" for table, _ in self.log):
-            return None
-        nodes = pairs.select("base").union(pairs.select("site").where("site IS NOT NULL")).toDF("node").distinct()
-        held = self._read("nodes", NAMES, self._touched(nodes, "node"))
-        known = scratch.cut(nodes.join(held, "node").select("node", F.col("comp").alias("was"), "comp"), "known")
+    def _known(self, pairs: DataFrame, scratch: Scratch) -> DataFrame:
+        """pairs (base, site) with the components they were written in (base_was, site_was) and their names now (a, b)."""
+        for node, kind, comp in (("base", "b", "a"), ("site", "s", "b")):
+            held = self._read("nodes", NAMES, self._touched(pairs.where(F.col(node).isNotNull()), node)).where(F.col("node").startswith(kind))
+            pairs = pairs.join(held.select(F.col("node").alias(node), F.col("comp").alias(f"{node}_was"), F.col("comp").alias(comp)), node, "left")
+        pairs = scratch.cut(pairs, "known")
         while any(table == "moved" for table, _ in self.log):
-            up = self._read("moved", NAMES, self._touched(known, "comp")).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
-            step = known.join(up, "comp", "left").select("node", "was", F.coalesce("to", "comp").alias("comp"), F.col("to").isNotNull().alias("up"))
-            known = scratch.cut(step, "known")
-            if known.where("up").isEmpty():
+            ups = []
+            for comp in "ab":
+                up = self._read("moved", NAMES, self._touched(pairs.where(F.col(comp).isNotNull()), comp))
+                pairs = pairs.join(up.select(F.col("node").alias(comp), F.col("comp").alias(f"{comp}_up")), comp, "left")
+                ups.append(F.col(f"{comp}_up").isNotNull())
+                pairs = pairs.withColumn(comp, F.coalesce(f"{comp}_up", comp))
+            pairs = scratch.cut(pairs.select("base", "site", "base_was", "site_was", "a", "b", (ups[0] | ups[1]).alias("up")), "known")
+            if pairs.where("up").isEmpty():
                 break
-        return known.select("node", "was", "comp")
+        return pairs.select("base", "site", "base_was", "site_was", "a", F.coalesce("b", "site").alias("b"))
 
     def _components(self, fine: DataFrame, batch: int, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
         """(base, comp) of the batch's families, and (node, comp) of components that are joined to another, if any are.
@@ -134,13 +137,9 @@ class Arrivals:
         known_site = (F.coalesce(F.upper("voting_district"), F.lit("UNKNOWN")) != "UNKNOWN") & (F.col("voting_district") != "")
         site = F.when(known_site, F.concat(F.lit("s"), F.to_json(F.array("voting_district", "ballot_type"))))
         pairs = scratch.cut(fine.select(F.concat(F.lit("b"), "base").alias("base"), site.alias("site")).distinct(), "pairs")
-        known, none = self._known(pairs, scratch), F.lit(None).cast("string")
-        if known is None:
-            per = pairs.select("base", "site", none.alias("base_was"), none.alias("site_was"), none.alias("a"), F.col("site").alias("b"))
-        else:
-            named = lambda node, comp: known.select(F.col("node").alias(node), F.col("was").alias(f"{node}_was"), F.col("comp").alias(comp))
-            per = pairs.join(named("base", "a"), "base", "left").join(named("site", "b"), "site", "left")
-            per = scratch.cut(per.withColumn("b", F.coalesce("b", "site")), "per")
+        known = any(table == "nodes" for table, _ in self.log)
+        none = F.lit(None).cast("string")
+        per = self._known(pairs, scratch) if known else pairs.select("base", "site", none.alias("base_was"), none.alias("site_was"), none.alias("a"), F.col("site").alias("b"))
         bases = per.groupBy("base").agg(F.first("base_was").alias("was"), F.min(F.least("a", "b")).alias("low"), F.max(F.greatest("a", "b")).alias("high"))
         bases = scratch.cut(bases, "bases")
         several = bases.where("low < high").select("base", "low")
@@ -157,10 +156,12 @@ class Arrivals:
 
         bases = now(bases.select("base", "was", F.coalesce("low", "base").alias("comp")))
         bases = scratch.cut(bases, "bases") if joined is not None else bases
-        sites = now(per.where("site IS NOT NULL").select("site", F.col("site_was").alias("was"), F.col("b").alias("comp")).distinct())
-        seen = scratch.cut(bases.toDF(*["node" if c == "base" else c for c in bases.columns]).unionByName(sites.withColumnRenamed("site", "node")).where("was IS NULL OR was <> comp"), "seen")
+        sites = now(per.where("site IS NOT NULL").select(F.col("site").alias("node"), F.col("site_was").alias("was"), F.col("b").alias("comp")))
+        changed = F.col("was").isNull() | (F.col("was") != F.col("comp"))
+        seen = bases.select(F.col("base").alias("node"), "was", "comp").where(changed).unionByName(sites.where(changed).distinct())
+        seen = scratch.cut(seen, "seen")
         self._change("nodes", seen.select("node", "comp"), batch)
-        if known is not None:  # names that have been passed on lead straight to the last from now on
+        if known:  # names that have been passed on lead straight to the last from now on
             gone = seen.where("was IS NOT NULL").select(F.col("was").alias("node"), "comp")
             self._change("moved", scratch.cut((gone if joined is None else gone.unionByName(joined)).distinct(), "gone"), batch)
         return bases.select(F.substring("base", 2, 1 << 30).alias("base"), "comp"), joined
