@@ -178,7 +178,7 @@ def _arrival_stream(spark: SparkSession, d: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/arrivals-{uuid.uuid4().hex}"
     store = arrivals.Arrivals(spark, f"{folder}/state", buckets=16)
     for part in ("r <= 2", "r BETWEEN 3 AND 4", "r > 4"):
-        pages.where(part).drop("r").write.mode("append").parquet(f"{folder}/in")
+        pages.where(part).drop("r").write.option("compression", "zstd").mode("append").parquet(f"{folder}/in")
         stream = spark.readStream.schema(schemas.PAGE_RECORDS).parquet(f"{folder}/in")
         store.stream(stream, f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     scratch.drop(pages)

@@ -94,7 +94,7 @@ class Arrivals:
 
     def _write(self, table: str, rows: DataFrame, buckets: list[int], batch: int) -> None:
         """The buckets as they are from this batch on; rows have their bucket."""
-        rows.write.partitionBy("bucket").mode("overwrite").parquet(f"{self.path}/{table}/batch={batch}")
+        rows.write.partitionBy("bucket").option("compression", "zstd").mode("overwrite").parquet(f"{self.path}/{table}/batch={batch}")
         self.new |= {(table, b): batch for b in buckets}
 
     def _change(self, table: str, changed: DataFrame, batch: int) -> None:
